@@ -49,6 +49,16 @@ METHODS = {
 }
 
 
+def spread_series(series: DataFrame, keys: list[str]) -> DataFrame:
+    """One partitioning by series for everything that follows.
+
+    A series is a few kilobytes and its spectrum is many operations, so the
+    number of partitions is set: coalescing by size would leave few tasks.
+    """
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.repartition(parts, *keys)
+
+
 def prepared_series(
     series: DataFrame,
     keys: list[str] = SERIES,
@@ -63,7 +73,7 @@ def prepared_series(
     ordered = W.partitionBy(*keys).orderBy("day")
     whole = W.partitionBy(*keys)
     value = F.col("value")
-    rows = series.select(*keys, "day", value).withColumns(
+    rows = spread_series(series.select(*keys, "day", value), keys).withColumns(
         {"next_day": F.lead("day").over(ordered), "next_raw": F.lead("value").over(ordered)}
     )
     if scaling == "zscore":
@@ -168,18 +178,20 @@ def spectrum_lines(
     summing, since the transform is linear, which saves a pass over the grid.
     """
     n = F.col("last_day") - F.col("first_day") + 1
-    wanted = []
-    for padded, (low, high) in ranges.items():
-        size = padded_length(n) if padded else n
-        wanted.append(
-            let(
-                size,
-                lambda s, padded=padded, low=low, high=high: F.transform(
-                    _bins_in(s, low, high, margin),
-                    lambda k: F.struct(F.lit(padded).alias("padded"), s.alias("size"), k.alias("k")),
-                ),
+
+
+    def entries(padded: bool) -> Column:
+        low, high = ranges[padded]
+
+        def of_size(s: Column) -> Column:
+            return F.transform(
+                _bins_in(s, low, high, margin),
+                lambda k: F.struct(F.lit(padded).alias("padded"), s.alias("size"), k.alias("k")),
             )
-        )
+
+        return let(padded_length(n) if padded else n, of_size)
+
+    wanted = [entries(padded) for padded in ranges]
     bins = F.concat(*wanted) if len(wanted) > 1 else wanted[0]
     spread = fill_days(rows.withColumn("bin", F.explode_outer(bins)))
     step = F.col("grid_day") - F.col("first_day")
@@ -273,6 +285,12 @@ def _lines_per_series(spectrum: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _lines_within(padded: bool, low: float, high: float) -> Column:
+    return F.filter(
+        "lines", lambda x: (x["padded"] == F.lit(padded)) & x["period"].between(low, high)
+    )
+
+
 def detect_periods(
     series: DataFrame,
     keys: list[str] = SERIES,
@@ -299,15 +317,9 @@ def detect_periods(
     rows = []
     for m in chosen:
         low, high = wide_range if m.wide else period_range
-
-        def fits(x: Column, m: SpectrumMethod = m, low: float = low, high: float = high) -> Column:
-            return (x["padded"] == F.lit(m.padded)) & x["period"].between(low, high)
-
+        own = _lines_within(m.padded, low, high)
         rows.append(
-            F.struct(
-                F.lit(m.label).alias("method"),
-                _peak(F.filter("lines", fits), m.capped).alias("peak"),
-            )
+            F.struct(F.lit(m.label).alias("method"), _peak(own, m.capped).alias("peak"))
         )
     return per_series.select(
         *keys, "n_points", "span_days", F.explode(F.array(*rows)).alias("r")

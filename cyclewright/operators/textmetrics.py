@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclewright.functions import textfeatures as tf
 from cyclewright.functions.columns import words
-
 from cyclewright.plans.joins import lookup_join
 
 
-def _word_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct lower-cased words of each text with their count; one null word for empty texts.
+def _joined_words(
+    df: DataFrame, table: DataFrame, key: str, text: str, distinct: bool = False
+) -> DataFrame:
+    """Words of each text with the columns of a word table; one null word for empty texts.
 
-    Counted by (text, word) in the map task that reads the text.
+    Carries the number of words of the text. Nothing is shuffled before the
+    join, and the sums after it are combined in the task that read the text.
     """
-    exploded = df.select(key, F.explode_outer(words(F.lower(F.col(text)))).alias("word"))
-    return exploded.groupBy(key, "word").agg(F.count("word").alias("n"))
+    tokens = words(F.lower(F.col(text)))
+    listed = F.array_distinct(tokens) if distinct else tokens
+    rows = df.select(key, F.size(tokens).alias("n_words"), F.explode_outer(listed).alias("word"))
+    return lookup_join(rows, table, ["word"], [key], "left")
 
 
 def unknown_word_share(
@@ -27,70 +31,64 @@ def unknown_word_share(
     known = dictionary.select(F.lower("word").alias("word")).distinct().withColumn(
         "known", F.lit(True)
     )
-    joined = lookup_join(_word_rows(df, key, text), known, ["word"], [key], "left")
+    joined = _joined_words(df, known, key, text, distinct=True)
     unknown = F.count_if(F.col("word").isNotNull() & F.col("known").isNull())
-    return joined.groupBy(key).agg(
-        F.coalesce(F.try_divide(unknown, F.sum("n")), F.lit(0.0)).alias("unknown_word_share")
+    return joined.groupBy(key, "n_words").agg(unknown.alias("u")).select(
+        key,
+        F.coalesce(F.try_divide("u", "n_words"), F.lit(0.0)).alias("unknown_word_share"),
     )
 
 
+def _share(a: str, b: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+
+
 def lexicon_scores(
     df: DataFrame, lexicon: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """Positive and negative share, compound, polarity and subjectivity from a word table.
 
-    ``lexicon`` has word, valence and subjectivity. compound = s / sqrt(s^2 + 15)
-    with s the sum of valences (Hutto and Gilbert 2014); polarity and
-    subjectivity are means over the words found; texts without any score 0.
+    ``lexicon`` has word, valence and subjectivity, one row per word. compound =
+    s / sqrt(s^2 + 15) with s the sum of valences (Hutto and Gilbert 2014);
+    polarity and subjectivity are means over the words found; texts without any
+    score 0.
     """
-    entries = lexicon.select("word", "valence", "subjectivity").dropDuplicates(["word"])
-    joined = lookup_join(_word_rows(df, key, text), entries, ["word"], [key], "left")
-    n, v = F.col("n"), F.col("valence")
-    sums = joined.groupBy(key).agg(
-        F.sum("n").alias("all"),
-        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("hits"),
-        F.coalesce(F.sum(F.when(v > 0, n)), F.lit(0)).alias("pos"),
-        F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("neg"),
-        F.coalesce(F.sum(n * v), F.lit(0.0)).alias("s"),
-        F.coalesce(F.sum(n * F.col("subjectivity")), F.lit(0.0)).alias("subj"),
+    entries = lexicon.select("word", "valence", "subjectivity")
+    v = F.col("valence")
+    sums = (
+        _joined_words(df, entries, key, text)
+        .groupBy(key, "n_words")
+        .agg(
+            F.count(v).alias("hits"),
+            F.count_if(v > 0).alias("pos"),
+            F.count_if(v < 0).alias("neg"),
+            F.coalesce(F.sum(v), F.lit(0.0)).alias("s"),
+            F.coalesce(F.sum("subjectivity"), F.lit(0.0)).alias("subj"),
+        )
     )
-
-    def over(a: str, b: str):
-        return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-
-    polarity = over("s", "hits")
     return sums.select(
         key,
-        over("pos", "all").alias("positive_share"),
-        over("neg", "all").alias("negative_share"),
+        _share("pos", "n_words").alias("positive_share"),
+        _share("neg", "n_words").alias("negative_share"),
         (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("compound"),
-        polarity.alias("polarity"),
-        over("subj", "hits").alias("subjectivity"),
-        F.abs(polarity).alias("polarity_strength"),
+        _share("s", "hits").alias("polarity"),
+        _share("subj", "hits").alias("subjectivity"),
+        F.abs(_share("s", "hits")).alias("polarity_strength"),
     )
 
 
 def connectives_per_sentence(
     df: DataFrame, connectives: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
-    """Connective words over sentences, 0 without a sentence.
-
-    The count of sentences rides along with the words, so the text is read once.
-    """
+    """Connective words over sentences, 0 without a sentence."""
     listed = connectives.select("word").distinct().withColumn("hit", F.lit(1))
-    rows = df.select(
-        key,
-        F.size(tf.sentences(F.col(text))).alias("sentences"),
-        F.explode_outer(words(F.lower(F.col(text)))).alias("word"),
+    counted = df.select(key, text, F.size(tf.sentences(F.col(text))).alias("sentences"))
+    rows = counted.select(
+        key, "sentences", F.explode_outer(words(F.lower(F.col(text)))).alias("word")
     )
-    counted = rows.groupBy(key, "sentences", "word").agg(F.count("word").alias("n"))
-    joined = lookup_join(counted, listed, ["word"], [key], "left")
-    hits = F.coalesce(F.sum(F.col("n") * F.col("hit")), F.lit(0))
-    return joined.groupBy(key, "sentences").agg(hits.alias("h")).select(
-        key,
-        F.coalesce(F.try_divide(F.col("h"), F.col("sentences")), F.lit(0.0)).alias(
-            "connectives_per_sentence"
-        ),
+    joined = lookup_join(rows, listed, ["word"], [key], "left")
+    return joined.groupBy(key, "sentences").agg(F.count("hit").alias("h")).select(
+        key, _share("h", "sentences").alias("connectives_per_sentence")
     )
 
 
@@ -111,9 +109,9 @@ def basic_features(df: DataFrame, text: str = "text") -> DataFrame:
 def advanced_features(
     df: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
-    """Moving type-token ratio and share of unknown words."""
-    shares = unknown_word_share(df, dictionary, key, text)
-    return df.withColumn("mattr", tf.moving_type_token_ratio(F.col(text))).join(shares, key, "left")
+    """Key, moving type-token ratio and share of unknown words."""
+    local = df.select(key, tf.moving_type_token_ratio(F.col(text)).alias("mattr"))
+    return local.join(unknown_word_share(df, dictionary, key, text), key)
 
 
 def all_features(
@@ -124,11 +122,17 @@ def all_features(
     key: str,
     text: str = "text",
 ) -> DataFrame:
-    """Every text feature; word tables are joined once each, by the row key."""
+    """Key and every text feature, one row per text.
+
+    Only keys and numbers are joined, never the texts.
+    """
     narrow = df.select(key, text)
+    local = basic_features(narrow, text).withColumn(
+        "cohesion", tf.neighbour_overlap(F.col(text))
+    )
     return (
-        advanced_features(basic_features(df, text), dictionary, key, text)
-        .withColumn("cohesion", tf.neighbour_overlap(F.col(text)))
-        .join(lexicon_scores(narrow, lexicon, key, text), key, "left")
-        .join(connectives_per_sentence(narrow, connectives, key, text), key, "left")
+        local.drop(text)
+        .join(advanced_features(narrow, dictionary, key, text), key)
+        .join(lexicon_scores(narrow, lexicon, key, text), key)
+        .join(connectives_per_sentence(narrow, connectives, key, text), key)
     )
