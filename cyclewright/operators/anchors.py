@@ -37,20 +37,49 @@ def usable_candidates(candidates: list[DataFrame]) -> DataFrame:
     return stacked.where(~F.col("has_uncertainty") & F.col("offset_from_cd1").isNotNull())
 
 
-def users_of_group(candidates: DataFrame, patterns: list[str], row_id: str = "id") -> DataFrame:
-    """Users layout for the newest anchor of one pattern group."""
-    keep = ["ts_utc", "text", "offset_from_cd1", "dpo_days", "regex_type"]
-    newest = latest_per_key(
-        candidates.where(F.col("regex_type").isin(patterns)), "author", "ts_utc", row_id, keep
-    )
-    return newest.select(
-        F.col("author").alias("user"),
+def prioritised_users(
+    candidates: DataFrame,
+    groups: list[tuple[str, list[str]]],
+    author: str = "author",
+    row_id: str = "id",
+) -> DataFrame:
+    """Users layout with ``anchor_group``: the newest anchor of the first group a user has.
+
+    One partial aggregate keeps the newest row of every group per user, so the
+    priority between groups needs no join.
+    """
+    keep = F.struct(
         F.col("ts_utc").alias("timestep"),
         "text",
         "offset_from_cd1",
         "dpo_days",
         F.col("regex_type").alias("pattern_category"),
     )
+    order = F.struct("ts_utc", row_id)
+
+    def newest(patterns: list[str]) -> Column:
+        mine = F.col("regex_type").isin(patterns)
+        return F.max_by(F.when(mine, keep), F.when(mine, order))
+
+    per_user = (
+        candidates.where(F.col("ts_utc").isNotNull())
+        .groupBy(F.col(author).alias("user"))
+        .agg(*[newest(patterns).alias(f"__{name}") for name, patterns in groups])
+    )
+    chosen = F.coalesce(
+        *[
+            F.when(
+                F.col(f"__{name}").isNotNull(),
+                F.struct(F.lit(name).alias("anchor_group"), F.col(f"__{name}").alias("row")),
+            )
+            for name, _ in groups
+        ]
+    )
+    return (
+        per_user.select("user", chosen.alias("c"))
+        .where(F.col("c").isNotNull())
+        .select("user", "c.row.*", "c.anchor_group")
+    )
 
 
 def without_users_of(lower: DataFrame, upper: DataFrame, user: str = "user") -> DataFrame:
@@ -60,10 +89,13 @@ def without_users_of(lower: DataFrame, upper: DataFrame, user: str = "user") ->
 
 def users_tables(candidates: list[DataFrame], row_id: str = "id") -> tuple[DataFrame, DataFrame]:
     """(cycle-day users, days-past-ovulation users); the first group has priority."""
-    usable = usable_candidates(candidates)
-    cycle_day = users_of_group(usable, CYCLE_DAY_PATTERNS, row_id)
-    past_ovulation = users_of_group(usable, DPO_PATTERNS, row_id)
-    return cycle_day, without_users_of(past_ovulation, cycle_day)
+    groups = [("cycle_day", CYCLE_DAY_PATTERNS), ("past_ovulation", DPO_PATTERNS)]
+    users = prioritised_users(usable_candidates(candidates), groups, row_id=row_id)
+
+    def of(name: str) -> DataFrame:
+        return users.where(F.col("anchor_group") == name).drop("anchor_group")
+
+    return of("cycle_day"), of("past_ovulation")
 
 
 def keep_users(df: DataFrame, users: DataFrame, key: str, spread: list[str]) -> DataFrame:

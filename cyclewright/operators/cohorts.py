@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cyclewright.functions.phases import adaptive_phase
 from cyclewright.operators.clean import keep_categories, offset_range
-from cyclewright.operators.phases import assign_phases, phase_table
+from cyclewright.operators.phases import phase_table
 from cyclewright.plans.joins import lookup_join
 from cyclewright.plans.quantiles import exact_median
 from cyclewright.settings import COHORT_WINDOW_DAYS, EPSILON, FALLBACK_PERIOD
@@ -171,13 +172,11 @@ def cohort_report(
         periods = known.join(users.select("user"), "user", "left_semi").unionByName(
             fallback.where(~any_known)
         )
-    labelled = cohorts.join(periods.select("user"), "user", "left_semi").withColumnRenamed(
-        "user", author
-    )
-    phases = phase_table(periods)
-    grouped = lookup_join(inside, labelled, [author], spread)
-    phased = assign_phases(grouped, phases, spread, author, offset)
-    return phase_volumes(phased, phases, categories, category, author, "group")
+    # Group and cycle length travel to the posts in one join.
+    members = cohorts.join(periods, "user").withColumnRenamed("user", author)
+    grouped = lookup_join(inside, members, [author], spread)
+    phased = grouped.withColumn("phase", adaptive_phase(F.col(offset), F.col("period")))
+    return phase_volumes(phased, phase_table(periods), categories, category, author, "group")
 
 
 def before_after_counts(df: DataFrame, user: str, offset: str) -> DataFrame:

@@ -13,8 +13,14 @@ from cyclewright.settings import ANCHOR_PATTERNS, DPO_PATTERNS, OVULATION_DAY, P
 def match_patterns(
     df: DataFrame, patterns: list[tuple[str, str]] = ANCHOR_PATTERNS, text: str = "text"
 ) -> DataFrame:
-    """Adds regex_type, matched_phrase and matched_sentence."""
-    return df.withColumn("__m", first_match(F.col(text), patterns)).select(
+    """Adds regex_type, matched_phrase and matched_sentence.
+
+    The match is a generated row: a filter on its columns, or on columns made
+    from them, then stays above it instead of running the regexes once more for
+    each mention.
+    """
+    match = F.explode_outer(F.array(first_match(F.col(text), patterns))).alias("__m")
+    return df.select(*df.columns, match).select(
         *df.columns,
         F.col("__m.name").alias("regex_type"),
         F.col("__m.phrase").alias("matched_phrase"),

@@ -19,8 +19,13 @@ def _joined_words(
     join, and the sums after it are combined in the task that read the text.
     """
     tokens = words(F.lower(F.col(text)))
-    listed = F.array_distinct(tokens) if distinct else tokens
-    rows = df.select(key, F.size(tokens).alias("n_words"), F.explode_outer(listed).alias("word"))
+    counted = df.select(key, tokens.alias("tokens")).select(
+        key,
+        F.size("tokens").alias("n_words"),
+        (F.array_distinct("tokens") if distinct else F.col("tokens")).alias("tokens"),
+    )
+    # Counted before the explode: beside it, the count would run once per word.
+    rows = counted.select(key, "n_words", F.explode_outer("tokens").alias("word"))
     return lookup_join(rows, table, ["word"], [key], "left")
 
 
