@@ -22,14 +22,18 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+# White space as text functions understand it: ASCII, control separators, Unicode.
+SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def words(c: Column) -> Column:
     """White-space tokens; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), rf"[{SPACE}]+"), "")
 
 
 def sorted_median(ordered: Column) -> Column:

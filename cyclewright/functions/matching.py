@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cyclewright.functions.columns import let, strip, words
+from cyclewright.functions.columns import SPACE, let, strip, words
 from cyclewright.settings import HEDGE_PATTERNS, HEDGE_WINDOW_WORDS
 
 IGNORE_CASE = "(?iu)"
@@ -23,7 +23,12 @@ def matched_phrase(text: Column, regex: str) -> Column:
 
 
 def sentence_around(text: Column, regex: str) -> Column:
-    """Sentence holding the first match; null without one.
+    """Sentence holding the first match; null without one."""
+    return F.when(text.rlike(IGNORE_CASE + regex), _sentence_of_match(text, regex))
+
+
+def _sentence_of_match(text: Column, regex: str) -> Column:
+    """Sentence of a text that is known to match.
 
     It starts after the last ``.``, ``!``, ``?`` or newline before the match
     and ends with the first one at or after the start of the match.
@@ -37,7 +42,7 @@ def sentence_around(text: Column, regex: str) -> Column:
         rest = F.substring(text, F.length(prefix) + 1, F.length(text))
         return strip(F.concat(head, F.regexp_substr(rest, F.lit(r"^[^.!?\n]*[.!?\n]?"))))
 
-    return F.when(text.rlike(IGNORE_CASE + regex), let(before, cut))
+    return let(before, cut)
 
 
 def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -48,7 +53,7 @@ def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
             F.struct(
                 F.lit(name).alias("name"),
                 matched_phrase(text, regex).alias("phrase"),
-                sentence_around(text, regex).alias("sentence"),
+                _sentence_of_match(text, regex).alias("sentence"),
             ),
         )
         for name, regex in patterns
@@ -58,7 +63,7 @@ def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def normalised_phrase(phrase: Column) -> Column:
     """Trimmed, single-spaced, lower case; blank becomes null."""
-    return F.nullif(F.lower(F.regexp_replace(strip(phrase), r"(?U)\s+", " ")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(strip(phrase), rf"[{SPACE}]+", " ")), F.lit(""))
 
 
 def hedged(sentence: Column, phrase: Column, window_words: int = HEDGE_WINDOW_WORDS) -> Column:

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cyclewright.functions.columns import let, strip, words
+from cyclewright.functions.columns import SPACE, let, words
 from cyclewright.settings import MATTR_WINDOW
 
 
+def _count(text: Column, regex: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(regex))
+
+
 def word_count(text: Column) -> Column:
+    """White-space tokens."""
     return F.size(words(text))
 
 
@@ -17,61 +22,57 @@ def average_word_length(text: Column) -> Column:
     """Mean token length, 0 without tokens."""
     return let(
         words(text),
-        lambda w: F.when(
-            F.size(w) > 0,
-            F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / F.size(w),
-        ).otherwise(0.0),
+        lambda w: F.coalesce(
+            F.try_divide(F.length(F.array_join(w, "")), F.size(w)), F.lit(0.0)
+        ),
     )
 
 
 def sentences(text: Column) -> Column:
     """Parts between single ``.``, ``!``, ``?`` marks that are not blank."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]"), strip)
-    return F.filter(parts, lambda s: s != "")
+    return F.filter(
+        F.split(F.coalesce(text, F.lit("")), "[.!?]"), lambda s: s.rlike(f"[^{SPACE}]")
+    )
+
+
+def sentence_count(text: Column) -> Column:
+    """Number of parts that are not blank, without building them."""
+    return _count(text, rf"[^{SPACE}.!?][^.!?]*")
 
 
 def words_per_sentence(text: Column) -> Column:
-    """Mean tokens per sentence, 0 without sentences."""
-    return let(
-        sentences(text),
-        lambda ss: F.when(
-            F.size(ss) > 0,
-            F.aggregate(ss, F.lit(0), lambda a, s: a + F.size(words(s))) / F.size(ss),
-        ).otherwise(0.0),
-    )
+    """Mean tokens per sentence, 0 without sentences; marks also end a token."""
+    inside = _count(text, rf"[^{SPACE}.!?]+")
+    return F.coalesce(F.try_divide(inside, sentence_count(text)), F.lit(0.0))
 
 
 def unique_word_fraction(text: Column) -> Column:
     """Distinct lower-cased tokens over all tokens, 0 without tokens."""
     return let(
         words(F.lower(text)),
-        lambda w: F.when(
-            F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)
-        ).otherwise(0.0),
+        lambda w: F.coalesce(F.try_divide(F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0)),
     )
 
 
 def reading_grade(text: Column) -> Column:
-    """Published Flesch-Kincaid formula with vowel groups as syllables, at least one a word."""
-    return let(
-        words(F.lower(text)),
-        lambda w: let(
-            F.size(sentences(text)),
-            lambda n: F.when(
-                (F.size(w) > 0) & (n > 0),
-                F.size(w) / n * 0.39
-                + F.aggregate(
-                    w,
-                    F.lit(0),
-                    lambda a, x: a
-                    + F.greatest(F.lit(1), F.regexp_count(x, F.lit("[aeiouy]+"))),
-                )
-                / F.size(w)
-                * 11.8
-                - 15.59,
-            ).otherwise(0.0),
-        ),
-    )
+    """Published Flesch-Kincaid formula with vowel groups as syllables, at least one a word.
+
+    A vowel group never spans two words, so syllables are the groups of the
+    whole text and one for each word without a vowel.
+    """
+    marked = F.translate(F.lower(F.coalesce(text, F.lit(""))), "eiouy", "aaaaa")
+    n_sentences = sentence_count(text)
+
+    def grade(w: Column) -> Column:
+        vowelless = F.size(F.filter(w, lambda x: ~x.contains("a")))
+        syllables = _count(marked, "a+") + vowelless
+        return (
+            F.try_divide(F.size(w), n_sentences) * 0.39
+            + F.try_divide(syllables, F.size(w)) * 11.8
+            - 15.59
+        )
+
+    return F.coalesce(let(words(marked), grade), F.lit(0.0))
 
 
 def moving_type_token_ratio(text: Column, window: int = MATTR_WINDOW) -> Column:
@@ -82,15 +83,13 @@ def moving_type_token_ratio(text: Column, window: int = MATTR_WINDOW) -> Column:
     sum over tokens. Sorting (word, position) pairs gives p: n log n, not
     n times the window. Letters and digits make a token, in lower case.
     """
-    tokens = F.filter(
-        F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != ""
-    )
+    tokens = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
     def score(w: Column) -> Column:
         n = F.size(w)
         span = F.least(n, F.lit(window))
         last_start = n - span
-        placed = F.array_sort(
+        placed = F.sort_array(
             F.transform(w, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
         )
 

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cyclewright.functions.columns import let
 from cyclewright.operators.spectral import SERIES, prepared_series, snr_of
@@ -18,35 +23,42 @@ from cyclewright.settings import (
 )
 
 
+SERIES_BLOCK = 512
+TRIAL_BLOCK = 256
+CONSTANTS = ["n_points", "span_days", "y", "yy", "time_variance"]
+
+
 def _trial_sums(
     rows: DataFrame, keys: list[str], low: float, step: float, count: int, radians: float
 ) -> DataFrame:
     """Sums over each series for every trial period, in one partial aggregate.
 
     Groups by series and trial, which the partitioning on the series already
-    satisfies; ``j`` numbers the trials.
+    satisfies; ``j`` numbers the trials. What does not depend on the trial is
+    taken once per series, before the rows multiply.
     """
-    trials = rows.select(
+    whole = W.partitionBy(*keys)
+    fixed = rows.select(
         *keys,
         "n_points",
         "span_days",
         (F.col("day") - F.col("first_day")).alias("t"),
-        F.col("value").alias("y"),
-        F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("j"),
+        F.col("value").alias("v"),
+        F.sum("value").over(whole).alias("y"),
+        F.sum(F.col("value") * F.col("value")).over(whole).alias("yy"),
+        F.var_pop("day").over(whole).alias("time_variance"),
     )
+    trials = fixed.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("j"))
     angle = F.col("t") * radians / (F.col("j") * step + low)
     waves = trials.select("*", F.cos(angle).alias("c"), F.sin(angle).alias("s"))
-    c, s, y, t = (F.col(x) for x in "csyt")
-    return waves.groupBy(*keys, "n_points", "span_days", "j").agg(
+    c, s, v = (F.col(x) for x in "csv")
+    return waves.groupBy(*keys, *CONSTANTS, "j").agg(
         F.sum(c).alias("c"),
         F.sum(s).alias("s"),
         F.sum(c * c).alias("cc"),
         F.sum(c * s).alias("cs"),
-        F.sum(y * c).alias("yc"),
-        F.sum(y * s).alias("ys"),
-        F.sum(y).alias("y"),
-        F.sum(y * y).alias("yy"),
-        F.var_pop(t).alias("time_variance"),
+        F.sum(v * c).alias("yc"),
+        F.sum(v * s).alias("ys"),
     )
 
 
@@ -119,6 +131,55 @@ def false_alarm_probability(
     return 1 - (1 - single) * F.exp(-tau)
 
 
+def _best_trials(keys: list[str], low: float, step: float, count: int):
+    """Arrow-batch kernel: best trial of each series by matrix products.
+
+    Days are whole numbers, so all series share one table of sines and cosines
+    and the sums of a batch are products of (series x days) with (days x trials)
+    matrices. Trials and series go in blocks, which bounds the memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), SERIES_BLOCK):
+                yield score(batch.iloc[start : start + SERIES_BLOCK])
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        sizes = part["days"].str.len().to_numpy()
+        rows = np.repeat(np.arange(len(part)), sizes)
+        days = np.concatenate(part["days"].to_numpy())
+        present = np.zeros((len(part), int(days.max()) + 1))
+        value = np.zeros_like(present)
+        present[rows, days] = 1.0
+        value[rows, days] = np.concatenate(part["points"].to_numpy())
+        n = sizes[:, None].astype(float)
+        mean = value.sum(1, keepdims=True) / n
+        yy = (value * value).sum(1, keepdims=True) / n - mean * mean
+        best_power = np.full(len(part), -np.inf)
+        best_j = np.zeros(len(part), dtype=np.int32)
+        for first in range(0, count, TRIAL_BLOCK):
+            j = np.arange(first, min(first + TRIAL_BLOCK, count))
+            angle = np.outer(np.arange(present.shape[1]), 2 * np.pi / (low + step * j))
+            cos, sin = np.cos(angle), np.sin(angle)
+            c, s = present @ cos / n, present @ sin / n
+            cos2 = present @ (cos * cos) / n
+            cc, ss = cos2 - c * c, 1 - cos2 - s * s
+            cs = present @ (cos * sin) / n - c * s
+            yc, ys = value @ cos / n - mean * c, value @ sin / n - mean * s
+            det = yy * (cc * ss - cs * cs)
+            top = yc * yc * ss + ys * ys * cc - 2 * yc * ys * cs
+            power = np.divide(top, det, out=np.zeros_like(top), where=det != 0)
+            at = power.argmax(1)
+            peak = power[np.arange(len(part)), at]
+            better = peak > best_power
+            best_power[better] = peak[better]
+            best_j[better] = j[at[better]]
+        out = part[[*keys, "n_points", "span_days", "time_variance"]].copy()
+        return out.assign(j=best_j, power=best_power)
+
+    return run
+
+
 def detect_periods_ls(
     series: DataFrame,
     keys: list[str] = SERIES,
@@ -129,18 +190,44 @@ def detect_periods_ls(
     min_span: float = PERIOD_MIN,
     prepared: DataFrame | None = None,
 ) -> DataFrame:
-    """Best trial period per series with its false-alarm probability; ties go to the shortest."""
-    powers = floating_mean_spectrum(series, keys, low, high, step, scaling, min_span, prepared)
-    best = powers.groupBy(*keys, "n_points", "span_days", "time_variance").agg(
-        F.max(F.struct(F.col("power"), (-F.col("j")).alias("order"), F.col("period"))).alias("b")
+    """Best trial period per series with its false-alarm probability; ties go to the shortest.
+
+    Same powers as ``floating_mean_spectrum``. Only the peak is wanted here, so
+    the hundreds of trials per series are never rows: Spark partitions the
+    series and a numpy kernel scores each Arrow batch.
+    """
+    if prepared is None:
+        prepared = prepared_series(series, keys, scaling, min_span)
+    count = int(round((high - low) / step)) + 1
+    point = F.struct((F.col("day") - F.col("first_day")).alias("t"), F.col("value").alias("y"))
+    folded = (
+        prepared.groupBy(*keys, "n_points", "span_days")
+        .agg(
+            F.sort_array(F.collect_list(point)).alias("points"),
+            F.var_pop("day").alias("time_variance"),
+        )
+        .select(
+            *keys,
+            "n_points",
+            "span_days",
+            "time_variance",
+            F.col("points.t").alias("days"),
+            F.col("points.y").alias("points"),
+        )
     )
+    fixed = [*keys, "n_points", "span_days", "time_variance"]
+    schema = T.StructType(
+        [f for f in folded.schema.fields if f.name in fixed]
+        + [T.StructField("j", T.IntegerType()), T.StructField("power", T.DoubleType())]
+    )
+    best = folded.mapInPandas(_best_trials(keys, low, step, count), schema)
     return best.select(
         *keys,
         F.lit("lombscargle").alias("method"),
-        F.col("b.period").alias("period"),
-        F.col("b.power").alias("power"),
+        _period(low, step).alias("period"),
+        "power",
         false_alarm_probability(
-            F.col("b.power"), F.col("n_points"), F.col("span_days"), F.col("time_variance")
+            F.col("power"), F.col("n_points"), F.col("span_days"), F.col("time_variance")
         ).alias("fap"),
         "n_points",
         "span_days",
@@ -174,10 +261,10 @@ def detect_periods_classic(
             *keys, "n_points", "span_days", "j", _period(low, step).alias("period"), power.alias("p")
         )
         .groupBy(*keys, "n_points", "span_days")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("neg"), "j", "period"))).alias("r"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("neg"), "j", "period"))).alias("r"))
     )
     best = -F.col("r")[0]["neg"]
-    others = F.array_sort(F.transform(F.slice("r", 2, count), lambda x: -x["neg"]))
+    others = F.sort_array(F.transform(F.slice("r", 2, count), lambda x: -x["neg"]))
     return per_series.select(
         *keys,
         F.lit("lombscargle_classic").alias("method"),

@@ -64,7 +64,7 @@ def assign_phases(
     condition is read from an array and rows do not multiply.
     """
     folded = phases.groupBy(F.col("user").alias(user)).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("phase_order", "phase", "start_day", "end_day"))
         ).alias("__phases"),
         (F.max("end_day") + 1).alias("__wrap"),

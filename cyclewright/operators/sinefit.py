@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewright.functions.columns import let
 from cyclewright.operators.spectral import SERIES
 
 
@@ -78,5 +77,5 @@ def sine_curve(fits: DataFrame, period: str, points: int = 1000) -> DataFrame:
     )
     angle = F.col("x") * (2 * math.pi) / F.col(period) + F.col("phase")
     return placed.withColumn(
-        "fitted", let(F.sin(angle), lambda w: F.col("amplitude") * w + F.col("level"))
+        "fitted", F.col("amplitude") * F.sin(angle) + F.col("level")
     ).drop("i")

@@ -253,7 +253,7 @@ def _peak(lines: Column, capped: bool) -> Column:
     def choose(ranked: Column) -> Column:
         top = F.get(ranked, F.lit(0))
         best = -top["neg"]
-        others = F.array_sort(
+        others = F.sort_array(
             F.transform(F.slice(ranked, 2, F.greatest(F.size(ranked) - 1, F.lit(1))), lambda x: -x["neg"])
         )
         return F.when(
@@ -271,7 +271,7 @@ def _peak(lines: Column, capped: bool) -> Column:
             )
         )
 
-    return let(F.array_sort(lines), choose)
+    return let(F.sort_array(lines), choose)
 
 
 def _lines_per_series(spectrum: DataFrame, keys: list[str]) -> DataFrame:
@@ -344,7 +344,7 @@ def integer_period_powers(
     low, high = period_range
     prepared = prepared_series(series, keys, scaling, low)
     spectrum = spectrum_lines(prepared, keys, {False: (low, high)}, margin=1)
-    by_period = F.array_sort(
+    by_period = F.sort_array(
         F.collect_list(
             F.when(F.col("k").isNotNull(), F.struct(F.col("period"), F.col("power")))
         )

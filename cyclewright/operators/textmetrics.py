@@ -87,7 +87,7 @@ def connectives_per_sentence(
 ) -> DataFrame:
     """Connective words over sentences, 0 without a sentence."""
     listed = connectives.select("word").distinct().withColumn("hit", F.lit(1))
-    counted = df.select(key, text, F.size(tf.sentences(F.col(text))).alias("sentences"))
+    counted = df.select(key, text, tf.sentence_count(F.col(text)).alias("sentences"))
     rows = counted.select(
         key, "sentences", F.explode_outer(words(F.lower(F.col(text)))).alias("word")
     )

@@ -31,7 +31,7 @@ def exact_median(df: DataFrame, value: str) -> Column:
     ordered = counts.agg(
         F.coalesce(F.sum(F.when(F.col("side") == -1, F.col("n"))), F.lit(0)).alias("below"),
         F.sum("n").alias("total"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.struct("v", "n")))).alias("mid"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.struct("v", "n")))).alias("mid"),
     )
     # Walk the ordered bracket once, keeping the values at the two middle ranks.
     low_rank = F.floor((F.col("total") + 1) / 2)
