@@ -60,19 +60,19 @@ def reading_grade(text: Column) -> Column:
     A vowel group never spans two words, so syllables are the groups of the
     whole text and one for each word without a vowel.
     """
-    marked = F.translate(F.lower(F.coalesce(text, F.lit(""))), "eiouy", "aaaaa")
+    low = F.lower(text)
     n_sentences = sentence_count(text)
 
     def grade(w: Column) -> Column:
-        vowelless = F.size(F.filter(w, lambda x: ~x.contains("a")))
-        syllables = _count(marked, "a+") + vowelless
+        vowelless = F.size(F.filter(w, lambda x: ~x.rlike("[aeiouy]")))
+        syllables = _count(low, "[aeiouy]+") + vowelless
         return (
             F.try_divide(F.size(w), n_sentences) * 0.39
             + F.try_divide(syllables, F.size(w)) * 11.8
             - 15.59
         )
 
-    return F.coalesce(let(words(marked), grade), F.lit(0.0))
+    return F.coalesce(let(words(low), grade), F.lit(0.0))
 
 
 def moving_type_token_ratio(text: Column, window: int = MATTR_WINDOW) -> Column:

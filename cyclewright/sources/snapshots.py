@@ -17,13 +17,13 @@ TIMELINE_DATASETS = ["timeline_with_features", "timeline"]
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see, from ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder is taken and
-    remembered in the session.
+    Where the cluster names none (tests on one machine) a temporary folder
+    becomes the checkpoint folder of the session.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="cyclewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
