@@ -32,4 +32,5 @@ def lookup_join(
     slots = F.array(*[F.lit(i).cast("long") for i in range(fanout)])
     left = facts.withColumn(slot, F.pmod(F.xxhash64(*spread), F.lit(fanout).cast("long")))
     right = lookup.withColumn(slot, F.explode(slots))
-    return left.join(right, [*on, slot], how).drop(slot)
+    added = [] if how in {"left_semi", "left_anti"} else [c for c in lookup.columns if c not in on]
+    return left.join(right, [*on, slot], how).select(*facts.columns, *added)
