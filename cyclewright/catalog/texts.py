@@ -13,6 +13,7 @@ from cyclewright.functions import daynumbers, matching
 from cyclewright.functions import textfeatures as tf
 from cyclewright.operators import anchors, clean, summaries, textmetrics
 from cyclewright.operators import matching as match_ops
+from cyclewright.plans.parallel import widen
 from cyclewright.settings import (
     ANCHOR_PATTERNS,
     CYCLE_DAY_PATTERNS,
@@ -66,6 +67,10 @@ docs as (
   from documents)"""
 
 
+def _texts(spark, sf_dir):
+    return widen(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _documents(spark, sf_dir):
     """Whole documents with a carrier sentence and a post time."""
     carrier = F.get(
@@ -75,7 +80,7 @@ def _documents(spark, sf_dir):
     text = F.when(before, F.concat_ws(" ", carrier, F.col("text"))).otherwise(
         F.concat_ws(" ", F.col("text"), carrier)
     )
-    return table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("author"),
         "lang",
@@ -354,7 +359,7 @@ def _raw(spark, sf_dir):
     """Documents as raw posts, with each kind of defect by document number."""
     n = F.col("doc_id")
     defect = n % 7
-    return table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         n.alias("id"),
         F.when(n % 11 == 0, F.lit("[deleted]")).when(n % 13 != 0, F.col("source")).alias("author"),
         F.when(n % 5 == 1, F.concat(F.lit("  "), "lang")).when(n % 5 != 0, F.col("lang")).alias("title"),
@@ -422,7 +427,7 @@ def clean_content(spark, sf_dir):
     and author in (select source from documents where lang = 'en' and n_chars > 2000)""")
 def raw_content(spark, sf_dir):
     """Long enough posts of the users of another table, in the unified columns."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     users = docs.where((F.col("lang") == "en") & (F.col("n_chars") > 2000)).select(
         F.col("source").alias("user")
     )
@@ -453,7 +458,7 @@ def json_lines(spark, sf_dir):
         .when(n % 10 == 5, F.lit("no separator"))
         .otherwise(F.concat(n, F.lit(": "), payload))
     )
-    lines = table(spark, sf_dir, "documents").select(line.alias("value"))
+    lines = _texts(spark, sf_dir).select(line.alias("value"))
     return readers.parse_json_lines(lines).select(
         "id", "author", "subreddit", "created_utc", F.md5("body").alias("body_md5")
     )
@@ -476,7 +481,7 @@ d as (select doc_id as id, text, {NONBLANK.format("text")} as w, {NONBLANK.forma
       lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+'))))) / len(lw)) - 15.59 else 0 end, 6) as reading_grade
   from d""")
 def basic_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return textmetrics.basic_features(docs).select(
         "id",
         "word_count",
@@ -495,7 +500,7 @@ def basic_text(spark, sf_dir):
     select id, sum(k) / ((any_value(n) - any_value(span) + 1) * any_value(span)) as mattr from c group by 1) x
     on x.id = d.doc_id""")
 def mattr(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         F.round(tf.moving_type_token_ratio(F.col("text")), 6).alias("mattr"),
     )
@@ -524,7 +529,7 @@ UNKNOWN_SQL = """
 
 @query("with" + WORDS_SQL + "," + BENCH_WORDS_SQL + "," + UNKNOWN_SQL + " select * from unknown")
 def unknown_word_share(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return textmetrics.unknown_word_share(docs, _vocabulary(spark, sf_dir), "id").select(
         "id", *r6("unknown_word_share")
     )
@@ -558,7 +563,7 @@ SCORES_SQL = """
 
 @query("with" + WORDS_SQL + "," + BENCH_WORDS_SQL + "," + LEXICON_SQL + "," + SCORES_SQL + " select * from scores")
 def lexicon_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     out = textmetrics.lexicon_scores(docs, _lexicon(spark, sf_dir), "id")
     return out.select("id", *r6(*[c for c in out.columns if c != "id"]))
 
@@ -576,7 +581,7 @@ def _connectives(spark):
 
 @query("with" + WORDS_SQL + "," + LINKS_SQL + " select * from links")
 def connectives_per_sentence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return textmetrics.connectives_per_sentence(docs, _connectives(spark), "id").select(
         "id", *r6("connectives_per_sentence")
     )
@@ -593,7 +598,7 @@ OVERLAP_SQL = f"""
 
 @query("with" + WORDS_SQL + "," + OVERLAP_SQL + " select * from cohesion")
 def sentence_overlap(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         F.round(tf.neighbour_overlap(F.col("text")), 6).alias("cohesion"),
     )
@@ -606,7 +611,7 @@ def sentence_overlap(spark, sf_dir):
   from d join unknown using (id) join scores using (id) join links using (id) join cohesion using (id)""")
 def text_bundle(spark, sf_dir):
     """All text features at once."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     out = textmetrics.all_features(
         docs, _lexicon(spark, sf_dir), _vocabulary(spark, sf_dir), _connectives(spark), "id"
     )

@@ -65,17 +65,30 @@ def prepared_series(
     scaling: str = "zscore",
     min_span: float = PERIOD_MIN,
 ) -> DataFrame:
-    """Scaled rows of the series that pass the quality gate, with n_points and span_days.
+    """Scaled points of the series that pass the quality gate.
 
-    Also carries the next day and value, for interpolation; the ordered window
+    Beside the counts, each point carries ``bend``, the slope before it less the
+    slope after it on the interpolated line, and the series' end values and grid
+    mean: all that the transform of the daily grid needs. The ordered window
     comes first so that one sort serves both windows.
     """
     ordered = W.partitionBy(*keys).orderBy("day")
     whole = W.partitionBy(*keys)
     value = F.col("value")
-    rows = spread_series(series.select(*keys, "day", value), keys).withColumns(
-        {"next_day": F.lead("day").over(ordered), "next_raw": F.lead("value").over(ordered)}
+    points = spread_series(series.select(*keys, "day", value), keys).withColumns(
+        {
+            "next_day": F.lead("day").over(ordered),
+            "next_value": F.lead("value").over(ordered),
+            "prev_day": F.lag("day").over(ordered),
+            "prev_value": F.lag("value").over(ordered),
+        }
     )
+    rise = F.col("next_value") - value
+    gap = F.col("next_day") - F.col("day")
+    before = (value - F.col("prev_value")) / (F.col("day") - F.col("prev_day"))
+    bend = F.coalesce(before, F.lit(0.0)) - F.coalesce(rise / gap, F.lit(0.0))
+    # Sum of the line over the days from this point up to the next one.
+    stretch = F.coalesce(value * gap + rise * (gap - 1) / 2, value)
     if scaling == "zscore":
         center, unit = F.avg(value).over(whole), F.stddev_pop(value).over(whole) + EPSILON
     elif scaling == "minmax":
@@ -85,33 +98,47 @@ def prepared_series(
         center, unit = F.lit(0.0), F.lit(1.0)
     else:
         raise ValueError(f"unknown scaling: {scaling}")
-    gated = rows.withColumns(
-        {
-            "n_points": F.count(F.lit(1)).over(whole),
-            "first_day": F.min("day").over(whole),
-            "last_day": F.max("day").over(whole),
-            "low": F.min("value").over(whole),
-            "high": F.max("value").over(whole),
-            "raw_spread": F.stddev_pop("value").over(whole),
-            "center": center,
-            "unit": unit,
-        }
-    ).where(
-        (F.col("n_points") >= max(MIN_POINTS, MIN_DAYS))
-        & (F.col("last_day") - F.col("first_day") >= min_span)
-        & (F.col("low") < F.col("high"))
-        & (F.col("raw_spread") >= EPSILON)
+    gated = (
+        points.withColumns({"bend": bend, "stretch": stretch})
+        .withColumns(
+            {
+                "n_points": F.count(F.lit(1)).over(whole),
+                "first_day": F.min("day").over(whole),
+                "last_day": F.max("day").over(whole),
+                "low": F.min("value").over(whole),
+                "high": F.max("value").over(whole),
+                "raw_spread": F.stddev_pop("value").over(whole),
+                "grid_sum": F.sum("stretch").over(whole),
+                "first_value": F.max(F.when(F.col("prev_day").isNull(), value)).over(whole),
+                "last_value": F.max(F.when(F.col("next_day").isNull(), value)).over(whole),
+                "center": center,
+                "unit": unit,
+            }
+        )
+        .where(
+            (F.col("n_points") >= max(MIN_POINTS, MIN_DAYS))
+            & (F.col("last_day") - F.col("first_day") >= min_span)
+            & (F.col("low") < F.col("high"))
+            & (F.col("raw_spread") >= EPSILON)
+        )
     )
+
+    def rescaled(c: Column) -> Column:
+        return (c - F.col("center")) / F.col("unit")
+
+    span = F.col("last_day") - F.col("first_day")
     return gated.select(
         *keys,
         "day",
-        ((F.col("value") - F.col("center")) / F.col("unit")).alias("value"),
-        "next_day",
-        ((F.col("next_raw") - F.col("center")) / F.col("unit")).alias("next_value"),
+        rescaled(value).alias("value"),
+        (F.col("bend") / F.col("unit")).alias("bend"),
         "first_day",
         "last_day",
+        rescaled(F.col("first_value")).alias("first_value"),
+        rescaled(F.col("last_value")).alias("last_value"),
+        rescaled(F.col("grid_sum") / (span + 1)).alias("grid_mean"),
         "n_points",
-        (F.col("last_day") - F.col("first_day")).cast("double").alias("span_days"),
+        span.cast("double").alias("span_days"),
     )
 
 
@@ -174,12 +201,17 @@ def spectrum_lines(
     """Power per series, transform and bin, for only the bins in range.
 
     ``ranges`` maps padded (True or False) to the period range. A series without
-    a bin keeps one row with a null ``k``. The grid mean is taken off after
-    summing, since the transform is linear, which saves a pass over the grid.
+    a bin keeps one row with a null ``k``.
+
+    The daily grid is never built. With z the unit step of a bin and y the
+    centred line over n days, summing by parts twice gives
+
+        (z - 1) X = y[last] z^n - y[first] - z / (z - 1) * sum(bend * z^day),
+
+    so a bin costs one term per point and not one per day, and two sums.
     """
     n = F.col("last_day") - F.col("first_day") + 1
 
-
     def entries(padded: bool) -> Column:
         low, high = ranges[padded]
 
@@ -193,30 +225,43 @@ def spectrum_lines(
 
     wanted = [entries(padded) for padded in ranges]
     bins = F.concat(*wanted) if len(wanted) > 1 else wanted[0]
-    spread = fill_days(rows.withColumn("bin", F.explode_outer(bins)))
-    step = F.col("grid_day") - F.col("first_day")
-    turn = F.pmod(F.col("bin.k").cast("long") * step, F.col("bin.size").cast("long"))
-    angle = turn * (2 * math.pi) / F.col("bin.size")
-    waves = spread.select(
+    series = ["n_points", "span_days", "first_value", "last_value", "grid_mean"]
+    spread = rows.select(
         *keys,
-        "n_points",
-        "span_days",
+        *series,
+        n.alias("n"),
+        (F.col("day") - F.col("first_day")).alias("step"),
+        "bend",
+        F.explode_outer(bins).alias("bin"),
+    ).select(
+        *keys,
+        *series,
+        "n",
+        "step",
+        "bend",
         F.col("bin.padded").alias("padded"),
         F.col("bin.size").alias("size"),
         F.col("bin.k").alias("k"),
-        F.col("grid_value").alias("y"),
-        F.cos(angle).alias("c"),
-        F.sin(angle).alias("s"),
     )
-    sums = waves.groupBy(*keys, "n_points", "span_days", "padded", "size", "k").agg(
-        F.sum(F.col("y") * F.col("c")).alias("yc"),
-        F.sum(F.col("y") * F.col("s")).alias("ys"),
-        F.sum("c").alias("c"),
-        F.sum("s").alias("s"),
-        F.avg("y").alias("mean"),
+
+    def angle(steps: Column) -> Column:
+        """Angle of the bin after whole steps, reduced to one turn while still whole."""
+        turn = F.pmod(F.col("k").cast("long") * steps, F.col("size").cast("long"))
+        return turn * (2 * math.pi) / F.col("size")
+
+    sums = spread.groupBy(*keys, *series, "n", "padded", "size", "k").agg(
+        F.sum(F.col("bend") * F.cos(angle(F.col("step")))).alias("gc"),
+        F.sum(F.col("bend") * F.sin(angle(F.col("step")))).alias("gs"),
     )
-    re = F.col("yc") - F.col("mean") * F.col("c")
-    im = F.col("ys") - F.col("mean") * F.col("s")
+    omega = angle(F.lit(1))
+    half = F.sin(omega / 2)
+    gain = 4 * half * half
+    first = F.col("first_value") - F.col("grid_mean")
+    last = F.col("last_value") - F.col("grid_mean")
+    tilt = F.sin(omega) / gain
+    end = angle(F.col("n"))
+    re = last * F.cos(end) - first - F.col("gc") / 2 - tilt * F.col("gs")
+    im = last * F.sin(end) - F.col("gs") / 2 + tilt * F.col("gc")
     return sums.select(
         *keys,
         "n_points",
@@ -225,7 +270,7 @@ def spectrum_lines(
         "size",
         "k",
         bin_period(F.col("k"), F.col("size")).alias("period"),
-        (re * re + im * im).alias("power"),
+        ((re * re + im * im) / gain).alias("power"),
     )
 
 

@@ -1,0 +1,18 @@
+"""Parallelism of inputs that are few partitions but much work per row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a table over the cores when it has fewer partitions than there are cores.
+
+    A small file with one row group is one task whatever its split count, which
+    leaves a text job on one core. A large table has many more partitions than
+    cores and is returned as it is, without a shuffle. Only planning is done here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
