@@ -176,20 +176,15 @@ def padded_length(n: Column) -> Column:
 
 def bin_period(k: Column, size: Column) -> Column:
     """Period of bin k, from the bin frequency; edges depend on this form."""
-    return 1.0 / (k * (1.0 / size))
+    return F.try_divide(F.lit(1.0), k * (1.0 / size))
 
 
-def _bins_in(size: Column, low: float, high: float, margin: int) -> Column:
-    """Bins whose period lies in [low, high]; ``margin`` keeps that many neighbours."""
-    last = F.floor(size / 2).cast("int") - 1
+def _bins_near(size: Column, low: float, high: float) -> Column:
+    """Bin 0, which stands for the series itself, and the bins about the period range."""
     start = F.greatest(F.lit(1), F.floor(size / high).cast("int") - 1)
-    stop = F.least(last, F.ceil(size / low).cast("int") + 1)
-    near = F.when(stop >= start, F.sequence(start, stop)).otherwise(
-        F.array().cast("array<int>")
-    )
-    if margin:
-        return near
-    return F.filter(near, lambda k: bin_period(k, size).between(low, high))
+    stop = F.least(F.floor(size / 2).cast("int") - 1, F.ceil(size / low).cast("int") + 1)
+    near = F.when(stop >= start, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(F.lit(0)), near)
 
 
 def spectrum_lines(
@@ -200,8 +195,9 @@ def spectrum_lines(
 ) -> DataFrame:
     """Power per series, transform and bin, for only the bins in range.
 
-    ``ranges`` maps padded (True or False) to the period range. A series without
-    a bin keeps one row with a null ``k``.
+    ``ranges`` maps padded (True or False) to the period range; ``margin`` keeps
+    the neighbouring bins. Each series also keeps bin 0, so that one without any
+    bin in range is not lost.
 
     The daily grid is never built. With z the unit step of a bin and y the
     centred line over n days, summing by parts twice gives
@@ -211,38 +207,43 @@ def spectrum_lines(
     so a bin costs one term per point and not one per day, and two sums.
     """
     n = F.col("last_day") - F.col("first_day") + 1
+    series = ["n_points", "span_days", "first_value", "last_value", "grid_mean"]
+    columns = [*keys, *series, n.alias("n"), (F.col("day") - F.col("first_day")).alias("step"), "bend"]
 
-    def entries(padded: bool) -> Column:
+    def with_bins(padded: bool) -> DataFrame:
         low, high = ranges[padded]
-
-        def of_size(s: Column) -> Column:
-            return F.transform(
-                _bins_in(s, low, high, margin),
-                lambda k: F.struct(F.lit(padded).alias("padded"), s.alias("size"), k.alias("k")),
-            )
-
-        return let(padded_length(n) if padded else n, of_size)
-
-    wanted = [entries(padded) for padded in ranges]
-    bins = F.concat(*wanted) if len(wanted) > 1 else wanted[0]
-    series = ["n_points", "span_days", "first_value", "last_value", "grid_mean"]
-    spread = rows.select(
-        *keys,
-        *series,
-        n.alias("n"),
-        (F.col("day") - F.col("first_day")).alias("step"),
-        "bend",
-        F.explode_outer(bins).alias("bin"),
-    ).select(
-        *keys,
-        *series,
-        "n",
-        "step",
-        "bend",
-        F.col("bin.padded").alias("padded"),
-        F.col("bin.size").alias("size"),
-        F.col("bin.k").alias("k"),
-    )
+        sized = rows.select(*columns).select(
+            "*",
+            F.lit(padded).alias("padded"),
+            (padded_length(F.col("n")) if padded else F.col("n")).alias("size"),
+        )
+        bins = sized.select("*", F.explode(_bins_near(F.col("size"), low, high)).alias("k"))
+        if margin:
+            return bins
+        period = bin_period(F.col("k"), F.col("size"))
+        return bins.where((F.col("k") == 0) | period.between(low, high))
+
+    if len(ranges) == 1:
+        spread = with_bins(next(iter(ranges)))
+    else:
+        # Both transforms from one pass over the points.
+        (low, high), (padded_low, padded_high) = ranges[False], ranges[True]
+        both = F.array(
+            F.struct(F.lit(False).alias("padded"), n.alias("size")),
+            F.struct(F.lit(True).alias("padded"), padded_length(n).alias("size")),
+        )
+        sized = rows.select(*columns, F.explode(both).alias("t")).select(
+            *keys, *series, "n", "step", "bend", "t.padded", "t.size"
+        )
+        near = F.when(
+            F.col("padded"), _bins_near(F.col("size"), padded_low, padded_high)
+        ).otherwise(_bins_near(F.col("size"), low, high))
+        bins = sized.select("*", F.explode(near).alias("k"))
+        period = bin_period(F.col("k"), F.col("size"))
+        inside = F.when(F.col("padded"), period.between(padded_low, padded_high)).otherwise(
+            period.between(low, high)
+        )
+        spread = bins.where((F.col("k") == 0) | inside)
 
     def angle(steps: Column) -> Column:
         """Angle of the bin after whole steps, reduced to one turn while still whole."""
@@ -258,7 +259,7 @@ def spectrum_lines(
     gain = 4 * half * half
     first = F.col("first_value") - F.col("grid_mean")
     last = F.col("last_value") - F.col("grid_mean")
-    tilt = F.sin(omega) / gain
+    tilt = F.try_divide(F.sin(omega), gain)
     end = angle(F.col("n"))
     re = last * F.cos(end) - first - F.col("gc") / 2 - tilt * F.col("gs")
     im = last * F.sin(end) - F.col("gs") / 2 + tilt * F.col("gc")
@@ -270,7 +271,7 @@ def spectrum_lines(
         "size",
         "k",
         bin_period(F.col("k"), F.col("size")).alias("period"),
-        ((re * re + im * im) / gain).alias("power"),
+        F.try_divide(re * re + im * im, gain).alias("power"),
     )
 
 
@@ -322,7 +323,7 @@ def _peak(lines: Column, capped: bool) -> Column:
 def _lines_per_series(spectrum: DataFrame, keys: list[str]) -> DataFrame:
     """Collects each series' lines; their number is bounded by the bins in range."""
     line = F.when(
-        F.col("k").isNotNull(),
+        F.col("k") > 0,
         F.struct((-F.col("power")).alias("neg"), F.col("k"), F.col("period"), F.col("padded")),
     )
     return spectrum.groupBy(*keys, "n_points", "span_days").agg(
@@ -391,7 +392,7 @@ def integer_period_powers(
     spectrum = spectrum_lines(prepared, keys, {False: (low, high)}, margin=1)
     by_period = F.sort_array(
         F.collect_list(
-            F.when(F.col("k").isNotNull(), F.struct(F.col("period"), F.col("power")))
+            F.when(F.col("k") > 0, F.struct(F.col("period"), F.col("power")))
         )
     )
     per_series = spectrum.groupBy(*keys, "n_points", "span_days").agg(by_period.alias("lines"))
@@ -447,7 +448,7 @@ def spectrum(
     """Long spectrum of each valid series: k, period and power of the bins in range."""
     prepared = prepared_series(series, keys, scaling, period_range[0])
     lines = spectrum_lines(prepared, keys, {padded: period_range})
-    return lines.where(F.col("k").isNotNull()).select(*keys, "size", "k", "period", "power")
+    return lines.where(F.col("k") > 0).select(*keys, "size", "k", "period", "power")
 
 
 def scale_series(series: DataFrame, method: str, keys: list[str] = SERIES) -> DataFrame:
