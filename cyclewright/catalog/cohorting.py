@@ -9,6 +9,7 @@ from cyclewright.catalog.cycles import CONSENSUS_SQL, EVENT_PEAKS_SQL, _event_pe
 from cyclewright.catalog.phasing import PHASE_CASE, WRAP, four_phase_sql, pymod
 from cyclewright.operators import clean, cohorts, consensus
 from cyclewright.operators.anchors import add_offsets
+from cyclewright.sources import snapshots
 
 # A category is the event type, with a suffix for large values.
 HIGH = 150
@@ -145,8 +146,11 @@ def cohort_phase_report(spark, sf_dir):
     """Events to volumes by phase and group, on each user's own consensus period."""
     users, posts, groups = _groups(spark, sf_dir)
     placed = add_offsets(posts, users, ["id"])
-    voted = consensus.consensus_periods(
-        clean.filter_snr(_event_peaks(spark, sf_dir), 3.0), min_features=2, tolerance=1
+    # One row per user, used by the groups, the phase table and the fallback test.
+    voted = snapshots.settle(
+        consensus.consensus_periods(
+            clean.filter_snr(_event_peaks(spark, sf_dir), 3.0), min_features=2, tolerance=1
+        )
     )
     return _report_columns(
         cohorts.cohort_report(placed, users, groups, voted, SETS, "category", ["id"])

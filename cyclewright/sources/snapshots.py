@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Small result stored once in the shared folder, for plans that use it several times."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def save_snapshot(df: DataFrame, root: str, dataset: str, run_ts: str) -> str:
     """Adds one run of a dataset, in its own partition."""
     path = posixpath.join(root, dataset)
