@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclewright.llm import exact_dedup, mixing, simhash
+from cyclewright.llm import chat, decontaminate, exact_dedup, licenses, mixing, pages, passages, quality, secrets, simhash
 from cyclewright.llm.common import table
 from cyclewright.llm.queries import query
 
@@ -69,3 +69,101 @@ from d window same as (partition by text_sha256)
 def op9_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+CHAT_SQL = r"""
+with t as (
+  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null and turn is not null
+), p as (
+  select conv_id, row_number() over w as place, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as line,
+    count(*) over (partition by conv_id) as n_turns
+  from t window w as (partition by conv_id order by turn, role, text)
+), c as (
+  select conv_id, place, n_turns, string_agg(line, '') over (partition by conv_id order by place) as text from p
+), whole as (
+  select min(conv_id) as conv_id, n_turns, count(*) as copies, text from c where place = n_turns group by n_turns, text
+)
+select conv_id, n_turns, copies, text from whole
+where not exists (select 1 from c where c.place < c.n_turns and c.place = whole.n_turns and c.text = whole.text)
+"""
+
+
+@query(CHAT_SQL)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered conversations without snapshots of longer ones."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+@query(None)
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leak into documents."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(None)
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight, key and fate of every document."""
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _license_sql() -> str:
+    def start(phrase: str) -> str:
+        same = " and ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split(), 1))
+        return f"select r, doc_id, i, '{licenses.PHRASES[phrase]}' as label from pos where {same}"
+
+    templates = ", ".join(
+        f"('{label}', {licenses.template_words(text)}, {licenses.least_overlap(len(licenses.template_words(text)))})"
+        for label, text in licenses.TEMPLATES
+    )
+    word = licenses.WORD
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), w as (select r, doc_id, t, regexp_extract_all(t, '{word}') as w from d
+), pos as (select r, doc_id, w, unnest(range(len(w))) as i from w
+), base as ({" union all ".join(start(p) for p in licenses.PHRASES)}
+), b as (
+  select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as labels from base group by r
+), blocks as (
+  select r, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n[\x20\x09\x0B-\x0D]*\n'))) as block from d
+), own as (select r, regexp_extract_all(block, '{word}') as w from blocks
+), tpl(label, own, least) as (values {templates}
+), m as (
+  select r, list(distinct label) as labels, max(len(list_intersect(tpl.own, own.w)) / len(tpl.own)) as containment
+  from own, tpl
+  where len(own.w) >= tpl.least and len(own.w) <= len(tpl.own) * {licenses.BLOCK_FACTOR}
+    and len(list_intersect(tpl.own, own.w)) >= tpl.least
+  group by r
+)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(b.n_base, 0)::bigint as n_base, b.first_word, b.last_word,
+  array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') as labels,
+  case when b.n_base > 0 then 1.0 else coalesce(m.containment, 0.0) end::double as score
+from w left join b using (r) left join m using (r)
+"""
+
+
+@query(_license_sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query(None)
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
+@query(None)
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query(None)
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of every document with the forest's verdict."""
+    return secrets.scanned(table(spark, sf_dir, "documents"))
