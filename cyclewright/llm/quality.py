@@ -6,8 +6,9 @@ two, in logarithms a sum over its n-grams. Adding a Gumbel variable to the logar
 the k largest sums samples k documents without replacement in proportion to their weights.
 
 Smoothing adds the same pseudo-count to the target's count and to the count that the raw model leads one to
-expect in a text of the target's size, so that rare n-grams say little. The usual gain of a target document
-per n-gram is taken off, else length alone would decide. k is the number of documents whose weight passes the
+expect in a text of the target's size. Where the target isn't clearly short of that, its model backs off to the raw
+one: rare n-grams then say nothing, and long documents earn nothing by length. What a target document usually
+gains per n-gram is taken off. k is the number of documents whose weight passes the
 level that parts good from other labelled documents best.
 
 The target model and the level are fitted on a bounded sample of labelled rows (SAMPLE); counts of the raw
@@ -37,8 +38,10 @@ BUCKETS = 1 << 18
 SAMPLE = 20_000
 PSEUDO_COUNT = 0.5
 SEED = 11
+#: Standard deviations by which the target must fall short of the raw model for a bucket to count.
+SHORT_BY = 3.5
 #: A good document lost weighs as many times as a bad one kept, when the level is chosen.
-COST_OF_LOSS = 3
+COST_OF_LOSS = 5
 #: Words a task remembers the hashes of before it starts anew.
 MEMORY = 500_000
 #: Digits of a key that one round of the selection counts, and the keys' fixed point.
@@ -118,9 +121,10 @@ def gram_counts(docs: DataFrame, target_ids: set[int], buckets: int = BUCKETS) -
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log of p(target) / p(raw) of each bucket, smoothed at the target's size."""
+    """log of p(target) / p(raw) of each bucket, smoothed at the target's size; 0 where the target backs off."""
     expected = raw * (target.sum() / max(raw.sum(), 1.0))
-    return np.log((target + PSEUDO_COUNT) / (expected + PSEUDO_COUNT))
+    short = (expected - target) / np.sqrt(expected + 1) >= SHORT_BY
+    return np.where(short, np.log((target + PSEUDO_COUNT) / (expected + PSEUDO_COUNT)), 0.0)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -195,8 +199,12 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return prefix - offset
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[np.ndarray, DataFrame, float]:
-    """Ratios (the usual gain taken off), doc_id with log_weight and n_grams of every row, and the level."""
+def net_weight(weight: str, size: str, gain: float) -> Column:
+    return F.col(weight) - F.lit(gain) * F.col(size)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[np.ndarray, float, DataFrame, float]:
+    """Ratios, the usual gain per n-gram, doc_id with log_weight and n_grams of every row, and the level."""
     marked = labelled_sample(labels, sample)
     raw, target = gram_counts(docs, {i for i, (good, fits) in marked.items() if good and fits}, buckets)
     ratios = log_ratios(raw, target)
@@ -212,13 +220,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: in
     gain = float(np.median(weight[some] / size[some])) if some.any() else 0.0
     weight = weight - gain * size
     level = best_level(weight[is_good], weight[~is_good])
-    scored = first.withColumn("log_weight", F.col("log_weight") - F.lit(gain) * F.col("n_grams"))
-    return ratios - gain, scored, level
+    return ratios, gain, first.withColumn("log_weight", net_weight("log_weight", "n_grams", gain)), level
 
 
 def resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, n_grams, log_weight, key (fixed point), kept of every row."""
-    _, scored, level = fitted(docs, labels, **options)
+    _, _, scored, level = fitted(docs, labels, **options)
     keyed = scored.withColumn("key", key_of(F.col("log_weight"), F.col("doc_id")))
     least = kth_largest(keyed, keyed.where(F.col("log_weight") >= F.lit(level)).count())
     return keyed.select("doc_id", "n_grams", "log_weight", "key", F.lit(True).alias("kept") if least is None else (F.col("key") >= least).alias("kept"))
@@ -226,11 +233,11 @@ def resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the sample keeps, with all their columns; texts are weighed again, not shuffled."""
-    ratios, scored, level = fitted(docs, labels, **options)
+    ratios, gain, scored, level = fitted(docs, labels, **options)
     keyed = scored.select(key_of(F.col("log_weight"), F.col("doc_id")).alias("key"), "log_weight")
     least = kth_largest(keyed, keyed.where(F.col("log_weight") >= F.lit(level)).count())
     if least is None:
         return docs
     weight, size = free_name(docs, "log_weight"), free_name(docs, "n_grams")
     rows = weighed(docs, ratios, weight, size)
-    return rows.where(key_of(F.col(weight), F.col("doc_id").cast("long")) >= least).select(*docs.columns)
+    return rows.where(key_of(net_weight(weight, size, gain), F.col("doc_id").cast("long")) >= least).select(*docs.columns)
