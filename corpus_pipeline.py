@@ -1,13 +1,24 @@
-"""The corpus pipeline: documents to a mix of clean, distinct ones, by five operators in turn."""
+"""The corpus pipeline: documents to a mix of clean, distinct ones, by five operators in turn.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of the documents. A null or empty text is a document like any other: the classifier has nothing against
+it, and the deduplication keeps one of them. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclewright.llm import exact_dedup, mixing, simhash
+from cyclewright.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from cyclewright.llm.common import stored, table
 from cyclewright.llm.queries import query
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling keeps."""
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.deduplicated(docs)
@@ -18,13 +29,37 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.one_of_each(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no benchmark item leaks."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with how many."""
+    """The documents that the mix takes words of, with size, source_size, target and taken."""
     return mixing.repeated(docs)
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_dedup_stage),
     ("SimHash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
 ]
+
+#: Importance weights, SimHash links and edit distances aren't SQL; tests hold the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each stored and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+@query(ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix that the corpus pipeline makes."""
+    return run(spark, sf_dir)
