@@ -33,7 +33,7 @@ def latest_anchor(spark, sf_dir):
 def keep_target_users(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
     buyers = posts.where((F.col("subreddit") == "purchase") & (F.col("value") > 250)).select("author")
-    return anchors.keep_users(posts, buyers.distinct(), "author", ["id"]).select("id", "author")
+    return anchors.keep_users(posts, buyers.distinct(), "author").select("id", "author")
 
 
 @query("with" + EVENTS_SQL + """
@@ -59,7 +59,7 @@ def elapsed_and_calendar_days(spark, sf_dir):
     late = event_users(posts).withColumn(
         "timestep", F.col("timestep") + F.expr("interval 7 hours")
     )
-    joined = anchors.with_anchor(posts, late, "author", ["id"], "offset_from_cd1", "inner")
+    joined = anchors.with_anchor(posts, late, "author", "offset_from_cd1", "inner")
     elapsed = anchors.elapsed_days(F.col("ts_utc"), F.col("anchor_ts"))
     return joined.select(
         "id",
@@ -75,7 +75,7 @@ def elapsed_and_calendar_days(spark, sf_dir):
   where abs(floor((epoch_us(l.l_shipdate) - epoch_us(a.anchor_ts)) / 86400000000.0)) <= 61""")
 def elapsed_window(spark, sf_dir):
     posts = item_posts(spark, sf_dir)
-    kept = anchors.within_months(posts, item_users(posts), ["id", "l_linenumber"], months=2)
+    kept = anchors.within_months(posts, item_users(posts), months=2)
     return kept.select("id", "l_linenumber", "author")
 
 
@@ -85,7 +85,7 @@ def elapsed_window(spark, sf_dir):
   where abs(date_diff('day', cast(a.anchor_ts as date), cast(l.l_shipdate as date))) <= 365""")
 def calendar_window(spark, sf_dir):
     posts = item_posts(spark, sf_dir)
-    kept = anchors.within_calendar_days(posts, item_users(posts), ["id", "l_linenumber"])
+    kept = anchors.within_calendar_days(posts, item_users(posts))
     return kept.select("id", "l_linenumber", "author")
 
 
@@ -206,7 +206,7 @@ def user_set_operations(spark, sf_dir):
 def timeline_order(spark, sf_dir):
     """Dated timeline sorted by user and time: a range-partitioned sort on both columns."""
     posts = event_posts(spark, sf_dir)
-    placed = clean.with_offset(anchors.add_offsets(posts, event_users(posts), ["id"]))
+    placed = clean.with_offset(anchors.add_offsets(posts, event_users(posts)))
     return placed.orderBy("author", "ts_utc").select("author", "offset_from_cd1", "id")
 
 
@@ -224,7 +224,6 @@ def scan_categories(spark, sf_dir):
         ["click", "error"],
         "subreddit",
         users.distinct(),
-        spread=["id"],
     )
     return found.select("id", "author", "subreddit")
 
@@ -272,7 +271,7 @@ def _with_holes(spark, sf_dir):
   where user_id not in (select user_id from e where k is null)""")
 def drop_incomplete_users(spark, sf_dir):
     return timeline.drop_incomplete_users(
-        _with_holes(spark, sf_dir), ["k", "value"], ["id"]
+        _with_holes(spark, sf_dir), ["k", "value"]
     ).select("id", "author", "k")
 
 

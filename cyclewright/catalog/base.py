@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewright.operators.anchors import latest_per_key, placed_window
@@ -96,7 +96,7 @@ def event_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cyclewright.operators.anchors import add_offsets
 
     posts = event_posts(spark, sf_dir)
-    placed = add_offsets(posts, event_users(posts), ["id"])
+    placed = add_offsets(posts, event_users(posts))
     return (
         placed.where(F.col("offset_from_cd1").isNotNull())
         .groupBy("author", "offset_from_cd1")
@@ -158,7 +158,7 @@ def item_users(posts: DataFrame) -> DataFrame:
 def item_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines within three months of the supplier's anchor."""
     posts = item_posts(spark, sf_dir)
-    return placed_window(posts, item_users(posts), ["id", "l_linenumber"])
+    return placed_window(posts, item_users(posts))
 
 
 def item_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ gate as (
          avg(value) as mu, stddev_pop(value) as sd
   from series group by all
   having count(*) >= 10 and max(day) - min(day) >= {min_span} and min(value) < max(value)
-     and stddev_pop(value) >= 1e-10),
+     and stddev_pop(value) / (stddev_pop(value) + 1e-10) >= 1e-10),
 prepared as (
   select s."user", s.feature, s.day, (s.value - g.mu) / (g.sd + 1e-10) as y,
          g.n_points, g.d0, g.d1
@@ -276,18 +276,25 @@ def peak_sql(
     )
 
 
-PEAK_COLUMNS = """"user", feature, period, round(power, 6) as power,
-       round(least(peak_to_background, 1000000.0), 6) as peak_to_background, n_points, span_days"""
+# Ratios reach from below 1 to power / 1e-10, so they are compared to six places of their logarithm.
+LOG_RATIO_SQL = """case when peak_to_background > 0
+         then round(log10(peak_to_background), 6) end as log10_peak_to_background"""
+PEAK_COLUMNS = f""""user", feature, period, round(power, 6) as power,
+       {LOG_RATIO_SQL}, n_points, span_days"""
+
+
+def log_ratio(ratio: str = "peak_to_background") -> Column:
+    return F.when(F.col(ratio) > 0, F.round(F.log10(ratio), 6)).alias(f"log10_{ratio}")
 
 
 def peak_columns(df: DataFrame) -> DataFrame:
-    """Result columns in comparable form: huge single-bin ratios are levelled."""
+    """Result columns in comparable form."""
     return df.select(
         "user",
         "feature",
         "period",
         F.round("power", 6).alias("power"),
-        F.round(F.least("peak_to_background", F.lit(1e6)), 6).alias("peak_to_background"),
+        log_ratio(),
         "n_points",
         "span_days",
     )

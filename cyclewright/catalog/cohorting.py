@@ -9,7 +9,6 @@ from cyclewright.catalog.cycles import CONSENSUS_SQL, EVENT_PEAKS_SQL, _event_pe
 from cyclewright.catalog.phasing import PHASE_CASE, WRAP, four_phase_sql, pymod
 from cyclewright.operators import clean, cohorts, consensus
 from cyclewright.operators.anchors import add_offsets
-from cyclewright.sources import snapshots
 
 # A category is the event type, with a suffix for large values.
 HIGH = 150
@@ -64,7 +63,7 @@ def cohort_split(spark, sf_dir):
   from grouped left join flags using ("user") group by 1""")
 def ever_posted(spark, sf_dir):
     _, posts, groups = _groups(spark, sf_dir)
-    out = cohorts.ever_posted(posts, groups, SETS, "category", ["id"])
+    out = cohorts.ever_posted(posts, groups, SETS, "category")
     pct = [f"pct_{n}" for n in SETS]
     return out.select("group", "n_users", *[f"n_{n}" for n in SETS], *r6(*pct))
 
@@ -127,9 +126,9 @@ def _report_columns(df):
 def phase_volumes(spark, sf_dir):
     """Volumes by phase with the fallback length for everyone."""
     users, posts, groups = _groups(spark, sf_dir)
-    placed = add_offsets(posts, users, ["id"])
+    placed = add_offsets(posts, users)
     return _report_columns(
-        cohorts.cohort_report(placed, users, groups, None, SETS, "category", ["id"])
+        cohorts.cohort_report(placed, users, groups, None, SETS, "category")
     )
 
 
@@ -145,15 +144,12 @@ EVENT_CONSENSUS_SQL = (
 def cohort_phase_report(spark, sf_dir):
     """Events to volumes by phase and group, on each user's own consensus period."""
     users, posts, groups = _groups(spark, sf_dir)
-    placed = add_offsets(posts, users, ["id"])
-    # One row per user, used by the groups, the phase table and the fallback test.
-    voted = snapshots.settle(
-        consensus.consensus_periods(
-            clean.filter_snr(_event_peaks(spark, sf_dir), 3.0), min_features=2, tolerance=1
-        )
+    placed = add_offsets(posts, users)
+    voted = consensus.consensus_periods(
+        clean.filter_snr(_event_peaks(spark, sf_dir), 3.0), min_features=2, tolerance=1
     )
     return _report_columns(
-        cohorts.cohort_report(placed, users, groups, voted, SETS, "category", ["id"])
+        cohorts.cohort_report(placed, users, groups, voted, SETS, "category")
     )
 
 
@@ -166,7 +162,7 @@ COUNTS_SQL = OFFSETS_SQL + """,
 def _counts(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
     return cohorts.before_after_counts(
-        add_offsets(posts, event_users(posts), ["id"]), "author", "offset_from_cd1"
+        add_offsets(posts, event_users(posts)), "author", "offset_from_cd1"
     )
 
 

@@ -11,6 +11,7 @@ from cyclewright.catalog.base import (
     ITEM_DAILY_SQL,
     ITEM_SERIES_SQL,
     LINES_SQL,
+    LOG_RATIO_SQL,
     OFFSETS_SQL,
     PEAK_COLUMNS,
     PREPARED_SQL,
@@ -20,6 +21,7 @@ from cyclewright.catalog.base import (
     item_daily,
     item_series,
     item_timeline,
+    log_ratio,
     peak_columns,
     peak_sql,
     query,
@@ -29,6 +31,8 @@ from cyclewright.operators import clean, consensus, lomb, sinefit, spectral, sum
 from cyclewright.operators.anchors import add_offsets
 from cyclewright.operators.scaling import zscore_daily_per_user, zscore_posts_per_user
 from cyclewright.operators.timeline import daily_value
+from cyclewright.plans import jobs
+from cyclewright.settings import FAP_THRESHOLD
 
 SHORT = (3, 10)
 
@@ -79,7 +83,7 @@ def flagship_cycles(spark, sf_dir):
 )
 def offsets_from_anchor(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
-    return add_offsets(posts, event_users(posts), ["id"]).select("id", "author", "offset_from_cd1")
+    return add_offsets(posts, event_users(posts)).select("id", "author", "offset_from_cd1")
 
 
 @query(
@@ -90,7 +94,7 @@ def offsets_from_anchor(spark, sf_dir):
 )
 def daily_mean(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
-    placed = add_offsets(posts, event_users(posts), ["id"])
+    placed = add_offsets(posts, event_users(posts))
     return daily_value(placed, ["author"], "offset_from_cd1", "value").select(
         "author", "offset_from_cd1", *r6("feature_mean"), "n_entries"
     )
@@ -104,7 +108,7 @@ def daily_mean(spark, sf_dir):
 )
 def daily_median(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
-    placed = add_offsets(posts, event_users(posts), ["id"])
+    placed = add_offsets(posts, event_users(posts))
     return daily_value(placed, ["author"], "offset_from_cd1", "value", "median").select(
         "author", "offset_from_cd1", *r6("feature_mean"), "n_entries"
     )
@@ -170,7 +174,7 @@ def zscore_sample(spark, sf_dir):
 )
 def zscore_posts(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
-    return zscore_posts_per_user(posts, ["value"], "author", ["id"]).select(
+    return zscore_posts_per_user(posts, ["value"], "author").select(
         "id", "author", *r6("value_zscore")
     )
 
@@ -343,9 +347,9 @@ def integer_period_power(spark, sf_dir):
           from ranked group by all)
     select g."user", g.feature, cast(p.period as integer) as period,
            round(coalesce(p.best, 0.0), 6) as power,
-           round(case when p.best is null then 0.0
-             when p.med is null or p.med < 1e-10 then least(p.best / 1e-10, 1000.0)
-             else p.best / (p.med + 1e-10) end, 6) as peak_to_background,
+           case when p.best > 0 then round(log10(case when p.med is null or p.med < 1e-10
+             then least(p.best / 1e-10, 1000.0) else p.best / (p.med + 1e-10) end), 6) end
+             as log10_peak_to_background,
            g.n_points, cast(g.d1 - g.d0 as double) as span_days
     from gate g left join p using ("user", feature)"""
 )
@@ -364,9 +368,9 @@ def periodicity_results(spark, sf_dir):
     return peak_columns(clean.filter_snr(found, 3.0))
 
 
-def _grid_sql(method: str, padded: bool, low: int, high: int, capped: bool) -> str:
-    """One method of the scaling grid, for the two scalings, by suffixing the feature."""
-    both = ITEM_SERIES_SQL + """,
+SCALED_SERIES_SQL = (
+    ITEM_SERIES_SQL
+    + """,
 scaled0 as (
   select "user", day, 'zscore:' || feature as feature,
     (value - avg(value) over w) / (stddev_pop(value) over w + 1e-10) as value
@@ -375,50 +379,46 @@ scaled0 as (
   select "user", day, 'minmax:' || feature as feature,
     (value - min(value) over w) / (max(value) over w - min(value) over w + 1e-10) as value
   from series window w as (partition by "user", feature))"""
-    body = peak_sql(both, low, high, padded, capped, min_span=21)
-    body = body.replace("from series group by all", "from scaled0 group by all").replace(
-        "(s.value - g.mu) / (g.sd + 1e-10) as y", "s.value as y"
-    ).replace("from series s join gate", "from scaled0 s join gate")
-    return (
-        "select *, '" + method + "' as method from (with" + body + " select * from found)"
-    )
+)
 
 
-METHOD_GRID_SQL = (
-    """select "user", split_part(feature, ':', 2) as feature,
-         split_part(feature, ':', 1) as normalization, method, period, round(power, 6) as power,
-         round(least(peak_to_background, 1000000.0), 6) as peak_to_background, n_points, span_days
-       from ("""
-    + " union all ".join(
-        _grid_sql(*m)
-        for m in [
-            ("fft_interpolation", False, 21, 35, False),
-            ("fft_zeropad", True, 21, 35, True),
-            ("fft_interp_wide", False, 10, 50, False),
-            ("fft_zeropad_wide", True, 10, 50, False),
-        ]
+def _of_scaled(sql: str) -> str:
+    """SQL over ``series`` turned to the scaled series, which are not scaled again."""
+    return (
+        sql.replace("from series group by all", "from scaled0 group by all")
+        .replace("(s.value - g.mu) / (g.sd + 1e-10) as y", "s.value as y")
+        .replace("from series s join gate", "from scaled0 s join gate")
     )
-    + ") where peak_to_background > 3 and period between 21 and 35"
-)
-
 
-@query(METHOD_GRID_SQL)
-def normalisation_grid(spark, sf_dir):
-    """Every scaling and every Fourier method in one pass each, filtered by ratio and range."""
-    from cyclewright.plans.jobs import normalisation_grid as grid
 
-    found = grid(item_series(spark, sf_dir), ["zscore", "minmax"], filter_range=True)
-    return found.where(F.col("method") != "lombscargle").select(
-        "user",
-        "feature",
-        "normalization",
-        "method",
-        F.col("period").cast("int").alias("period"),
-        F.round("power", 6).alias("power"),
-        F.round(F.least("peak_to_background", F.lit(1e6)), 6).alias("peak_to_background"),
-        "n_points",
-        "span_days",
-    )
+def _grid_sql(method: str, padded: bool, low: int, high: int, capped: bool) -> str:
+    """One Fourier method of the scaling grid, for the two scalings."""
+    body = _of_scaled(peak_sql(SCALED_SERIES_SQL, low, high, padded, capped, min_span=21))
+    return f"""select "user", feature, '{method}' as method, cast(period as double) as period, power,
+         peak_to_background, cast(null as double) as fap, n_points, span_days
+       from (with{body} select * from found) where peak_to_background > 3"""
+
+
+def _ls_grid_sql() -> str:
+    """The Lomb-Scargle rows of the scaling grid."""
+    body = _of_scaled(SCALED_SERIES_SQL + LS_FAP_SQL)
+    return f"""select "user", feature, 'lombscargle' as method, period, power,
+         cast(null as double) as peak_to_background, fap, n_points, span_days
+       from (with{body} select * from alarms) where fap < {FAP_THRESHOLD}"""
+
+
+def method_grid_sql() -> str:
+    methods = [
+        ("fft_interpolation", False, 21, 35, False),
+        ("fft_zeropad", True, 21, 35, True),
+        ("fft_interp_wide", False, 10, 50, False),
+        ("fft_zeropad_wide", True, 10, 50, False),
+    ]
+    return f"""select "user", split_part(feature, ':', 2) as feature,
+         split_part(feature, ':', 1) as normalization, method, period, round(power, 6) as power,
+         {LOG_RATIO_SQL}, round(fap, 6) as fap, n_points, span_days
+       from ({" union all ".join([*(_grid_sql(*m) for m in methods), _ls_grid_sql()])})
+       where period between 21 and 35"""
 
 
 @query(
@@ -614,26 +614,75 @@ def _gamma_ratio_sql(n: str) -> str:
     return f"exp(lgamma(({n} - 1) / 2) - lgamma(({n} - 2) / 2))"
 
 
-@query(
-    "with"
-    + ITEM_SERIES_SQL
-    + PREPARED_SQL.format(min_span=21)
+LS_FAP_SQL = (
+    PREPARED_SQL.format(min_span=21)
     + LS_SUMS_SQL.format(count=801, step=0.1, low=10.0)
     + LS_POWER_SQL
     + f""", spread as (select "user", feature, var_pop(day) as vt from prepared group by all),
     best as (
-      select "user", feature, n, span, max(power) as z from powers group by all),
+      select "user", feature, n, span, power as z, period
+      from (select *, row_number() over (partition by "user", feature order by power desc, j) as rn from powers)
+      where rn = 1),
     w as (
       select *, (1 / (5 * span) / 2 + 1 / (5 * span) * (floor(12.5 * n) - 1))
-                * sqrt(4 * pi() * vt) as w from best join spread using ("user", feature))
-    select "user", feature, round(1 - (1 - power(1 - z, (n - 3) / 2))
-      * exp(-(sqrt(2 / (n - 1)) * {_gamma_ratio_sql("n")} * w * power(1 - z, (n - 4) / 2)
-              * sqrt((n - 1) * z / 2))), 6) as fap from w"""
+                * sqrt(4 * pi() * vt) as w from best join spread using ("user", feature)),
+    alarms as (
+      select "user", feature, period, z as power, n as n_points, cast(span as double) as span_days,
+        1 - (1 - power(1 - z, (n - 3) / 2))
+          * exp(-(sqrt(2 / (n - 1)) * {_gamma_ratio_sql("n")} * w * power(1 - z, (n - 4) / 2)
+                  * sqrt((n - 1) * z / 2))) as fap from w)"""
 )
+
+
+@query("with" + ITEM_SERIES_SQL + LS_FAP_SQL + """ select "user", feature, round(fap, 6) as fap from alarms""")
 def ls_false_alarm(spark, sf_dir):
     return lomb.detect_periods_ls(item_series(spark, sf_dir)).select("user", "feature", *r6("fap"))
 
 
+@query(method_grid_sql())
+def normalisation_grid(spark, sf_dir):
+    """Every scaling with every method, by ratio or false-alarm probability and in range."""
+    found = jobs.normalisation_grid(
+        item_series(spark, sf_dir), ["zscore", "minmax"], filter_range=True
+    )
+    return found.select(
+        "user",
+        "feature",
+        "normalization",
+        "method",
+        "period",
+        *r6("power"),
+        log_ratio(),
+        *r6("fap"),
+        "n_points",
+        "span_days",
+    )
+
+
+ALL_METHODS_SQL = (
+    """select "user", feature, 'lombscargle' as method, period, round(power, 6) as power,
+         cast(null as double) as log10_peak_to_background, round(fap, 6) as fap, n_points, span_days
+       from (with"""
+    + ITEM_SERIES_SQL
+    + LS_FAP_SQL
+    + " select * from alarms)"
+    + "".join(
+        f""" union all select "user", feature, '{method}' as method, cast(period as double) as period,
+         round(power, 6) as power, {LOG_RATIO_SQL}, cast(null as double) as fap, n_points, span_days
+       from (with{peak_sql(ITEM_SERIES_SQL, 21, 35, padded=padded, capped=padded)} select * from found)"""
+        for method, padded in (("fft_interpolation", False), ("fft_zeropad", True))
+    )
+)
+
+
+@query(ALL_METHODS_SQL)
+def all_methods(spark, sf_dir):
+    """Lomb-Scargle, plain and zero-padded Fourier over all users and features."""
+    return jobs.all_methods(item_series(spark, sf_dir)).select(
+        "user", "feature", "method", "period", *r6("power"), log_ratio(), *r6("fap"), "n_points", "span_days"
+    )
+
+
 @query(
     "with"
     + ITEM_SERIES_SQL

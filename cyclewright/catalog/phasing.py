@@ -94,7 +94,7 @@ def five_phase_table(spark, sf_dir):
     when d between cl - 9 and cl - 5 then 'Midluteal' end as phase from placed""")
 def five_phase_days(spark, sf_dir):
     placed = phases.with_cycle_length(
-        item_timeline(spark, sf_dir), _lengths(spark, sf_dir), ["id", "l_linenumber"]
+        item_timeline(spark, sf_dir), _lengths(spark, sf_dir)
     )
     return phases.assign_five_phases(placed, "offset_from_cd1", "period").select(
         "id", "l_linenumber", "offset_from_cd1", "phase"
@@ -111,7 +111,7 @@ def phase_of_day(spark, sf_dir):
     """Phases from the stored table of each user."""
     table_of_phases = phases.phase_table(_lengths(spark, sf_dir))
     phased = phases.assign_phases(
-        item_timeline(spark, sf_dir), table_of_phases, ["id", "l_linenumber"]
+        item_timeline(spark, sf_dir), table_of_phases
     )
     return phased.select("id", "l_linenumber", "offset_from_cd1", "phase")
 
@@ -120,7 +120,7 @@ def phase_of_day(spark, sf_dir):
 def phase_by_length(spark, sf_dir):
     """The same phases by arithmetic on the joined cycle length."""
     placed = phases.with_cycle_length(
-        item_timeline(spark, sf_dir), _lengths(spark, sf_dir), ["id", "l_linenumber"]
+        item_timeline(spark, sf_dir), _lengths(spark, sf_dir)
     )
     return phases.assign_phases_by_length(placed, "period").select(
         "id", "l_linenumber", "offset_from_cd1", "phase"
@@ -145,7 +145,7 @@ def cycle_length_join(spark, sf_dir):
         .where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
         .select((F.col("o_custkey") % 100).alias("user"), F.col("o_orderstatus").alias("period"))
     )
-    joined = phases.with_cycle_length(item_daily(spark, sf_dir), pairs, ["offset_from_cd1"])
+    joined = phases.with_cycle_length(item_daily(spark, sf_dir), pairs)
     return joined.select("author", "offset_from_cd1", "period")
 
 
@@ -210,7 +210,7 @@ ITEM_PHASED_SQL = f"""{LENGTHS_SQL}, {four_phase_sql('lengths')},{ITEM_DAILY_SQL
 
 def _phased_daily(spark, sf_dir):
     placed = phases.with_cycle_length(
-        item_daily(spark, sf_dir), _lengths(spark, sf_dir), ["offset_from_cd1"]
+        item_daily(spark, sf_dir), _lengths(spark, sf_dir)
     )
     return phases.assign_phases_by_length(placed, "period")
 

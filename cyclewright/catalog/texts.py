@@ -13,7 +13,6 @@ from cyclewright.functions import daynumbers, matching
 from cyclewright.functions import textfeatures as tf
 from cyclewright.operators import anchors, clean, summaries, textmetrics
 from cyclewright.operators import matching as match_ops
-from cyclewright.plans.parallel import widen
 from cyclewright.settings import (
     ANCHOR_PATTERNS,
     CYCLE_DAY_PATTERNS,
@@ -68,7 +67,7 @@ docs as (
 
 
 def _texts(spark, sf_dir):
-    return widen(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def _documents(spark, sf_dir):
@@ -348,7 +347,8 @@ raw as (
     case doc_id % 5 when 0 then null when 1 then '  ' || lang else lang end as title,
     case doc_id % 7 when 0 then '[removed]' when 1 then '[deleted]' when 2 then null
       else text || chr(10) || chr(9) end as selftext,
-    case doc_id % 6 when 0 then 'bad' when 1 then cast(1700000000 + doc_id as varchar) || '.25'
+    case when doc_id % 48 = 0 then '1e18' when doc_id % 48 = 6 then 'Infinity' when doc_id % 6 = 0 then 'bad'
+      when doc_id % 6 = 1 then cast(1700000000 + doc_id as varchar) || '.25'
       else cast(1700000000 + doc_id * 3600 as varchar) end as created_utc,
     case doc_id % 4 when 0 then 'Mod of ' || lang when 1 then 'modern' when 2 then 'x[m]y' end as flair,
     case when doc_id % 9 = 0 then 'moderator' end as distinguished
@@ -367,7 +367,9 @@ def _raw(spark, sf_dir):
         .when(defect == 1, F.lit("[deleted]"))
         .when(defect != 2, F.concat("text", F.lit("\n\t")))
         .alias("selftext"),
-        F.when(n % 6 == 0, F.lit("bad"))
+        F.when(n % 48 == 0, F.lit("1e18"))
+        .when(n % 48 == 6, F.lit("Infinity"))
+        .when(n % 6 == 0, F.lit("bad"))
         .when(n % 6 == 1, F.concat((n + 1700000000).cast("string"), F.lit(".25")))
         .otherwise((n * 3600 + 1700000000).cast("string"))
         .alias("created_utc"),
@@ -399,8 +401,8 @@ def clean_text(spark, sf_dir):
 
 
 @query("with" + RAW_SQL + """ select doc_id as id,
-    cast(round(try_cast(created_utc as double) * 1000000) as bigint) as ts_us,
-    strftime(make_timestamp(cast(round(try_cast(created_utc as double) * 1000000) as bigint)), '%Y-%m-%d') as ts_date
+    try_cast(round(try_cast(created_utc as double) * 1000000) as bigint) as ts_us,
+    strftime(make_timestamp(try_cast(round(try_cast(created_utc as double) * 1000000) as bigint)), '%Y-%m-%d') as ts_date
   from raw""")
 def epoch_timestamps(spark, sf_dir):
     out = clean.add_timestamps(_raw(spark, sf_dir), date_string=True)
@@ -438,24 +440,30 @@ def raw_content(spark, sf_dir):
     return out.select("id", "author", "source", F.md5("text").alias("text_md5"))
 
 
-@query("""select doc_id::varchar as id, source as author, lang as subreddit, cast(doc_id as double) as created_utc,
+@query("""select doc_id::varchar as id, source as author, lang as subreddit,
+    case when doc_id % 10 <> 7 then cast(doc_id as double) end as created_utc,
     md5(text) as body_md5 from documents where doc_id % 10 not in (3, 4, 5)""")
 def json_lines(spark, sf_dir):
-    """Documents as ``row_id:{json}`` lines, some of them malformed, blank or without a colon."""
+    """Documents as ``row_id:{json}`` lines: malformed, blank, without a colon, with a quoted
+    number, with a number that is none, or with a tab after the colon."""
     n = F.col("doc_id")
     payload = F.to_json(
         F.struct(
             F.col("source").alias("author"),
-            n.cast("double").alias("created_utc"),
+            F.when(n % 10 == 7, F.lit("unknown")).otherwise(n.cast("string")).alias("created_utc"),
             F.col("lang").alias("subreddit"),
             n.cast("string").alias("id"),
             F.col("text").alias("body"),
         )
     )
+    # Even documents have the number without quotes.
+    plain = F.regexp_replace(payload, r'"created_utc":"(\d+)"', '"created_utc":$1')
+    payload = F.when(n % 2 == 0, plain).otherwise(payload)
     line = (
         F.when(n % 10 == 3, F.concat(n, F.lit(': {"author": "cut')))
         .when(n % 10 == 4, F.lit(" "))
         .when(n % 10 == 5, F.lit("no separator"))
+        .when(n % 10 == 6, F.concat(n, F.lit(":\t"), payload, F.lit("\t")))
         .otherwise(F.concat(n, F.lit(": "), payload))
     )
     lines = _texts(spark, sf_dir).select(line.alias("value"))
@@ -472,33 +480,38 @@ d as (select doc_id as id, text, {NONBLANK.format("text")} as w, {NONBLANK.forma
     lambda s: {STRIP.format("s")}), lambda s: s <> '') as ss from documents)"""
 
 
-@query("with" + WORDS_SQL + f""" select id, cast(len(w) as integer) as word_count,
+BASIC_SQL = f"""
+  basic as (select id, cast(len(w) as integer) as word_count,
     round(coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 0), 6) as avg_word_length,
     round(coalesce(list_sum(list_transform(ss, lambda s: len({NONBLANK.format("s")}))) / nullif(len(ss), 0), 0), 6)
       as avg_words_per_sentence,
     round(coalesce(list_unique(lw) / nullif(len(lw), 0), 0), 6) as unique_word_fraction,
     round(case when len(lw) > 0 and len(ss) > 0 then 0.39 * (len(lw) / len(ss)) + 11.8 * (list_sum(list_transform(lw,
       lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+'))))) / len(lw)) - 15.59 else 0 end, 6) as reading_grade
-  from d""")
+  from d)"""
+BASIC = ["avg_word_length", "avg_words_per_sentence", "unique_word_fraction", "reading_grade"]
+
+
+@query("with" + WORDS_SQL + "," + BASIC_SQL + " select * from basic")
 def basic_text(spark, sf_dir):
     docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    return textmetrics.basic_features(docs).select(
-        "id",
-        "word_count",
-        *r6("avg_word_length", "avg_words_per_sentence", "unique_word_fraction", "reading_grade"),
-    )
+    return textmetrics.basic_features(docs).select("id", "word_count", *r6(*BASIC))
 
 
 # Sliding windows as written down: every window's distinct tokens, counted and averaged.
-@query(r"""with t as (select doc_id as id, unnest(w) as word, generate_subscripts(w, 1) as i, len(w) as n
+MATTR_SQL = r"""
+  mt as (select doc_id as id, unnest(w) as word, generate_subscripts(w, 1) as i, len(w) as n
     from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
           from documents)),
-  p as (select *, lag(i) over (partition by id, word order by i) as prev, least(n, 50) as span from t),
-  c as (select id, n, span, greatest(0, least(i, n - span + 1) - greatest(i - span + 1, coalesce(prev, 0) + 1, 1) + 1) as k
-        from p)
-  select d.doc_id as id, round(x.mattr, 6) as mattr from documents d left join (
-    select id, sum(k) / ((any_value(n) - any_value(span) + 1) * any_value(span)) as mattr from c group by 1) x
-    on x.id = d.doc_id""")
+  mp as (select *, lag(i) over (partition by id, word order by i) as prev, least(n, 50) as span from mt),
+  mc as (select id, n, span, greatest(0, least(i, n - span + 1) - greatest(i - span + 1, coalesce(prev, 0) + 1, 1) + 1) as k
+        from mp),
+  ratios as (select d.doc_id as id, round(x.mattr, 6) as mattr from documents d left join (
+    select id, sum(k) / ((any_value(n) - any_value(span) + 1) * any_value(span)) as mattr from mc group by 1) x
+    on x.id = d.doc_id)"""
+
+
+@query("with" + MATTR_SQL + " select * from ratios")
 def mattr(spark, sf_dir):
     return _texts(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
@@ -535,17 +548,18 @@ def unknown_word_share(spark, sf_dir):
     )
 
 
-# Valence and subjectivity of a word are made from its length and first letter.
+# Valence and subjectivity of a word are made from its length and first letter, in halves and
+# eighths: their sums are exact in any order.
 LEXICON_SQL = """
 lexicon as (select word, (length(word) % 7 - 3) / 2.0::double as valence,
-  (ascii(word) % 10) / 10.0::double as subjectivity from vocabulary)"""
+  (ascii(word) % 8) / 8.0::double as subjectivity from vocabulary)"""
 
 
 def _lexicon(spark, sf_dir):
     return _vocabulary(spark, sf_dir).select(
         "word",
         ((F.length("word") % 7 - 3) / 2.0).alias("valence"),
-        ((F.ascii("word") % 10) / 10.0).alias("subjectivity"),
+        ((F.ascii("word") % 8) / 8.0).alias("subjectivity"),
     )
 
 
@@ -604,19 +618,18 @@ def sentence_overlap(spark, sf_dir):
     )
 
 
-@query("with" + WORDS_SQL + "," + BENCH_WORDS_SQL + "," + LEXICON_SQL + "," + UNKNOWN_SQL + ","
-       + SCORES_SQL + "," + LINKS_SQL + "," + OVERLAP_SQL + """
-  select d.id, cast(len(w) as integer) as word_count, unknown_word_share, compound, polarity,
-    connectives_per_sentence, cohesion
-  from d join unknown using (id) join scores using (id) join links using (id) join cohesion using (id)""")
+@query(
+    "with"
+    + ",".join(
+        [WORDS_SQL, BASIC_SQL, MATTR_SQL, BENCH_WORDS_SQL, LEXICON_SQL, UNKNOWN_SQL, SCORES_SQL, LINKS_SQL, OVERLAP_SQL]
+    )
+    + """ select * from basic join ratios using (id) join unknown using (id) join scores using (id)
+      join links using (id) join cohesion using (id)"""
+)
 def text_bundle(spark, sf_dir):
-    """All text features at once."""
+    """Every text feature at once."""
     docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     out = textmetrics.all_features(
         docs, _lexicon(spark, sf_dir), _vocabulary(spark, sf_dir), _connectives(spark), "id"
     )
-    return out.select(
-        "id",
-        "word_count",
-        *r6("unknown_word_share", "compound", "polarity", "connectives_per_sentence", "cohesion"),
-    )
+    return out.select("id", "word_count", *r6(*[c for c in out.columns if c not in ("id", "word_count")]))

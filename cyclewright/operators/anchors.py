@@ -98,9 +98,9 @@ def users_tables(candidates: list[DataFrame], row_id: str = "id") -> tuple[DataF
     return of("cycle_day"), of("past_ovulation")
 
 
-def keep_users(df: DataFrame, users: DataFrame, key: str, spread: list[str]) -> DataFrame:
+def keep_users(df: DataFrame, users: DataFrame, key: str) -> DataFrame:
     """Rows of the users in ``users`` (one column named like ``key``, distinct or not)."""
-    return lookup_join(df, users.select(key), [key], spread, "left_semi")
+    return lookup_join(df, users.select(key), [key], "left_semi")
 
 
 def split_anchor_posts(
@@ -123,7 +123,7 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
 
 
 def with_anchor(
-    posts: DataFrame, users: DataFrame, author: str, spread: list[str], value: str, how: str
+    posts: DataFrame, users: DataFrame, author: str, value: str, how: str
 ) -> DataFrame:
     """Joins anchor time and anchor value to the posts of each user."""
     anchors = users.select(
@@ -131,13 +131,12 @@ def with_anchor(
         F.col("timestep").alias("anchor_ts"),
         F.col(value).try_cast("int").alias("anchor_value"),
     )
-    return lookup_join(posts, anchors, [author], spread, how)
+    return lookup_join(posts, anchors, [author], how)
 
 
 def add_offsets(
     posts: DataFrame,
     users: DataFrame,
-    spread: list[str],
     author: str = "author",
     ts: str = "ts_utc",
     anchor_value: str = "offset_from_cd1",
@@ -146,7 +145,7 @@ def add_offsets(
 
     The new column is named like the anchor value: offset_from_cd1 or dpo_days.
     """
-    joined = with_anchor(posts, users, author, spread, anchor_value, "left")
+    joined = with_anchor(posts, users, author, anchor_value, "left")
     offset = F.col("anchor_value") + calendar_days(F.col(ts), F.col("anchor_ts"))
     return joined.select(*posts.columns, offset.alias(anchor_value))
 
@@ -154,14 +153,13 @@ def add_offsets(
 def within_months(
     posts: DataFrame,
     users: DataFrame,
-    spread: list[str],
     months: int = WINDOW_MONTHS,
     author: str = "author",
     ts: str = "ts_utc",
 ) -> DataFrame:
     """Posts within ``months`` of the anchor by elapsed days; other users fall out."""
     limit = int(months * DAYS_PER_MONTH)
-    joined = with_anchor(posts, users, author, spread, "offset_from_cd1", "inner")
+    joined = with_anchor(posts, users, author, "offset_from_cd1", "inner")
     return joined.where(
         F.abs(elapsed_days(F.col(ts), F.col("anchor_ts"))) <= limit
     ).select(*posts.columns)
@@ -170,13 +168,12 @@ def within_months(
 def within_calendar_days(
     posts: DataFrame,
     users: DataFrame,
-    spread: list[str],
     days: int = CALENDAR_WINDOW_DAYS,
     author: str = "author",
     ts: str = "ts_utc",
 ) -> DataFrame:
     """Posts within ``days`` midnights of the anchor, both ends included."""
-    joined = with_anchor(posts, users, author, spread, "offset_from_cd1", "inner")
+    joined = with_anchor(posts, users, author, "offset_from_cd1", "inner")
     return joined.where(
         F.abs(calendar_days(F.col(ts), F.col("anchor_ts"))) <= days
     ).select(*posts.columns)
@@ -185,14 +182,13 @@ def within_calendar_days(
 def placed_window(
     posts: DataFrame,
     users: DataFrame,
-    spread: list[str],
     months: int = WINDOW_MONTHS,
     author: str = "author",
     ts: str = "ts_utc",
 ) -> DataFrame:
     """Offsets and the elapsed-day window in one join instead of two."""
     limit = int(months * DAYS_PER_MONTH)
-    joined = with_anchor(posts, users, author, spread, "offset_from_cd1", "inner")
+    joined = with_anchor(posts, users, author, "offset_from_cd1", "inner")
     offset = F.col("anchor_value") + calendar_days(F.col(ts), F.col("anchor_ts"))
     return joined.where(
         F.col("anchor_value").isNotNull()

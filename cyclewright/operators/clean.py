@@ -47,7 +47,7 @@ def add_timestamps(
     if epoch not in df.columns:
         raise KeyError(f"{epoch} column missing")
     seconds = nan_to_null(F.col(epoch).try_cast("double"))
-    micros = F.round(seconds * 1_000_000).cast("long")
+    micros = F.round(seconds * 1_000_000).try_cast("long")
     out = df.withColumn("ts_utc", F.from_utc_timestamp(F.timestamp_micros(micros), tz))
     if date_string:
         out = out.withColumn("ts_date", F.date_format("ts_utc", "yyyy-MM-dd"))
@@ -136,6 +136,31 @@ def significance(
     )
 
 
+def gate_reason(
+    n_points: Column,
+    n_days: Column,
+    span_days: Column,
+    n_valid: Column,
+    spread: Column,
+    min_points: int = MIN_POINTS,
+    min_days: int = MIN_DAYS,
+    min_span: float = MIN_SPAN_DAYS,
+    epsilon: float = EPSILON,
+) -> Column:
+    """First reason why a series is not searched for periods, null when it is.
+
+    ``spread`` is the standard deviation of the values as they are searched, that is after scaling.
+    """
+    return (
+        F.when(n_points < min_points, F.lit("few points"))
+        .when(n_days < min_days, F.lit("few days"))
+        .when(span_days < min_span, F.lit("short span"))
+        .when(n_valid == 0, F.lit("all missing"))
+        .when(n_valid < 2, F.lit("one value"))
+        .when(F.coalesce(spread, F.lit(0.0)) < epsilon, F.lit("constant"))
+    )
+
+
 def series_gate(
     df: DataFrame,
     keys: list[str],
@@ -159,14 +184,8 @@ def series_gate(
         F.count(v).alias("n_valid"),
         F.stddev_pop(v).alias("spread"),
     )
-    reason = (
-        F.when(F.col("n_points") < min_points, F.lit("few points"))
-        .when(F.col("n_days") < min_days, F.lit("few days"))
-        .when(F.col("span_days") < min_span, F.lit("short span"))
-        .when(F.col("n_valid") == 0, F.lit("all missing"))
-        .when(F.col("n_valid") < 2, F.lit("one value"))
-        .when(F.col("spread") < epsilon, F.lit("constant"))
-    )
+    counts = (F.col(c) for c in ("n_points", "n_days", "span_days", "n_valid", "spread"))
+    reason = gate_reason(*counts, min_points, min_days, min_span, epsilon)
     return out.select(
         *keys,
         "n_points",

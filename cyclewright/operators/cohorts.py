@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclewright.functions.phases import adaptive_phase
+from cyclewright.functions.phases import adaptive_bounds, adaptive_phase
 from cyclewright.operators.clean import keep_categories, offset_range
-from cyclewright.operators.phases import phase_table
 from cyclewright.plans.joins import lookup_join
 from cyclewright.plans.quantiles import exact_median
 from cyclewright.settings import COHORT_WINDOW_DAYS, EPSILON, FALLBACK_PERIOD
@@ -44,7 +43,6 @@ def ever_posted(
     cohorts: DataFrame,
     categories: CategorySets,
     category: str,
-    spread: list[str],
     author: str = "author",
 ) -> DataFrame:
     """Users of each group that ever posted in each category set, and their share."""
@@ -70,58 +68,70 @@ def ever_posted(
 
 def phase_volumes(
     posts: DataFrame,
-    phases: DataFrame,
     categories: CategorySets,
     category: str,
     author: str = "author",
     group: str | None = None,
+    cycle: str = "period",
 ) -> DataFrame:
     """Posting volume of each category set by phase (and by a group column of the posts).
 
-    Raw sums run over the zero-filled grid of users and phases; volumes are
-    means over grid cells with any counted post; z-scores, taken per user over
-    the phases with the sample deviation, are means over users with a post of
-    that set anywhere. Users need a phased post and a phase definition.
+    Posts carry their ``phase`` and their user's cycle length. One aggregate counts the
+    posts of every phase per user; the phases without posts are zeros of the same row,
+    so no grid is joined. Raw sums run over users and phases; volumes are means over
+    phases with any counted post; z-scores, taken per user over the phases with the
+    sample deviation, are means over users with a post of that set anywhere. Users need
+    a phased post and a cycle length.
     """
     names = list(categories)
     by = [group] if group else []
-    phased = posts.where(F.col("phase").isNotNull())
-    counted = [
-        F.count_if(F.coalesce(F.col(category).isin(c), F.lit(False))).alias(f"{n}_raw")
-        for n, c in categories.items()
-    ]
-    per_cell = phased.groupBy(*by, F.col(author).alias("user"), "phase").agg(
-        F.count(F.lit(1)).alias("n_posts"), *counted
-    )
-    members = per_cell.select(*by, "user").distinct()
-    grid = phases.select("user", "phase", "length_days").join(members, "user")
-    filled = grid.join(per_cell, [*by, "user", "phase"], "left").select(
-        *by,
-        "user",
-        "phase",
-        (F.col("n_posts") > 0).alias("posted"),
-        *[F.coalesce(f"{n}_raw", F.lit(0).cast("long")).alias(f"{n}_raw") for n in names],
-        *[
-            F.when(
-                F.col("length_days") > 0, F.coalesce(f"{n}_raw", F.lit(0)) / F.col("length_days")
-            )
-            .otherwise(0.0)
-            .alias(f"{n}_volume")
-            for n in names
-        ],
+    lengths = {name: end - start + 1 for name, start, end in adaptive_bounds(F.col(cycle))}
+
+    def count(phase: str, wanted: list[str] | None) -> Column:
+        hit = F.col("phase") == phase
+        if wanted is not None:
+            hit = hit & F.coalesce(F.col(category).isin(wanted), F.lit(False))
+        return F.count_if(hit)
+
+    per_user = (
+        posts.where(F.col("phase").isNotNull() & F.col(cycle).isNotNull())
+        .groupBy(*by, F.col(author).alias("user"), cycle)
+        .agg(
+            *[count(p, None).alias(f"{p}:posts") for p in lengths],
+            *[count(p, c).alias(f"{p}:{n}") for p in lengths for n, c in categories.items()],
+        )
     )
-    over = W.partitionBy(*by, "user")
-
-    def zscore(n: str) -> Column:
-        v = F.col(f"{n}_volume")
-        spread = F.stddev_samp(v).over(over)
-        unit = F.when(spread < EPSILON, F.lit(1.0)).otherwise(spread)
-        return (v - F.avg(v).over(over)) / unit
-
-    scored = filled.select(
-        "*",
-        *[zscore(n).alias(f"{n}_z") for n in names],
-        *[(F.sum(f"{n}_raw").over(over) > 0).alias(f"{n}_ever") for n in names],
+
+    def volume(phase: str, n: str) -> Column:
+        length = lengths[phase]
+        return F.when(length > 0, F.col(f"{phase}:{n}") / length).otherwise(0.0)
+
+    k = len(lengths)
+    moments = {}
+    for n in names:
+        volumes = [volume(p, n) for p in lengths]
+        mean = reduce(lambda a, b: a + b, volumes) / k
+        squares = reduce(lambda a, b: a + b, [(v - mean) * (v - mean) for v in volumes])
+        raws = reduce(lambda a, b: a + b, [F.col(f"{p}:{n}") for p in lengths])
+        moments |= {f"{n}:mean": mean, f"{n}:std": F.sqrt(squares / (k - 1)), f"{n}:ever": raws > 0}
+
+    def cell(phase: str) -> Column:
+        fields = [F.lit(phase).alias("phase"), (F.col(f"{phase}:posts") > 0).alias("posted")]
+        for n in names:
+            std = F.col(f"{n}:std")
+            unit = F.when(std < EPSILON, F.lit(1.0)).otherwise(std)
+            fields += [
+                F.col(f"{phase}:{n}").alias(f"{n}_raw"),
+                volume(phase, n).alias(f"{n}_volume"),
+                ((volume(phase, n) - F.col(f"{n}:mean")) / unit).alias(f"{n}_z"),
+                F.col(f"{n}:ever").alias(f"{n}_ever"),
+            ]
+        return F.struct(*fields)
+
+    scored = (
+        per_user.withColumns(moments)
+        .select(*by, F.explode(F.array(*map(cell, lengths))).alias("c"))
+        .select(*by, "c.*")
     )
     any_post = reduce(lambda a, b: a | b, [F.col(f"{n}_raw") > 0 for n in names])
     return scored.groupBy(*by, "phase").agg(
@@ -148,16 +158,17 @@ def cohort_report(
     consensus: DataFrame | None,
     categories: CategorySets,
     category: str,
-    spread: list[str],
     author: str = "author",
     offset: str = "offset_from_cd1",
     window_days: int = COHORT_WINDOW_DAYS,
     fallback_period: float = FALLBACK_PERIOD,
+    both: bool = True,
 ) -> DataFrame:
     """Category volumes by phase for each group, from posts that carry an offset.
 
     Groups are cut to users with a consensus period; without any period, or with
-    ``consensus=None``, all users get the fallback length.
+    ``consensus=None``, all users get the fallback length. A lone group compares with
+    nothing and gives no rows, unless ``both`` is off.
     """
     wanted = sorted({x for c in categories.values() for x in c})
     inside = keep_categories(offset_range(posts, window_days, window_days, offset), wanted, category)
@@ -174,9 +185,14 @@ def cohort_report(
         )
     # Group and cycle length travel to the posts in one join.
     members = cohorts.join(periods, "user").withColumnRenamed("user", author)
-    grouped = lookup_join(inside, members, [author], spread)
+    grouped = lookup_join(inside, members, [author])
     phased = grouped.withColumn("phase", adaptive_phase(F.col(offset), F.col("period")))
-    return phase_volumes(phased, phase_table(periods), categories, category, author, "group")
+    out = phase_volumes(phased, categories, category, author, "group")
+    if not both:
+        return out
+    # A few rows: a group and phase each.
+    groups = F.size(F.collect_set("group").over(W.partitionBy()))
+    return out.withColumn("__groups", groups).where("__groups = 2").drop("__groups")
 
 
 def before_after_counts(df: DataFrame, user: str, offset: str) -> DataFrame:
@@ -199,11 +215,21 @@ def before_after_counts(df: DataFrame, user: str, offset: str) -> DataFrame:
 
 def before_after_summary(counts: DataFrame) -> DataFrame:
     """Mean and median ratio of users with posts on both sides, and the one-sided users."""
-    both = (F.col("posts_before") > 0) & (F.col("posts_after") > 0)
-    median = exact_median(counts.where(both), "ratio")
-    return counts.agg(
-        F.avg(F.when(both, F.col("ratio"))).alias("mean_ratio"),
-        F.count_if(both).alias("n_users"),
-        F.count_if(F.col("posts_after") == 0).alias("n_users_before_only"),
-        F.count_if(F.col("posts_before") == 0).alias("n_users_after_only"),
-    ).withColumn("median_ratio", median)
+    before, after = F.col("posts_before") > 0, F.col("posts_after") > 0
+    # Equal ratios once, with their number of users: all figures come from this one aggregate.
+    ratios = counts.groupBy(
+        F.when(before & after, F.col("ratio")).alias("ratio"),
+        before.alias("before"),
+        after.alias("after"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+    both = F.col("before") & F.col("after")
+
+    def users(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0).cast("long"))
+
+    return ratios.agg(
+        F.try_divide(F.sum(F.col("ratio") * F.col("n")), users(both)).alias("mean_ratio"),
+        users(both).alias("n_users"),
+        users(~F.col("after")).alias("n_users_before_only"),
+        users(~F.col("before")).alias("n_users_after_only"),
+    ).withColumn("median_ratio", exact_median(ratios, "ratio", "n").scalar())

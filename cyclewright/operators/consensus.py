@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,7 +39,6 @@ def consensus_periods(
             F.col("b.votes").alias("n_features_agreeing"),
             (F.col("b.votes") / F.col("rows") * 100).alias("consensus_pct"),
         )
-        .orderBy(user)
     )
 
 
@@ -66,22 +65,51 @@ def consensus_distribution(consensus: DataFrame) -> DataFrame:
 
 
 def consensus_histogram(consensus: DataFrame) -> DataFrame:
-    """Users per whole-day bin, with the bins of no user between the ends, and the spread."""
-    bins = consensus.groupBy(F.floor("consensus_period").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n_users")
+    """Users per whole-day bin, with the bins of no user between the ends, and the spread.
+
+    Periods lie in a short range of days, so users are counted by period first and all
+    figures, the median too, are arithmetic on those few rows.
+    """
+    p, n = F.col("consensus_period"), F.col("n_period")
+    counts = (
+        consensus.where(p.isNotNull())
+        .groupBy("consensus_period")
+        .agg(F.count(F.lit(1)).alias("n_period"), F.min("n_features_agreeing").alias("least"))
     )
-    ends = consensus.agg(
-        F.floor(F.min("consensus_period")).alias("lo"),
-        F.floor(F.max("consensus_period")).alias("hi"),
-        F.avg("consensus_period").alias("mean"),
-        F.median("consensus_period").alias("median"),
-        F.stddev_pop("consensus_period").alias("std"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("n_features_agreeing").alias("min_agreeing"),
+    seen = F.sort_array(F.collect_list(F.struct(p.cast("double").alias("p"), n.alias("n"))))
+    mean = F.sum(p * n) / F.sum(n)
+    folded = counts.agg(
+        seen.alias("seen"),
+        F.floor(F.min(p)).alias("lo"),
+        F.floor(F.max(p)).alias("hi"),
+        mean.alias("mean"),
+        F.sum(n).alias("n"),
+        F.min("least").alias("min_agreeing"),
     ).where(F.col("n") > 0)
-    grid = ends.withColumn("bin", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    return grid.join(bins, "bin", "left").withColumn(
-        "n_users", F.coalesce("n_users", F.lit(0).cast("long"))
+
+    def at(rank: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("v"))
+        return F.aggregate(
+            "seen",
+            start,
+            lambda acc, x: F.struct(
+                (acc["upto"] + x["n"]).alias("upto"),
+                F.coalesce(acc["v"], F.when(acc["upto"] + x["n"] >= rank, x["p"])).alias("v"),
+            ),
+            lambda acc: acc["v"],
+        )
+
+    far = F.aggregate(
+        "seen",
+        F.lit(0.0),
+        lambda acc, x: acc + x["n"] * (x["p"] - F.col("mean")) * (x["p"] - F.col("mean")),
+    )
+    median = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor((F.col("n") + 2) / 2))) / 2
+    rows = folded.withColumns({"median": median, "std": F.sqrt(far / F.col("n"))})
+    inside = F.filter("seen", lambda x: F.floor(x["p"]) == F.col("bin"))
+    users = F.aggregate(inside, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    return rows.withColumn("bin", F.explode(F.sequence("lo", "hi"))).select(
+        "bin", users.alias("n_users"), "mean", "median", "std", "n", "min_agreeing"
     )
 
 

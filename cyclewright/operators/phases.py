@@ -54,7 +54,6 @@ def assign_five_phases(df: DataFrame, day: str, period: str) -> DataFrame:
 def assign_phases(
     timeline: DataFrame,
     phases: DataFrame,
-    spread: list[str],
     user: str = "author",
     day: str = "offset_from_cd1",
 ) -> DataFrame:
@@ -69,7 +68,7 @@ def assign_phases(
         ).alias("__phases"),
         (F.max("end_day") + 1).alias("__wrap"),
     )
-    joined = lookup_join(timeline, folded, [user], spread, "left")
+    joined = lookup_join(timeline, folded, [user], "left")
     phase = let(
         F.pmod(F.col(day).cast("double"), F.col("__wrap")),
         lambda d: F.get(
@@ -87,11 +86,11 @@ def assign_phases_by_length(
 
 
 def with_cycle_length(
-    timeline: DataFrame, periods: DataFrame, spread: list[str], user: str = "author"
+    timeline: DataFrame, periods: DataFrame, user: str = "author"
 ) -> DataFrame:
     """Adds ``period``; distinct (user, period) pairs, so a user with two periods gives two rows."""
     pairs = periods.select(F.col("user").alias(user), "period").distinct()
-    return lookup_join(timeline, pairs, [user], spread, "left")
+    return lookup_join(timeline, pairs, [user], "left")
 
 
 def with_fixed_cycle_length(timeline: DataFrame, length: float) -> DataFrame:

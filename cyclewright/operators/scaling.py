@@ -43,7 +43,7 @@ def zscore_daily_per_user(daily: DataFrame, columns: list[str], user: str) -> Da
 
 
 def zscore_posts_per_user(
-    posts: DataFrame, columns: list[str], user: str, spread: list[str]
+    posts: DataFrame, columns: list[str], user: str
 ) -> DataFrame:
     """``{column}_zscore`` of single posts with the population deviation.
 
@@ -59,7 +59,7 @@ def zscore_posts_per_user(
             F.count(v).alias(f"__n_{c}"),
         ]
     stats = posts.groupBy(user).agg(*moments)
-    joined = lookup_join(posts, stats, [user], spread, "left")
+    joined = lookup_join(posts, stats, [user], "left")
     out = []
     for c in columns:
         v = nan_to_null(F.col(c).cast("double"))

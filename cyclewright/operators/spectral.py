@@ -2,8 +2,8 @@
 
 A series is a set of rows ``keys + (day, value)``. One exchange on the series
 keys serves scaling, gate, grid, spectrum and peak choice: every later step
-groups by those keys or by a superset of them. Inputs are daily tables, so a
-series holds at most one row per day.
+groups by those keys or by a superset of them. Rows of one day become their mean
+on that exchange, so a series holds one point per day.
 """
 
 from __future__ import annotations
@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclewright.functions.columns import let, sorted_median
+from cyclewright.functions.columns import let, nan_to_null, sorted_median
+from cyclewright.operators.clean import gate_reason
 from cyclewright.operators.scaling import scaled
 from cyclewright.settings import (
     EPSILON,
-    MIN_DAYS,
-    MIN_POINTS,
     PERIOD_MAX,
     PERIOD_MIN,
     SNR_CAP,
@@ -49,21 +48,35 @@ METHODS = {
 }
 
 
-def spread_series(series: DataFrame, keys: list[str]) -> DataFrame:
+def spread_series(series: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """One partitioning by series for everything that follows.
 
     A series is a few kilobytes and its spectrum is many operations, so the
     number of partitions is set: coalescing by size would leave few tasks.
+    ``partitions`` is for the caller to raise with the number of series, and
+    defaults to the session's number of shuffle partitions.
     """
-    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return series.repartition(parts, *keys)
 
 
+def daily_points(
+    series: DataFrame, keys: list[str], partitions: int | None = None
+) -> DataFrame:
+    """One point a day, the mean of its values, on the partitioning of ``spread_series``.
+
+    Rows without a value are no points. The means need no exchange of their own.
+    """
+    points = series.select(*keys, "day", "value").where(nan_to_null(F.col("value")).isNotNull())
+    return spread_series(points, keys, partitions).groupBy(*keys, "day").agg(F.avg("value").alias("value"))
+
+
 def prepared_series(
     series: DataFrame,
     keys: list[str] = SERIES,
     scaling: str = "zscore",
     min_span: float = PERIOD_MIN,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Scaled points of the series that pass the quality gate.
 
@@ -75,7 +88,7 @@ def prepared_series(
     ordered = W.partitionBy(*keys).orderBy("day")
     whole = W.partitionBy(*keys)
     value = F.col("value")
-    points = spread_series(series.select(*keys, "day", value), keys).withColumns(
+    points = daily_points(series, keys, partitions).withColumns(
         {
             "next_day": F.lead("day").over(ordered),
             "next_value": F.lead("value").over(ordered),
@@ -116,10 +129,14 @@ def prepared_series(
             }
         )
         .where(
-            (F.col("n_points") >= max(MIN_POINTS, MIN_DAYS))
-            & (F.col("last_day") - F.col("first_day") >= min_span)
-            & (F.col("low") < F.col("high"))
-            & (F.col("raw_spread") >= EPSILON)
+            gate_reason(
+                F.col("n_points"),
+                F.col("n_points"),
+                F.col("last_day") - F.col("first_day"),
+                F.col("n_points"),
+                F.when(F.col("low") < F.col("high"), F.col("raw_spread") / F.col("unit")),
+                min_span=min_span,
+            ).isNull()
         )
     )
 

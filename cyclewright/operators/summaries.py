@@ -136,10 +136,21 @@ def overall_period_stats(results: DataFrame) -> DataFrame:
 
     Periods are whole days in a short range; ratios are not bounded in number.
     """
-    snr = nan_to_null(F.col("peak_to_background"))
-    return results.agg(
-        F.count("period").alias("n"),
-        F.avg("period").alias("mean_period"),
-        F.median("period").alias("median_period"),
-        F.avg(snr).alias("mean_snr"),
-    ).withColumn("median_snr", exact_median(results, "peak_to_background"))
+    snr = nan_to_null(F.col("peak_to_background")).alias("snr")
+    # Equal results once, with their number: all figures come from this one aggregate.
+    counts = results.groupBy("period", snr).agg(F.count(F.lit(1)).alias("n_rows"))
+    period, ratio, n = F.col("period"), F.col("snr"), F.col("n_rows")
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(c.isNotNull(), n)), F.lit(0).cast("long"))
+
+    return counts.agg(
+        total(period).alias("n"),
+        F.try_divide(F.sum(period * n), total(period)).alias("mean_period"),
+        F.try_divide(F.sum(ratio * n), total(ratio)).alias("mean_snr"),
+    ).withColumns(
+        {
+            "median_period": exact_median(counts, "period", "n_rows").scalar(),
+            "median_snr": exact_median(counts, "snr", "n_rows").scalar(),
+        }
+    )

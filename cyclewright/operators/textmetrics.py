@@ -1,7 +1,14 @@
-"""Text measures that need a word table, and the bundles of all text features."""
+"""Text measures that need a word table, and the bundles of all text features.
+
+A text's words are counted before anything else, so a word is one row per text and
+not one per place, and all word tables are one: a single join and a single sum per
+text give every measure.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,37 +17,68 @@ from cyclewright.functions.columns import words
 from cyclewright.plans.joins import lookup_join
 
 
-def _joined_words(
-    df: DataFrame, table: DataFrame, key: str, text: str, distinct: bool = False
+def word_table(
+    dictionary: DataFrame | None = None,
+    lexicon: DataFrame | None = None,
+    connectives: DataFrame | None = None,
 ) -> DataFrame:
-    """Words of each text with the columns of a word table; one null word for empty texts.
+    """One row per word: known, valence, subjectivity, connective; null where a table lacks it.
 
-    Carries the number of words of the text. Nothing is shuffled before the
-    join, and the sums after it are combined in the task that read the text.
+    Words of the dictionary are lower-cased. ``lexicon`` has one row per word.
     """
-    tokens = words(F.lower(F.col(text)))
-    counted = df.select(key, tokens.alias("tokens")).select(
-        key,
-        F.size("tokens").alias("n_words"),
-        (F.array_distinct("tokens") if distinct else F.col("tokens")).alias("tokens"),
-    )
-    # Counted before the explode: beside it, the count would run once per word.
-    rows = counted.select(key, "n_words", F.explode_outer("tokens").alias("word"))
-    return lookup_join(rows, table, ["word"], [key], "left")
+    nothing = {"known": "boolean", "valence": "double", "subjectivity": "double", "connective": "boolean"}
+    given = []
+    if dictionary is not None:
+        given.append((dictionary, F.lower("word"), {"known": F.lit(True)}))
+    if lexicon is not None:
+        scores = {c: F.col(c).cast("double") for c in ("valence", "subjectivity")}
+        given.append((lexicon, F.col("word"), scores))
+    if connectives is not None:
+        given.append((connectives, F.col("word"), {"connective": F.lit(True)}))
+    parts = [
+        df.select(
+            word.alias("word"),
+            *[own.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in nothing.items()],
+        )
+        for df, word, own in given
+    ]
+    stacked = reduce(lambda x, y: x.unionByName(y), parts)
+    return stacked.groupBy("word").agg(*[F.max(c).alias(c) for c in nothing])
 
 
-def unknown_word_share(
-    df: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
+def _word_sums(
+    df: DataFrame, table: DataFrame, key: str, text: str, local: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Distinct words not in the dictionary over all words of the text, 0 for empty texts."""
-    known = dictionary.select(F.lower("word").alias("word")).distinct().withColumn(
-        "known", F.lit(True)
+    """Sums over the words of each text, beside the row-local measures in ``local``.
+
+    Every text sends one row without a word, which carries its local measures, so
+    they need no join back and texts without words stay.
+    """
+    local = local or {}
+    tokens = F.concat(F.array(F.lit(None).cast("string")), words(F.lower(F.col(text))))
+    rows = df.select(
+        key, *[c.alias(n) for n, c in local.items()], tokens.alias("__tokens")
+    ).select(key, *local, F.posexplode("__tokens").alias("__place", "word"))
+    counted = rows.groupBy(key, "word").agg(
+        F.count("word").alias("n"),
+        *[F.max(F.when(F.col("__place") == 0, F.col(n))).alias(n) for n in local],
     )
-    joined = _joined_words(df, known, key, text, distinct=True)
-    unknown = F.count_if(F.col("word").isNotNull() & F.col("known").isNull())
-    return joined.groupBy(key, "n_words").agg(unknown.alias("u")).select(
-        key,
-        F.coalesce(F.try_divide("u", "n_words"), F.lit(0.0)).alias("unknown_word_share"),
+    joined = lookup_join(counted, table, ["word"], "left")
+    n, v, s = F.col("n"), F.col("valence"), F.col("subjectivity")
+
+    def total(c: Column, value: Column = n) -> Column:
+        return F.coalesce(F.sum(F.when(c, value)), F.lit(0))
+
+    return joined.groupBy(key).agg(
+        F.sum("n").alias("n_words"),
+        F.count_if(F.col("word").isNotNull() & F.col("known").isNull()).alias("unknown"),
+        total(v.isNotNull()).alias("hits"),
+        total(v > 0).alias("pos"),
+        total(v < 0).alias("neg"),
+        total(v.isNotNull(), v * n).alias("s"),
+        total(s.isNotNull(), s * n).alias("subj"),
+        total(F.col("connective")).alias("linking"),
+        *[F.max(x).alias(x) for x in local],
     )
 
 
@@ -48,75 +86,70 @@ def _share(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
 
 
+def _lexicon_columns() -> list[Column]:
+    """compound = s / sqrt(s^2 + 15) with s the sum of valences (Hutto and Gilbert 2014)."""
+    s = F.col("s").cast("double")
+    return [
+        _share("pos", "n_words").alias("positive_share"),
+        _share("neg", "n_words").alias("negative_share"),
+        (s / F.sqrt(s * s + 15)).alias("compound"),
+        _share("s", "hits").alias("polarity"),
+        _share("subj", "hits").alias("subjectivity"),
+        F.abs(_share("s", "hits")).alias("polarity_strength"),
+    ]
+
+
+def unknown_word_share(
+    df: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
+) -> DataFrame:
+    """Distinct words not in the dictionary over all words of the text, 0 for empty texts."""
+    sums = _word_sums(df, word_table(dictionary=dictionary), key, text)
+    return sums.select(key, _share("unknown", "n_words").alias("unknown_word_share"))
+
+
 def lexicon_scores(
     df: DataFrame, lexicon: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """Positive and negative share, compound, polarity and subjectivity from a word table.
 
-    ``lexicon`` has word, valence and subjectivity, one row per word. compound =
-    s / sqrt(s^2 + 15) with s the sum of valences (Hutto and Gilbert 2014);
-    polarity and subjectivity are means over the words found; texts without any
-    score 0.
+    ``lexicon`` has word, valence and subjectivity, one row per word. Polarity and
+    subjectivity are means over the words found; texts without any score 0.
     """
-    entries = lexicon.select("word", "valence", "subjectivity")
-    v = F.col("valence")
-    sums = (
-        _joined_words(df, entries, key, text)
-        .groupBy(key, "n_words")
-        .agg(
-            F.count(v).alias("hits"),
-            F.count_if(v > 0).alias("pos"),
-            F.count_if(v < 0).alias("neg"),
-            F.coalesce(F.sum(v), F.lit(0.0)).alias("s"),
-            F.coalesce(F.sum("subjectivity"), F.lit(0.0)).alias("subj"),
-        )
-    )
-    return sums.select(
-        key,
-        _share("pos", "n_words").alias("positive_share"),
-        _share("neg", "n_words").alias("negative_share"),
-        (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("compound"),
-        _share("s", "hits").alias("polarity"),
-        _share("subj", "hits").alias("subjectivity"),
-        F.abs(_share("s", "hits")).alias("polarity_strength"),
-    )
+    sums = _word_sums(df, word_table(lexicon=lexicon), key, text)
+    return sums.select(key, *_lexicon_columns())
 
 
 def connectives_per_sentence(
     df: DataFrame, connectives: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """Connective words over sentences, 0 without a sentence."""
-    listed = connectives.select("word").distinct().withColumn("hit", F.lit(1))
-    counted = df.select(key, text, tf.sentence_count(F.col(text)).alias("sentences"))
-    rows = counted.select(
-        key, "sentences", F.explode_outer(words(F.lower(F.col(text)))).alias("word")
-    )
-    joined = lookup_join(rows, listed, ["word"], [key], "left")
-    return joined.groupBy(key, "sentences").agg(F.count("hit").alias("h")).select(
-        key, _share("h", "sentences").alias("connectives_per_sentence")
-    )
+    local = {"sentences": tf.sentence_count(F.col(text))}
+    sums = _word_sums(df, word_table(connectives=connectives), key, text, local)
+    return sums.select(key, _share("linking", "sentences").alias("connectives_per_sentence"))
+
+
+def _basic(t: Column) -> dict[str, Column]:
+    return {
+        "word_count": tf.word_count(t),
+        "avg_word_length": tf.average_word_length(t),
+        "avg_words_per_sentence": tf.words_per_sentence(t),
+        "unique_word_fraction": tf.unique_word_fraction(t),
+        "reading_grade": tf.reading_grade(t),
+    }
 
 
 def basic_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Counts, lengths, diversity and reading grade in one projection."""
-    t = F.col(text)
-    return df.withColumns(
-        {
-            "word_count": tf.word_count(t),
-            "avg_word_length": tf.average_word_length(t),
-            "avg_words_per_sentence": tf.words_per_sentence(t),
-            "unique_word_fraction": tf.unique_word_fraction(t),
-            "reading_grade": tf.reading_grade(t),
-        }
-    )
+    return df.withColumns(_basic(F.col(text)))
 
 
 def advanced_features(
     df: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """Key, moving type-token ratio and share of unknown words."""
-    local = df.select(key, tf.moving_type_token_ratio(F.col(text)).alias("mattr"))
-    return local.join(unknown_word_share(df, dictionary, key, text), key)
+    local = {"mattr": tf.moving_type_token_ratio(F.col(text))}
+    sums = _word_sums(df, word_table(dictionary=dictionary), key, text, local)
+    return sums.select(key, "mattr", _share("unknown", "n_words").alias("unknown_word_share"))
 
 
 def all_features(
@@ -127,17 +160,20 @@ def all_features(
     key: str,
     text: str = "text",
 ) -> DataFrame:
-    """Key and every text feature, one row per text.
-
-    Only keys and numbers are joined, never the texts.
-    """
-    narrow = df.select(key, text)
-    local = basic_features(narrow, text).withColumn(
-        "cohesion", tf.neighbour_overlap(F.col(text))
-    )
-    return (
-        local.drop(text)
-        .join(advanced_features(narrow, dictionary, key, text), key)
-        .join(lexicon_scores(narrow, lexicon, key, text), key)
-        .join(connectives_per_sentence(narrow, connectives, key, text), key)
+    """Key and every text feature, one row per text, from one reading of the texts."""
+    t = F.col(text)
+    local = _basic(t) | {
+        "cohesion": tf.neighbour_overlap(t),
+        "mattr": tf.moving_type_token_ratio(t),
+        "sentences": tf.sentence_count(t),
+    }
+    sums = _word_sums(df, word_table(dictionary, lexicon, connectives), key, text, local)
+    return sums.select(
+        key,
+        *_basic(t),
+        "cohesion",
+        "mattr",
+        _share("unknown", "n_words").alias("unknown_word_share"),
+        *_lexicon_columns(),
+        _share("linking", "sentences").alias("connectives_per_sentence"),
     )

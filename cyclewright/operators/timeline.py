@@ -26,7 +26,7 @@ def unified_timeline(
     """
     columns = ["author", "ts_utc", "text", "source"]
     content = comments.select(*columns).unionByName(posts.select(*columns))
-    joined = with_anchor(content, users, "author", ["ts_utc", "text"], "offset_from_cd1", "inner")
+    joined = with_anchor(content, users, "author", "offset_from_cd1", "inner")
     apart = calendar_days(F.col("ts_utc"), F.col("anchor_ts"))
     return (
         joined.where(F.abs(apart) <= days)
@@ -35,13 +35,8 @@ def unified_timeline(
     )
 
 
-def posts_timeline(posts: DataFrame, users: DataFrame, spread: list[str]) -> DataFrame:
-    """Posts with their offset inside the anchor window; undated rows are gone."""
-    return placed_window(posts, users, spread)
-
-
 def incomplete_users(df: DataFrame, features: list[str], user: str = "author") -> DataFrame:
-    """Users with a missing value in any feature of any row, sorted."""
+    """Users with a missing value in any feature of any row."""
     present = [f for f in features if f in df.columns]
     missing = F.lit(False)
     for f in present:
@@ -50,14 +45,14 @@ def incomplete_users(df: DataFrame, features: list[str], user: str = "author") -
             df.schema[f].dataType, T.DecimalType
         )
         missing = missing | (col.isNull() | F.isnan(col) if is_float else col.isNull())
-    return df.where(missing).select(user).distinct().orderBy(user)
+    return df.where(missing).select(user).distinct()
 
 
 def drop_incomplete_users(
-    df: DataFrame, features: list[str], spread: list[str], user: str = "author"
+    df: DataFrame, features: list[str], user: str = "author"
 ) -> DataFrame:
     """Rows of users that have every feature in every row."""
-    return lookup_join(df, incomplete_users(df, features, user), [user], spread, "left_anti")
+    return lookup_join(df, incomplete_users(df, features, user), [user], "left_anti")
 
 
 DAILY_FUNCTIONS = {

@@ -30,7 +30,7 @@ FFT_METHODS = tuple(spectral.METHODS)
 def prepare_posts(raw: DataFrame, features: list[str], min_chars: int = MIN_TEXT_CHARS) -> DataFrame:
     """Raw posts to cleaned posts: complete users, real authors, joined and long enough texts."""
     return (
-        timeline.drop_incomplete_users(raw, features, ["id", "created_utc"])
+        timeline.drop_incomplete_users(raw, features)
         .transform(clean.drop_deleted_authors)
         .transform(clean.blank_removed_bodies)
         .transform(clean.join_title_and_body)
@@ -58,7 +58,7 @@ def build_timeline(
 ) -> DataFrame:
     """Posts with offsets inside the window, with or without the anchor posts themselves."""
     kept = posts if keep_anchors else anchors.split_anchor_posts(posts, users)
-    return anchors.placed_window(kept, users, ["id", "ts_utc"], months)
+    return anchors.placed_window(kept, users, months)
 
 
 def periodicity(
@@ -132,11 +132,11 @@ def normalisation_grid(
     value = F.col("value")
     columns = [scaled(value, over, s).alias(s) for s in scalings]
     rows = (
-        spectral.spread_series(series, ["user", "feature"])
+        spectral.daily_points(series, ["user", "feature"])
         .select("user", "feature", "day", *columns)
         .unpivot(["user", "feature", "day"], scalings, "normalization", "value")
     )
-    # The gate applies to unscaled values; a series that is flat stays flat when scaled.
+    # The gate applies to the scaled values.
     prepared = spectral.prepared_series(rows, keys, "none", period_range[0])
     parts = []
     fft = tuple(m for m in methods if m in spectral.METHODS)

@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_FANOUT = 8
-
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    spread: list[str],
-    how: str = "inner",
-    fanout: int = DEFAULT_FANOUT,
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner"
 ) -> DataFrame:
     """Join a large fact table to a table with one row per key.
 
-    Fact rows of a key are spread over ``fanout`` slots by a hash of ``spread``
-    and the lookup carries each key once per slot, so a key with a third of all
-    rows is never one task. There is no broadcast hint: Spark broadcasts the
-    lookup when its estimate, or the size AQE measures, is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise. Since the
-    slot is part of the join key, a following ``groupBy`` on the key has its own
-    exchange, which lets AQE split a slot that is still too large.
+    The lookup stays as it is and there is no broadcast hint: Spark broadcasts it
+    when its estimate, or the size AQE measures, is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise. The keys are
+    compared as one struct, so neither side's earlier partitioning serves the join
+    and each gets an exchange of its own, and so does a following ``groupBy`` on the
+    key. That is what AQE needs to split the partition of a hot key into several
+    tasks, each with a copy of the few lookup rows it needs.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"lookup_join keeps fact rows only: {how}")
-    slot = "__slot"
-    slots = F.array(*[F.lit(i).cast("long") for i in range(fanout)])
-    left = facts.withColumn(slot, F.pmod(F.xxhash64(*spread), F.lit(fanout).cast("long")))
-    right = lookup.withColumn(slot, F.explode(slots))
+    key, other = "__key", "__lookup_key"
+    types = {f.name: f.dataType for f in facts.schema.fields}
+    own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
+    theirs = F.struct(*[F.col(c).cast(types[c]).alias(f"k{i}") for i, c in enumerate(on)])
+    # Structs of nulls are equal, unlike nulls.
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    left = facts.withColumn(key, own)
+    right = lookup.where(known).select(
+        theirs.alias(other), *[c for c in lookup.columns if c not in on]
+    )
     added = [] if how in {"left_semi", "left_anti"} else [c for c in lookup.columns if c not in on]
-    return left.join(right, [*on, slot], how).select(*facts.columns, *added)
+    return left.join(right, F.col(key) == F.col(other), how).select(*facts.columns, *added)

@@ -2,52 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BRACKET = 0.001
-ACCURACY = 10_000
 
+def exact_median(
+    df: DataFrame, value: str, weight: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """One row, column ``median``: the exact median of ``df[value]``; null without values.
 
-def exact_median(df: DataFrame, value: str) -> Column:
-    """Scalar-subquery column with the exact median of ``df[value]``.
+    ``weight`` is a column of how often each row counts.
 
-    A mergeable sketch brackets the middle ranks, with ten times its rank error
-    to each side. Only the distinct values inside the bracket, two in a thousand
-    rows, are sorted in one task; the rows below it are a plain count, so the
-    result is exact.
+    Values are counted first, so ties are one row, and dealt to range partitions. The
+    counts of the partitions, a row each, say which hold the two middle ranks; only
+    those are ordered, each in its own task. The ranges come from one exchange, which
+    both uses share, so the input is read once and nothing is gathered.
     """
-    known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    bracket = known.agg(
-        F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("b")
-    ).scalar()
-    placed = known.withColumn("b", bracket)
-    side = F.when(F.col("v") < F.col("b")[0], F.lit(-1)).when(F.col("v") <= F.col("b")[1], 0)
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = (
-        placed.select("v", F.coalesce(side, F.lit(1)).alias("side"))
-        .groupBy(F.when(F.col("side") == 0, F.col("v")).alias("v"), "side")
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        .groupBy(F.col(value).cast("double").alias("v"))
+        .agg(F.sum(weight or F.lit(1)).alias("n"))
     )
-    ordered = counts.agg(
-        F.coalesce(F.sum(F.when(F.col("side") == -1, F.col("n"))), F.lit(0)).alias("below"),
-        F.sum("n").alias("total"),
-        F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.struct("v", "n")))).alias("mid"),
+    ranged = counts.repartitionByRange(n_parts, "v").withColumn("part", F.spark_partition_id())
+    # As many rows as partitions.
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    ordered = W.orderBy("part")
+    whole = W.partitionBy()
+    total = F.sum("size").over(whole)
+    ranks = (
+        parts.select(
+            F.col("part").alias("p"),
+            "size",
+            (F.sum("size").over(ordered) - F.col("size")).alias("before"),
+            F.floor((total + 1) / 2).alias("low"),
+            F.floor((total + 2) / 2).alias("high"),
+        )
+        .where(
+            (F.col("before") < F.col("high")) & (F.col("before") + F.col("size") >= F.col("low"))
+        )
+        .select("p", "before", "low", "high")
     )
-    # Walk the ordered bracket once, keeping the values at the two middle ranks.
-    low_rank = F.floor((F.col("total") + 1) / 2)
-    high_rank = F.floor((F.col("total") + 2) / 2)
-    walk = F.aggregate(
-        "mid",
-        F.struct(
-            F.col("below").cast("long").alias("seen"),
-            F.lit(None).cast("double").alias("lo"),
-            F.lit(None).cast("double").alias("hi"),
-        ),
-        lambda acc, x: F.struct(
-            (acc["seen"] + x["n"]).alias("seen"),
-            F.coalesce(acc["lo"], F.when(acc["seen"] + x["n"] >= low_rank, x["v"])).alias("lo"),
-            F.coalesce(acc["hi"], F.when(acc["seen"] + x["n"] >= high_rank, x["v"])).alias("hi"),
-        ),
-        lambda acc: (acc["lo"] + acc["hi"]) / 2,
+    inside = W.partitionBy("part").orderBy("v")
+    upto = F.col("before") + F.sum("n").over(inside)
+    middle = ranged.join(ranks, F.col("part") == F.col("p")).select(
+        "v", "n", "low", "high", upto.alias("upto")
+    )
+    return middle.agg(
+        (
+            (
+                F.min(F.when(F.col("upto") >= F.col("low"), F.col("v")))
+                + F.min(F.when(F.col("upto") >= F.col("high"), F.col("v")))
+            )
+            / 2
+        ).alias("median")
     )
-    return ordered.select(walk.alias("median")).scalar()

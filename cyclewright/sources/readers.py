@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ RAW_SCHEMA = T.StructType(
         T.StructField("body", T.StringType()),
     ]
 )
+NESTED = (T.StructType, T.ArrayType, T.MapType)
 BOM = "﻿"
 
 
@@ -55,20 +56,29 @@ def parse_json_lines(
 ) -> DataFrame:
     """Cuts each line at its first colon and reads the object behind it.
 
-    A probe column tells a malformed object from one that merely lacks fields.
+    Scalar fields are read as text and cast after, so a quoted number is a number and
+    a value of another kind is null; only a line that is no object is skipped. A probe
+    column tells such a line from an object that merely lacks fields.
     """
     text = F.col(value)
-    payload = F.trim(F.substring(text, F.instr(text, ":") + 1, F.length(text)))
+    payload = strip(F.substring(text, F.instr(text, ":") + 1, F.length(text)))
     probe = "__bad"
-    wide = T.StructType([*schema.fields, T.StructField(probe, T.StringType())])
+    scalar = {f.name for f in schema.fields if not isinstance(f.dataType, NESTED)}
+    kinds = [T.StructField(f.name, T.StringType()) if f.name in scalar else f for f in schema.fields]
+    wide = T.StructType([*kinds, T.StructField(probe, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": probe}
+
+    def field(f: T.StructField) -> Column:
+        got = F.col(f"r.{f.name}")
+        return (got.try_cast(f.dataType) if f.name in scalar else got).alias(f.name)
+
     return (
         lines.where(F.instr(text, ":") > 0)
         .select(payload.alias("p"))
         .where(F.col("p").startswith("{"))
         .select(F.from_json("p", wide, options).alias("r"))
         .where(F.col("r").isNotNull() & F.col(f"r.{probe}").isNull())
-        .select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
+        .select(*map(field, schema.fields))
     )
 
 
@@ -107,11 +117,13 @@ def read_existing(
 def first_row_per_id(stacked: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row of each key in ``order``; null keys count as one key.
 
-    A minimum over a struct is combined on the map side, so the null key, which
-    may hold many rows, sends one row per map task.
+    Rows that are equal in ``order`` fall to the smallest of their other columns. A
+    minimum over a struct is combined on the map side, so the null key, which may
+    hold many rows, sends one row per map task.
     """
     rest = [c for c in stacked.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("r")
+    comparable = [c for c in rest if not isinstance(stacked.schema[c].dataType, T.MapType)]
+    first = F.min_by(F.struct(*rest), F.struct(*order, *comparable)).alias("r")
     return stacked.groupBy(key).agg(first).select(key, "r.*").select(*stacked.columns)
 
 
@@ -131,7 +143,6 @@ def load_posts(
             stacked.withColumn(author, F.col(author).cast("string")),
             wanted,
             [author],
-            [key, row_order],
             "left_semi",
         )
     return first_row_per_id(stacked, key, ["__source_rank", row_order]).drop("__source_rank")
@@ -157,7 +168,7 @@ def load_content(
         raise ValueError(f"unknown content kind: {kind}")
     long_enough = raw.where(size >= min_chars)
     wanted = users.select(F.col("user").cast("string").alias("author"))
-    kept = lookup_join(long_enough, wanted, ["author"], ["id", "created_utc"], "left_semi")
+    kept = lookup_join(long_enough, wanted, ["author"], "left_semi")
     return kept.select(
         "author", "created_utc", text.alias("text"), "subreddit", "id", F.lit(kind).alias("source")
     )
@@ -169,7 +180,7 @@ def posts_of_users(
     """Posts in a file by the users of a table."""
     wanted = users.select(F.col("user").alias(user_col))
     posts = read_any(spark, path)
-    return lookup_join(posts, wanted, [user_col], [c for c in posts.columns], "left_semi")
+    return lookup_join(posts, wanted, [user_col], "left_semi")
 
 
 def scan_categories(
@@ -178,7 +189,6 @@ def scan_categories(
     category: str,
     users: DataFrame | None = None,
     author: str = "author",
-    spread: list[str] | None = None,
 ) -> DataFrame:
     """Posts of the categories over all sources, optionally only of the users given."""
     kept = [keep_categories(df, categories, category) for df in sources]
@@ -186,7 +196,7 @@ def scan_categories(
     if users is None:
         return stacked
     wanted = users.select(F.col("user").alias(author))
-    return lookup_join(stacked, wanted, [author], spread or stacked.columns, "left_semi")
+    return lookup_join(stacked, wanted, [author], "left_semi")
 
 
 def load_users(

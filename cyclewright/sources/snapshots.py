@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +12,6 @@ PERIOD_DATASETS = ["consensus_periods", "feature_periodicity", "periodicity_resu
 TIMELINE_DATASETS = ["timeline_with_features", "timeline"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors see, from ``spark.checkpoint.dir``.
-
-    Where the cluster names none (tests on one machine) a temporary folder
-    becomes the checkpoint folder of the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cyclewright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Small result stored once in the shared folder, for plans that use it several times."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def save_snapshot(df: DataFrame, root: str, dataset: str, run_ts: str) -> str:
     """Adds one run of a dataset, in its own partition."""
     path = posixpath.join(root, dataset)
@@ -41,22 +20,26 @@ def save_snapshot(df: DataFrame, root: str, dataset: str, run_ts: str) -> str:
 
 
 def newest_run(df: DataFrame, run: str = RUN) -> DataFrame:
-    """Rows of the newest run; on a partitioned table only its folder is read."""
+    """Rows of the newest run of a table."""
     newest = df.agg(F.max(run)).scalar()
     return df.where(F.col(run) == newest)
 
 
+def runs_of(spark: SparkSession, path: str) -> list[str]:
+    """Run stamps of a dataset, from the names of its folders; no file is opened."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return [n.removeprefix(f"{RUN}=") for n in names if n.startswith(f"{RUN}=")]
+
+
 def load_newest(spark: SparkSession, root: str, dataset: str) -> DataFrame | None:
     """Newest run of a dataset, or None when it was never written."""
-    try:
-        df = spark.read.option("basePath", posixpath.join(root, dataset)).parquet(
-            posixpath.join(root, dataset)
-        )
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return newest_run(df.withColumn(RUN, F.col(RUN).cast("string"))).drop(RUN)
+    path = posixpath.join(root, dataset)
+    runs = runs_of(spark, path)
+    return spark.read.parquet(posixpath.join(path, f"{RUN}={max(runs)}")) if runs else None
 
 
 def load_first_available(

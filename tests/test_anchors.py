@@ -24,10 +24,10 @@ def users(spark, rows):
 def test_offsets_are_calendar_days_plus_the_anchor_value(spark):
     p = posts(spark, [("a", ts(3, 1), 1), ("a", ts(-1, 23), 2), ("b", ts(0), 3), ("c", ts(0), 4)])
     u = users(spark, [("a", ts(0, 23), 8.9), ("b", ts(1), None)])
-    got = {r["id"]: r["offset_from_cd1"] for r in anchors.add_offsets(p, u, ["id"]).collect()}
+    got = {r["id"]: r["offset_from_cd1"] for r in anchors.add_offsets(p, u).collect()}
     assert got == {1: 11, 2: 7, 3: None, 4: None}
     dpo = u.withColumnRenamed("offset_from_cd1", "dpo_days")
-    assert "dpo_days" in anchors.add_offsets(p, dpo, ["id"], anchor_value="dpo_days").columns
+    assert "dpo_days" in anchors.add_offsets(p, dpo, anchor_value="dpo_days").columns
 
 
 def test_window_is_elapsed_days(spark):
@@ -35,18 +35,18 @@ def test_window_is_elapsed_days(spark):
     rows = [("a", ts(91, 12), 1), ("a", ts(92, 11), 2), ("a", ts(92, 12), 3), ("a", ts(-91, 12), 4)]
     rows += [("a", ts(-91, 11), 5), ("x", ts(0), 6)]
     p = posts(spark, rows)
-    assert {r["id"] for r in anchors.within_months(p, u, ["id"]).collect()} == {1, 2, 4}
+    assert {r["id"] for r in anchors.within_months(p, u).collect()} == {1, 2, 4}
     hour = posts(spark, [("a", ts(0, 11), 1)]).withColumn("anchor", F.lit(ts(0, 12)))
     assert hour.select(anchors.elapsed_days(F.col("ts_utc"), F.col("anchor"))).first()[0] == -1
     assert hour.select(anchors.calendar_days(F.col("ts_utc"), F.col("anchor"))).first()[0] == 0
-    placed = anchors.placed_window(p, u, ["id"]).orderBy("id").collect()
+    placed = anchors.placed_window(p, u).orderBy("id").collect()
     assert [(r["id"], r["offset_from_cd1"]) for r in placed] == [(1, 91), (2, 92), (4, -91)]
 
 
 def test_calendar_window_is_inclusive(spark):
     u = users(spark, [("a", ts(0, 12), 0.0)])
     p = posts(spark, [("a", ts(5, 23), 1), ("a", ts(6), 2), ("a", ts(-5), 3)])
-    assert {r["id"] for r in anchors.within_calendar_days(p, u, ["id"], days=5).collect()} == {1, 3}
+    assert {r["id"] for r in anchors.within_calendar_days(p, u, days=5).collect()} == {1, 3}
 
 
 def test_anchor_posts_go_with_all_posts_of_that_time(spark):
@@ -78,45 +78,60 @@ def test_lookup_join_equals_a_plain_join_on_a_hot_key(spark, no_broadcast, how):
     lookup = spark.range(40).select((F.col("id") * 2).alias("k"), (F.col("id") + 100).alias("v"))
     if how.startswith("left_"):
         lookup = lookup.select("k")
-    got = lookup_join(facts, lookup, ["k"], ["id"], how)
+    got = lookup_join(facts, lookup, ["k"], how)
     want = facts.join(lookup, "k", how)
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(want.columns)
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
 
-def test_lookup_join_spreads_a_hot_key(spark, no_broadcast):
-    facts = spark.range(8000).select(F.col("id"), F.lit(1).alias("k"))
-    lookup = spark.createDataFrame([(1, 2)], "k int, v int")
-    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "32")
+def test_lookup_join_splits_a_hot_key(spark, no_broadcast):
+    """A key with a third of the rows is several tasks, and the lookup is not multiplied."""
+    facts = spark.range(0, 300_000, 1, 16).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k")
+    )
+    lookup = facts.groupBy("k").agg(F.count("*").alias("v"))
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
-        parts = lookup_join(facts, lookup, ["k"], ["id"]).select(F.spark_partition_id().alias("p"))
-        assert parts.distinct().count() > 3
+        joined = lookup_join(facts, lookup, ["k"])
+        dealt = joined.withColumn("p", F.spark_partition_id()).where("k = 1")
+        tasks = dealt.select("p").distinct().count()
+        hot = joined.where("k = 1").agg(F.count("*").alias("n"), F.max("v").alias("v")).first()
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert tasks > 2
+    assert (hot["n"], hot["v"]) == (100_000, 100_000)
+    assert "Generate" not in joined._jdf.queryExecution().toString()
 
 
 def test_unknown_join_kinds_are_refused(spark):
     one = spark.range(1).select(F.col("id").alias("k"))
     with pytest.raises(ValueError):
-        lookup_join(one, one, ["k"], ["k"], "full")
+        lookup_join(one, one, ["k"], "full")
 
 
 def test_one_missing_value_removes_the_user(spark):
     rows = [("a", 1.0, 1), ("a", float("nan"), 2), ("b", 2.0, 3), ("c", None, 4), ("b", 3.0, 5)]
     df = spark.createDataFrame(rows, "author string, x double, id int")
-    kept = timeline.drop_incomplete_users(df, ["x", "absent"], ["id"])
+    kept = timeline.drop_incomplete_users(df, ["x", "absent"])
     assert {r["id"] for r in kept.collect()} == {3, 5}
-    assert [r["author"] for r in timeline.incomplete_users(df, ["x"]).collect()] == ["a", "c"]
+    assert sorted(r["author"] for r in timeline.incomplete_users(df, ["x"]).collect()) == ["a", "c"]
 
 
 def test_post_zscores_use_population_deviation(spark, no_broadcast):
     rows = [("a", 1.0, 1), ("a", 3.0, 2), ("b", 5.0, 3), ("c", 2.0, 4), ("c", 2.0, 5), ("a", None, 6)]
     df = spark.createDataFrame(rows, "author string, x double, id int")
-    got = {r["id"]: r["x_zscore"] for r in zscore_posts_per_user(df, ["x"], "author", ["id"]).collect()}
+    got = {r["id"]: r["x_zscore"] for r in zscore_posts_per_user(df, ["x"], "author").collect()}
     assert got[1] == pytest.approx(-1) and got[2] == pytest.approx(1)
     assert [got[i] for i in (3, 4, 5, 6)] == [None] * 4
 

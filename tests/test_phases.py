@@ -43,7 +43,7 @@ def test_phase_lengths_add_up_and_cover_every_day(spark, length):
     days = spark.range(-3, 2 * length + 1).select(
         F.lit(f"u{length}").alias("author"), F.col("id").alias("offset_from_cd1")
     )
-    by_table = phases.assign_phases(days, table, ["offset_from_cd1"]).orderBy("offset_from_cd1").collect()
+    by_table = phases.assign_phases(days, table).orderBy("offset_from_cd1").collect()
     by_length = (
         phases.assign_phases_by_length(days.withColumn("p", F.lit(length)), "p").orderBy("offset_from_cd1").collect()
     )
@@ -55,7 +55,7 @@ def test_phase_lengths_add_up_and_cover_every_day(spark, length):
 
 def test_unknown_users_and_days_have_no_phase(spark):
     days = spark.createDataFrame([("u28", None), ("zz", 3), ("u28", 3)], "author string, offset_from_cd1 int")
-    out = phases.assign_phases(days, phases.phase_table(periods(spark, [28])), ["offset_from_cd1"])
+    out = phases.assign_phases(days, phases.phase_table(periods(spark, [28])))
     assert sorted(str(r["phase"]) for r in out.collect()) == ["Menstrual", "None", "None"]
 
 
@@ -78,7 +78,7 @@ def test_five_phases(spark):
 def test_several_lengths_fan_out(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "author string, offset_from_cd1 int")
     p = spark.createDataFrame([("a", 28), ("a", 28), ("a", 30)], "user string, period int")
-    out = phases.with_cycle_length(df, p, ["offset_from_cd1"]).collect()
+    out = phases.with_cycle_length(df, p).collect()
     assert sorted((r["author"], r["period"] or 0) for r in out) == [("a", 28), ("a", 30), ("b", 0)]
 
 
@@ -86,11 +86,12 @@ SETS = {"one": ["x", "both"], "two": ["y", "both"]}
 
 
 def phase_posts(spark, rows):
-    return spark.createDataFrame(rows, "author string, category string, phase string")
+    posts = spark.createDataFrame(rows, "author string, category string, phase string")
+    cycle = F.when(F.col("author") == "u28", 28.0).when(F.col("author") == "u30", 30.0)
+    return posts.withColumn("period", cycle)
 
 
 def test_phase_volumes(spark):
-    table = phases.phase_table(periods(spark, [28, 30]))
     rows = [
         ("u28", "x", "Menstrual"),
         ("u28", "x", "Menstrual"),
@@ -100,7 +101,7 @@ def test_phase_volumes(spark):
         ("nobody", "x", "Luteal"),
         ("u28", "x", None),
     ]
-    out = {r["phase"]: r for r in cohorts.phase_volumes(phase_posts(spark, rows), table, SETS, "category").collect()}
+    out = {r["phase"]: r for r in cohorts.phase_volumes(phase_posts(spark, rows), SETS, "category").collect()}
     assert set(out) == set(FOUR_PHASES)
     assert out["Menstrual"]["one_volume"] == pytest.approx(2 / 4)
     assert out["Menstrual"]["one_raw"] == 2
@@ -128,13 +129,14 @@ def test_cohort_report_falls_back_without_periods(spark):
     groups = cohorts.label_cohorts(users, posts, ["mark"], "category")
     assert {r["user"]: r["group"] for r in groups.collect()} == {"a": "cohort", "b": "control", "c": "control"}
     none = spark.createDataFrame([("a", None)], "user string, consensus_period double")
-    args = (SETS, "category", ["offset_from_cd1"])
+    args = (SETS, "category")
     fallback = cohorts.cohort_report(posts, users, groups, None, *args).collect()
     empty = cohorts.cohort_report(posts, users, groups, none, *args).collect()
     assert sorted(map(str, fallback)) == sorted(map(str, empty))
     assert sum(r["one_raw"] for r in fallback) == 1 and sum(r["two_raw"] for r in fallback) == 1
     some = spark.createDataFrame([("a", 28.0), ("q", 28.0)], "user string, consensus_period double")
-    cut = cohorts.cohort_report(posts, users, groups, some, *args).collect()
+    assert cohorts.cohort_report(posts, users, groups, some, *args).count() == 0
+    cut = cohorts.cohort_report(posts, users, groups, some, *args, both=False).collect()
     assert {r["group"] for r in cut} == {"cohort"}
     rates = {r["group"]: r for r in cohorts.ever_posted(posts, groups, SETS, *args[1:]).collect()}
     assert (rates["cohort"]["n_one"], rates["cohort"]["pct_one"]) == (1, 100.0)

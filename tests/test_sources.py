@@ -117,10 +117,6 @@ def test_snapshots(spark, tmp_path):
     assert readers.load_users(users, "pattern_2").count() == 0
 
 
-def test_shared_folder_is_the_checkpoint_folder(spark):
-    assert snapshots.shared_folder(spark) == snapshots.shared_folder(spark)
-
-
 def test_csv_export(spark, tmp_path):
     path = str(tmp_path / "csv")
     df = spark.createDataFrame([(1, "a,b"), (2, None)], "id int, t string")
