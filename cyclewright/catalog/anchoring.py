@@ -17,6 +17,7 @@ from cyclewright.catalog.base import (
     table,
 )
 from cyclewright.operators import anchors, clean, summaries, timeline
+from cyclewright.settings import NON_FEATURE_COLUMNS
 from cyclewright.sources import readers, snapshots
 
 
@@ -131,13 +132,13 @@ def unified_timeline(spark, sf_dir):
     )
 
 
-@query("""with a as (select user_id, max(ts) as t from events where event_type = 'error' and value > 150 group by 1),
-  b as (select user_id, max(ts) as t from events where event_type = 'purchase' and value > 150 group by 1)
+@query("""with a as (select user_id, max(ts) as t from events where event_type = 'error' group by 1),
+  b as (select user_id, max(ts) as t from events where event_type = 'purchase' group by 1)
   select user_id as "user", epoch_us(t) as ts_us, 'first' as grp from a
   union all
   select user_id, epoch_us(t), 'second' from b where user_id not in (select user_id from a)""")
 def priority_groups(spark, sf_dir):
-    posts = event_posts(spark, sf_dir).where(F.col("value") > 150)
+    posts = event_posts(spark, sf_dir)
 
     def group(kind):
         newest = anchors.latest_per_key(
@@ -154,9 +155,8 @@ def priority_groups(spark, sf_dir):
 DEDUP_SQL = """with stacked as (
     select event_id, ts, user_id, event_type, value,
       nullif(cast(regexp_extract(props, '"k": *([0-9]+)', 1) as integer), 50) as id,
-      case when event_type = 'view' then 0 else 1 end as src
-    from events where event_type in ('view', 'click')
-      and user_id in (select user_id from events where event_type = 'signup' and value > 20))
+      list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type) as src
+    from events where user_id in (select user_id from events where event_type = 'signup'))
   select id, event_id, user_id as author, event_type, round(value, 6) as value from (
     select *, row_number() over (partition by id order by src, event_id) as rn from stacked)
   where rn = 1"""
@@ -164,31 +164,32 @@ DEDUP_SQL = """with stacked as (
 
 @query(DEDUP_SQL)
 def dedup_first(spark, sf_dir):
-    """Two sources of a user group, first row per id; the null id is one key."""
+    """A source for each kind of event, of the users who signed up, first row per id; the null id is one key."""
     posts = event_posts(spark, sf_dir).withColumnsRenamed({"id": "event_id", "subreddit": "event_type"})
     rows = posts.withColumn("id", F.nullif(F.col("k"), F.lit(50)))
-    users = posts.where((F.col("event_type") == "signup") & (F.col("value") > 20)).select(
+    users = posts.where(F.col("event_type") == "signup").select(
         F.col("author").cast("string").alias("user")
     )
-    sources = [rows.where(F.col("event_type") == e) for e in ("view", "click")]
+    kinds = ("view", "click", "signup", "purchase", "error")
+    sources = [rows.where(F.col("event_type") == e) for e in kinds]
     return readers.load_posts(sources, users.distinct(), "id", "event_id").select(
         "id", "event_id", F.col("author").cast("long").alias("author"), "event_type", *r6("value")
     )
 
 
-@query("""with c as (select distinct user_id from events where event_type = 'error' and value > 150),
-  s as (select distinct user_id from events where event_type = 'signup' and value > 100)
+@query("""with c as (select distinct user_id from events where event_type = 'error'),
+  s as (select distinct user_id from events where event_type = 'signup')
   select user_id as "user", 'both' as part from (select * from c intersect select * from s)
   union all select user_id, 'only_first' from (select * from c except select * from s)
   union all select user_id, 'either' from (select * from c union select * from s)""")
 def user_set_operations(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
 
-    def users(kind, above):
-        rows = posts.where((F.col("subreddit") == kind) & (F.col("value") > above))
+    def users(kind):
+        rows = posts.where(F.col("subreddit") == kind)
         return rows.select(F.col("author").alias("user")).distinct()
 
-    first, second = users("error", 150), users("signup", 100)
+    first, second = users("error"), users("signup")
     parts = {
         "both": first.intersect(second),
         "only_first": first.subtract(second),
@@ -341,3 +342,39 @@ def pattern_distribution(spark, sf_dir):
         F.concat(F.lit("pattern_"), 1 + F.col("c_custkey") % 9).alias("pattern_category")
     )
     return summaries.value_counts(users, "pattern_category")
+
+
+@query("with" + OFFSETS_SQL + """
+  select event_id as id, cast(anchor_value + date_diff('day', cast(anchor_ts as date), d) + 10 as integer) as dpo_days
+  from placed""")
+def offsets_from_ovulation(spark, sf_dir):
+    """Offsets in the days-past-ovulation form of the users table."""
+    posts = event_posts(spark, sf_dir)
+    users = event_users(posts).withColumn("dpo_days", F.col("offset_from_cd1") + 10)
+    placed = anchors.add_offsets(posts, users, anchor_value="dpo_days")
+    return placed.where(F.col("dpo_days").isNotNull()).select("id", "dpo_days")
+
+
+@query("with" + OFFSETS_SQL + """
+  select event_id as id, cast(anchor_value + date_diff('day', cast(anchor_ts as date), d) + 10 as integer) as dpo_days
+  from placed where abs(floor((epoch_us(ts) - epoch_us(anchor_ts)) / 86400000000.0)) <= 30""")
+def window_from_ovulation(spark, sf_dir):
+    """The one-month window around anchors that are days past ovulation."""
+    posts = event_posts(spark, sf_dir)
+    users = event_users(posts).withColumn("dpo_days", F.col("offset_from_cd1") + 10)
+    placed = anchors.placed_window(posts, users, months=1, anchor_value="dpo_days")
+    return placed.select("id", "dpo_days")
+
+
+@query("""with names as (select unnest(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_quantity', 'l_tax']) as feature),
+  sums as (select sum(l_discount) as l_discount, sum(l_extendedprice) as l_extendedprice,
+    cast(sum(l_linenumber) as double) as l_linenumber, sum(l_quantity) as l_quantity, sum(l_tax) as l_tax from lineitem)
+  select feature, round(total, 2) as total from sums unpivot (total for feature in
+    (l_discount, l_extendedprice, l_linenumber, l_quantity, l_tax))""")
+def feature_totals(spark, sf_dir):
+    """Features found by type and name, and their sums over the whole table."""
+    rows = table(spark, sf_dir, "lineitem")
+    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
+    names = clean.feature_columns(rows, [*NON_FEATURE_COLUMNS, *keys])
+    sums = rows.agg(*[F.sum(n).cast("double").alias(n) for n in names])
+    return sums.unpivot([], names, "feature", "total").select("feature", F.round("total", 2).alias("total"))

@@ -129,7 +129,6 @@ series as (
 
 ITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ITEM_MEANS = [f"{f}_mean" for f in ITEM_FEATURES]
-ANCHOR_BEFORE = "1998-07-01"
 
 
 def item_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +143,8 @@ def item_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_users(posts: DataFrame) -> DataFrame:
-    """Anchor of a supplier: its newest returned line before the cut date."""
-    returned = posts.where(
-        (F.col("l_returnflag") == "R") & (F.col("ts_utc") < F.lit(ANCHOR_BEFORE).cast("timestamp"))
-    )
+    """Anchor of a supplier: its newest returned line."""
+    returned = posts.where(F.col("l_returnflag") == "R")
     return latest_per_key(returned, "author", "ts_utc", "id", ["ts_utc"]).select(
         F.col("author").alias("user"),
         F.col("ts_utc").alias("timestep"),
@@ -169,10 +166,10 @@ def item_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_series(item_daily(spark, sf_dir), "author", "offset_from_cd1", ITEM_MEANS)
 
 
-ITEM_DAILY_SQL = f"""
+ITEM_DAILY_SQL = """
 anchor as (
   select l_suppkey, max(l_shipdate) as anchor_ts from lineitem
-  where l_returnflag = 'R' and l_shipdate < timestamp '{ANCHOR_BEFORE}' group by 1),
+  where l_returnflag = 'R' group by 1),
 item as (
   select l.*, cast(date_diff('day', cast(a.anchor_ts as date), cast(l.l_shipdate as date)) as integer)
            as offset_from_cd1

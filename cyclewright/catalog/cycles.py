@@ -9,6 +9,8 @@ from cyclewright.catalog.base import (
     EVENT_SERIES_SQL,
     GRID_SQL,
     ITEM_DAILY_SQL,
+    ITEM_FEATURES,
+    ITEM_MEANS,
     ITEM_SERIES_SQL,
     LINES_SQL,
     LOG_RATIO_SQL,
@@ -19,8 +21,10 @@ from cyclewright.catalog.base import (
     event_series,
     event_users,
     item_daily,
+    item_posts,
     item_series,
     item_timeline,
+    item_users,
     log_ratio,
     peak_columns,
     peak_sql,
@@ -148,22 +152,17 @@ def days_per_user(spark, sf_dir):
 @query(
     "with"
     + ITEM_DAILY_SQL
-    + """ select author, offset_from_cd1,
-            round(case when stddev_samp(l_quantity_mean) over w >= 1e-10 then
-              (l_quantity_mean - avg(l_quantity_mean) over w)
-              / (stddev_samp(l_quantity_mean) over w + 1e-10) end, 6) as l_quantity_zscore,
-            round(case when stddev_samp(l_discount_mean) over w >= 1e-10 then
-              (l_discount_mean - avg(l_discount_mean) over w)
-              / (stddev_samp(l_discount_mean) over w + 1e-10) end, 6) as l_discount_zscore
-          from daily window w as (partition by author)"""
+    + " select author, offset_from_cd1, "
+    + ", ".join(
+        f"""round(case when stddev_samp({f}_mean) over w >= 1e-10 then
+              ({f}_mean - avg({f}_mean) over w) / (stddev_samp({f}_mean) over w + 1e-10) end, 6) as {f}_zscore"""
+        for f in ITEM_FEATURES
+    )
+    + " from daily window w as (partition by author)"
 )
 def zscore_sample(spark, sf_dir):
-    out = zscore_daily_per_user(
-        item_daily(spark, sf_dir), ["l_quantity_mean", "l_discount_mean"], "author"
-    )
-    return out.select(
-        "author", "offset_from_cd1", *r6("l_quantity_zscore", "l_discount_zscore")
-    )
+    out = zscore_daily_per_user(item_daily(spark, sf_dir), ITEM_MEANS, "author")
+    return out.select("author", "offset_from_cd1", *r6(*[f"{f}_zscore" for f in ITEM_FEATURES]))
 
 
 @query(
@@ -523,13 +522,13 @@ def period_stats(spark, sf_dir):
     "with"
     + peak_sql(ITEM_SERIES_SQL, 21, 35)
     + """ select count(period) as n, round(avg(period), 6) as mean_period,
-            median(period) as median_period, round(avg(peak_to_background), 6) as mean_snr,
+            median(period) as median_period, round(log10(avg(peak_to_background)), 6) as log10_mean_snr,
             round(median(peak_to_background), 6) as median_snr from found"""
 )
 def overall_period_stats(spark, sf_dir):
     found = spectral.detect_periods(item_series(spark, sf_dir))
     return summaries.overall_period_stats(found).select(
-        "n", *r6("mean_period"), "median_period", *r6("mean_snr", "median_snr")
+        "n", *r6("mean_period"), "median_period", log_ratio("mean_snr"), *r6("median_snr")
     )
 
 
@@ -773,3 +772,81 @@ def offset_range_rows(spark, sf_dir):
     return clean.offset_range(item_timeline(spark, sf_dir), 30, 60).select(
         "id", "l_linenumber", "offset_from_cd1"
     )
+
+
+# --- series and jobs straight from rows -------------------------------------------------------
+
+# Lines of a supplier as rows of several a day; the day column of the second kind is used where it has a value.
+ROWS_SQL = (
+    ITEM_DAILY_SQL
+    + """,
+raw as (select l_suppkey as author, offset_from_cd1, offset_from_cd1 + 3 as dpo_days,
+          repeat('x', cast(l_quantity as integer)) as text, l_discount from item),
+series as (
+  select author as "user", {day} as day, 'text' as feature, avg(length(text)) as value from raw group by all
+  union all
+  select author, {day}, 'l_discount', avg(l_discount) from raw group by all)"""
+)
+
+
+def _rows(spark, sf_dir):
+    return item_timeline(spark, sf_dir).select(
+        "author",
+        "offset_from_cd1",
+        (F.col("offset_from_cd1") + 3).alias("dpo_days"),
+        F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text"),
+        "l_discount",
+    )
+
+
+@query(
+    "with" + peak_sql(ROWS_SQL.format(day="dpo_days"), 21, 35) + f" select {PEAK_COLUMNS} from found"
+)
+def series_from_rows(spark, sf_dir):
+    """Periods of rows with several values a day: text by its length, days since ovulation first."""
+    series = jobs.row_series(_rows(spark, sf_dir), ["text", "l_discount"])
+    return peak_columns(spectral.detect_periods(series))
+
+
+@query(
+    "with"
+    + peak_sql(ROWS_SQL.format(day="offset_from_cd1"), 21, 35)
+    + f" select {PEAK_COLUMNS} from found"
+)
+def series_without_second_day(spark, sf_dir):
+    """The same rows where the second day column has no value."""
+    rows = _rows(spark, sf_dir).withColumn("dpo_days", F.lit(None).cast("int"))
+    return peak_columns(spectral.detect_periods(jobs.row_series(rows, ["text", "l_discount"])))
+
+
+@query(
+    "with"
+    + peak_sql(ITEM_SERIES_SQL, 21, 35)
+    + f""", kept as (select * exclude (feature), replace(feature, '_mean', '') as feature from found
+          where peak_to_background >= 3
+            and feature in ('l_quantity_mean', 'l_discount_mean', 'l_tax_mean'))"""
+    + CONSENSUS_SQL.format(tolerance=2, min_features=2)
+    + """ select "user", consensus_period, n_features_agreeing,
+          round(consensus_pct, 6) as consensus_pct from elected"""
+)
+def user_cycles(spark, sf_dir):
+    """The whole job from posts and anchors to one period per user, three features allowed to vote."""
+    posts = item_posts(spark, sf_dir)
+    allowed = ["l_quantity", "l_discount", "l_tax"]
+    found = jobs.user_cycles(
+        posts, item_users(posts), ITEM_FEATURES, allowed, min_features=2, tolerance=2, snr_threshold=3.0
+    )
+    return found.select("user", "consensus_period", "n_features_agreeing", *r6("consensus_pct"))
+
+
+@query(
+    "with"
+    + peak_sql(ITEM_SERIES_SQL, 21, 35)
+    + """ select "user", replace(feature, '_mean', '') as feature, period, round(power, 6) as power,
+         """
+    + LOG_RATIO_SQL
+    + """, n_points, span_days from found where peak_to_background >= 3"""
+)
+def periodicity_job(spark, sf_dir):
+    """The periodicity job on a wide daily table; its features are the mean columns."""
+    return peak_columns(jobs.periodicity(item_daily(spark, sf_dir), snr_threshold=3.0))

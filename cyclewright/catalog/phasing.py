@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cyclewright.catalog.base import (
     ITEM_DAILY_SQL,
+    ITEM_FEATURES,
+    ITEM_MEANS,
     item_daily,
     item_timeline,
     query,
@@ -135,14 +137,12 @@ def fixed_cycle_phases(spark, sf_dir):
     return phases.assign_phases_by_length(fixed, "period").select("id", "l_linenumber", "phase")
 
 
-@query(f"with {ITEM_DAILY_SQL}, pairs as (select distinct o_custkey % 100 as k, o_orderstatus as s from orders "
-       "where o_orderdate >= timestamp '1998-01-01')" + """
+@query(f"with {ITEM_DAILY_SQL}, pairs as (select distinct o_custkey % 100 as k, o_orderstatus as s from orders)" + """
   select author, offset_from_cd1, s as period from daily left join pairs on k = author""")
 def cycle_length_join(spark, sf_dir):
     """A user with several cycle lengths fans out; one without keeps a null."""
     pairs = (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
         .select((F.col("o_custkey") % 100).alias("user"), F.col("o_orderstatus").alias("period"))
     )
     joined = phases.with_cycle_length(item_daily(spark, sf_dir), pairs)
@@ -158,8 +158,8 @@ BY_PHASE_SQL = (
     select author, offset_from_cd1, feature,
       (v - avg(v) over (partition by author, feature))
         / (stddev_samp(v) over (partition by author, feature) + 1e-10) as z
-    from (select author, offset_from_cd1, l_quantity_mean, l_discount_mean from daily)
-      unpivot (v for feature in (l_quantity_mean, l_discount_mean))),
+    from daily unpivot (v for feature in
+      (l_quantity_mean, l_extendedprice_mean, l_discount_mean, l_tax_mean))),
   placed as (select s.*, ov, le, {pymod('offset_from_cd1', WRAP)} as d
              from scaled s join bounded on bounded."user" = author
              where offset_from_cd1 between -60 and 60),
@@ -180,7 +180,7 @@ def _cycles(spark, sf_dir):
 def feature_by_phase(spark, sf_dir):
     out = contrasts.features_by_phase(
         item_daily(spark, sf_dir),
-        ["l_quantity_mean", "l_discount_mean"],
+        ITEM_MEANS,
         _cycles(spark, sf_dir),
         time_window=(-60, 60),
     )
@@ -194,7 +194,7 @@ def feature_by_phase(spark, sf_dir):
 def feature_by_phase_days(spark, sf_dir):
     out = contrasts.features_by_phase(
         item_daily(spark, sf_dir),
-        ["l_quantity_mean", "l_discount_mean"],
+        ITEM_MEANS,
         _cycles(spark, sf_dir),
         time_window=(-60, 60),
         average_per_user=False,
@@ -242,20 +242,22 @@ def phase_day_counts(spark, sf_dir):
 @query(f"with {ITEM_PHASED_SQL}" + """, z as (
     select author, phase, case when stddev_samp(l_quantity_mean) over w >= 1e-10 then
         (l_quantity_mean - avg(l_quantity_mean) over w) / (stddev_samp(l_quantity_mean) over w + 1e-10)
-      end as l_quantity_zscore, l_discount_mean
+      end as l_quantity_zscore, l_extendedprice_mean, l_discount_mean, l_tax_mean
     from phased window w as (partition by author)),
   spread as (select author, max(l_quantity_zscore) - min(l_quantity_zscore) as l_quantity,
-      max(l_discount_mean) - min(l_discount_mean) as l_discount from z group by 1),
+      max(l_extendedprice_mean) - min(l_extendedprice_mean) as l_extendedprice,
+      max(l_discount_mean) - min(l_discount_mean) as l_discount,
+      max(l_tax_mean) - min(l_tax_mean) as l_tax from z group by 1),
   seen as (select distinct l_suppkey as author, cast(floor(offset_from_cd1 / 30.5) as integer) as m
            from item where offset_from_cd1 >= 0 and offset_from_cd1 / 30.5 < 6)
   select feature, m || '-' || (m + 1) as months_bin, round(avg(v), 6) as max_min_diff,
     count(*) as n_users, round(stddev_pop(v), 6) as std_max_min
-  from (select * from seen join spread using (author)) unpivot (v for feature in (l_quantity, l_discount))
+  from (select * from seen join spread using (author)) unpivot (v for feature in (l_quantity, l_extendedprice, l_discount, l_tax))
   group by all""")
 def fading(spark, sf_dir):
     daily = zscore_daily_per_user(_phased_daily(spark, sf_dir), ["l_quantity_mean"], "author")
     return contrasts.signal_fading(
-        item_timeline(spark, sf_dir), daily, ["l_quantity", "l_discount"]
+        item_timeline(spark, sf_dir), daily, ITEM_FEATURES
     ).select("feature", "months_bin", *r6("max_min_diff"), "n_users", *r6("std_max_min"))
 
 

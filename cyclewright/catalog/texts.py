@@ -423,20 +423,25 @@ def clean_content(spark, sf_dir):
     return clean.clean_content(rows).select("id", F.md5("text").alias("text_md5"))
 
 
-@query("with" + RAW_SQL + f""" select doc_id as id, author, 'post' as source,
+@query("with" + RAW_SQL + f""", wanted as (select source from documents where lang = 'en' and n_chars > 2000)
+  select doc_id as id, author, 'post' as source,
     md5({STRIP.format("(coalesce(title, '') || ' ' || coalesce(selftext, ''))")}) as text_md5
   from raw where length(coalesce(title, '')) + length(coalesce(selftext, '')) >= 150
-    and author in (select source from documents where lang = 'en' and n_chars > 2000)""")
+    and author in (select source from wanted)
+  union all
+  select doc_id, author, 'comment', md5({STRIP.format("selftext")})
+  from raw where length(selftext) >= 150 and author in (select source from wanted)""")
 def raw_content(spark, sf_dir):
-    """Long enough posts of the users of another table, in the unified columns."""
+    """Long enough posts and comments of the users of another table, in the unified columns."""
     docs = _texts(spark, sf_dir)
     users = docs.where((F.col("lang") == "en") & (F.col("n_chars") > 2000)).select(
         F.col("source").alias("user")
     )
     raw = _raw(spark, sf_dir).withColumns(
-        {"body": F.lit(None).cast("string"), "subreddit": F.lit(None).cast("string")}
+        {"body": F.col("selftext"), "subreddit": F.lit(None).cast("string")}
     )
-    out = readers.load_content(raw, users.distinct(), "post")
+    kinds = [readers.load_content(raw, users.distinct(), kind) for kind in ("post", "comment")]
+    out = kinds[0].unionByName(kinds[1])
     return out.select("id", "author", "source", F.md5("text").alias("text_md5"))
 
 

@@ -156,10 +156,11 @@ def within_months(
     months: int = WINDOW_MONTHS,
     author: str = "author",
     ts: str = "ts_utc",
+    anchor_value: str = "offset_from_cd1",
 ) -> DataFrame:
     """Posts within ``months`` of the anchor by elapsed days; other users fall out."""
     limit = int(months * DAYS_PER_MONTH)
-    joined = with_anchor(posts, users, author, "offset_from_cd1", "inner")
+    joined = with_anchor(posts, users, author, anchor_value, "inner")
     return joined.where(
         F.abs(elapsed_days(F.col(ts), F.col("anchor_ts"))) <= limit
     ).select(*posts.columns)
@@ -171,9 +172,10 @@ def within_calendar_days(
     days: int = CALENDAR_WINDOW_DAYS,
     author: str = "author",
     ts: str = "ts_utc",
+    anchor_value: str = "offset_from_cd1",
 ) -> DataFrame:
     """Posts within ``days`` midnights of the anchor, both ends included."""
-    joined = with_anchor(posts, users, author, "offset_from_cd1", "inner")
+    joined = with_anchor(posts, users, author, anchor_value, "inner")
     return joined.where(
         F.abs(calendar_days(F.col(ts), F.col("anchor_ts"))) <= days
     ).select(*posts.columns)
@@ -185,12 +187,13 @@ def placed_window(
     months: int = WINDOW_MONTHS,
     author: str = "author",
     ts: str = "ts_utc",
+    anchor_value: str = "offset_from_cd1",
 ) -> DataFrame:
-    """Offsets and the elapsed-day window in one join instead of two."""
+    """Offsets, named like the anchor value, and the elapsed-day window in one join."""
     limit = int(months * DAYS_PER_MONTH)
-    joined = with_anchor(posts, users, author, "offset_from_cd1", "inner")
+    joined = with_anchor(posts, users, author, anchor_value, "inner")
     offset = F.col("anchor_value") + calendar_days(F.col(ts), F.col("anchor_ts"))
     return joined.where(
         F.col("anchor_value").isNotNull()
         & (F.abs(elapsed_days(F.col(ts), F.col("anchor_ts"))) <= limit)
-    ).select(*posts.columns, offset.alias("offset_from_cd1"))
+    ).select(*posts.columns, offset.alias(anchor_value))

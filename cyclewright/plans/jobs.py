@@ -61,6 +61,34 @@ def build_timeline(
     return anchors.placed_window(kept, users, months)
 
 
+def row_series(
+    rows: DataFrame,
+    features: list[str],
+    user: str = "author",
+    day: str = "offset_from_cd1",
+    second_day: str = "dpo_days",
+) -> DataFrame:
+    """Daily series of rows with any number of values a day.
+
+    ``second_day`` is the day column if it has any value at all, else ``day``. The
+    feature named "text" is the length of the text. Rows without a day are no points.
+    """
+    values = [
+        F.length(f).cast("double").alias(f) if f == "text" else F.col(f).cast("double").alias(f)
+        for f in features
+    ]
+    at = F.col(day)
+    if second_day in rows.columns:
+        # One scalar for the whole table, so that no series mixes the two columns.
+        known = rows.agg(F.count(second_day)).scalar() > 0
+        at = F.when(known, F.col(second_day)).otherwise(at)
+    placed = rows.select(F.col(user).alias("user"), at.cast("int").alias("day"), *values)
+    daily = placed.where("day is not null").groupBy("user", "day").agg(
+        *[F.avg(f).alias(f) for f in features]
+    )
+    return timeline.as_series(daily, "user", "day", features)
+
+
 def periodicity(
     daily: DataFrame,
     features: list[str] | None = None,

@@ -134,18 +134,6 @@ SPLIT_PHASES = ["Menstrual", "Follicular", "Ovulation", "Early Luteal", "Late Lu
 FIVE_PHASES = ["Perimenstrual", "Midfollicular", "Periovulatory", "Early Luteal", "Midluteal"]
 
 # Ten features of the consensus vote.
-CONSENSUS_FEATURES = [
-    "negative_sentiment",
-    "positive_sentiment",
-    "num_words",
-    "avg_word_length",
-    "num_sentences",
-    "unique_word_fraction",
-    "readability",
-    "spelling_errors_frac",
-    "syntactic_complexity_subordination_index",
-    "cohesion_analysis_lexical_overlap",
-]
 
 # Columns that never count as features.
 NON_FEATURE_COLUMNS = {
