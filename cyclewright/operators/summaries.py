@@ -87,6 +87,13 @@ def days_per_user(daily: DataFrame, user: str) -> DataFrame:
     )
 
 
+def require_rows(df: DataFrame, name: str = "input") -> DataFrame:
+    """The table itself; an error when it has no rows."""
+    if df.isEmpty():
+        raise ValueError(f"{name} has no rows")
+    return df
+
+
 def null_profile(df: DataFrame, required: list[str]) -> DataFrame:
     """Row count and missing share of each required column; error for an absent one."""
     absent = [c for c in required if c not in df.columns]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,21 @@ PERIOD_DATASETS = ["consensus_periods", "feature_periodicity", "periodicity_resu
 TIMELINE_DATASETS = ["timeline_with_features", "timeline"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder of this session in ``spark.checkpoint.dir``, which all executors see.
+
+    On one machine, as in tests, a temporary folder is set where none is named; a
+    cluster has to name one.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or posixpath.join(tempfile.gettempdir(), "checkpoints"))
+    return context.getCheckpointDir()
+
+
 def save_snapshot(df: DataFrame, root: str, dataset: str, run_ts: str) -> str:
     """Adds one run of a dataset, in its own partition."""
     path = posixpath.join(root, dataset)
@@ -58,5 +74,10 @@ def load_first_available(
 def export_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """CSV folder with a header; text is quoted and quotes are escaped by a backslash."""
     df.write.mode("overwrite").options(
-        header=True, escape="\\", quoteAll=False, compression=compression
+        header=True,
+        escape="\\",
+        quoteAll=False,
+        compression=compression,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     ).csv(path)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cyclewright.operators import clean, consensus, lomb, scaling, sinefit, spectral, timeline
+from cyclewright.plans import jobs
 from cyclewright.plans.jobs import all_methods, normalisation_grid, periodicity
 from cyclewright.plans.quantiles import exact_median
 
@@ -367,3 +368,36 @@ def test_spectrum_plan_has_one_exchange_after_the_daily_table(spark, many, tmp_p
     plan = spectral.detect_periods(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_rows_of_one_day_are_their_mean(spark):
+    """Repeated days neither fail nor count as further points."""
+    rng = np.random.default_rng(1)
+    days = np.arange(0, 120, 2)
+    values = np.sin(days * 2 * np.pi / 28) + rng.normal(0, 0.1, len(days))
+    once = [("u", "f", int(d), float(v)) for d, v in zip(days, values, strict=True)]
+    twice = [(*r[:3], r[3] + e) for r in once for e in (-0.5, 0.5)] + [("u", "f", 4, None)]
+    schema = "user string, feature string, day int, value double"
+    a, b = (spark.createDataFrame(x, schema) for x in (once, twice))
+    for detect in (spectral.detect_periods, lomb.detect_periods_ls):
+        one, two = detect(a).first().asDict(), detect(b).first().asDict()
+        assert one["n_points"] == two["n_points"] == len(days)
+        assert one["period"] == two["period"] and one["power"] == pytest.approx(two["power"])
+
+
+def test_row_series_takes_text_length_and_the_second_day(spark):
+    rows = [("u", 1, 11, "ab"), ("u", 1, 11, "abcd"), ("u", 2, None, "x"), ("v", 3, None, None)]
+    df = spark.createDataFrame(rows, "author string, offset_from_cd1 int, dpo_days int, text string")
+    got = jobs.row_series(df, ["text"]).collect()
+    assert [(r["user"], r["day"], r["value"]) for r in got] == [("u", 11, 3.0)]
+    first = jobs.row_series(df.withColumn("dpo_days", F.lit(None).cast("int")), ["text"])
+    assert sorted((r["user"], r["day"], r["value"]) for r in first.where("value is not null").collect()) == [
+        ("u", 1, 3.0),
+        ("u", 2, 1.0),
+    ]
+
+
+def test_median_of_counted_values_and_of_nothing(spark):
+    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 4), (None, 7), (float("nan"), 2)], "v double, n int")
+    assert exact_median(df, "v", "n", partitions=3).first()["median"] == 5.5
+    assert exact_median(df.where("v is null"), "v").first()["median"] is None

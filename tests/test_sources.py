@@ -143,3 +143,32 @@ def test_category_shares_are_of_all_posts(spark):
 def test_times_are_utc(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23, tzinfo=dt.timezone.utc),)], "t timestamp")
     assert df.select(F.col("t").cast("date")).first()[0] == dt.date(2024, 1, 1)
+
+
+def test_json_lines_with_quoted_numbers_tabs_and_bad_values(spark):
+    lines = [
+        '1:{"id":"a","created_utc":"1500000000","body":"x"}',
+        '2:\t{"id":"b","created_utc":1500000001.5}\t',
+        '3: {"id":"c","created_utc":"soon","title":7}',
+        '4: {"id":"d","created_utc":{"n":1}}',
+        "5: [1]",
+        '6: {"id":',
+        "7:",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = {r["id"]: (r["created_utc"], r["title"]) for r in readers.parse_json_lines(df).collect()}
+    assert got == {"a": (1.5e9, None), "b": (1500000001.5, None), "c": (None, "7"), "d": (None, None)}
+
+
+def test_rows_of_one_id_and_time_fall_to_the_smallest(spark):
+    rows = [("x", 1.0, "b"), ("x", 1.0, "a"), (None, 2.0, "d"), (None, 2.0, "c")]
+    df = spark.createDataFrame(rows, "id string, created_utc double, text string")
+    got = readers.first_row_per_id(df.repartition(3), "id", ["created_utc"]).collect()
+    assert sorted(r["text"] for r in got) == ["a", "c"]
+
+
+def test_empty_input_is_refused(spark):
+    df = spark.range(2)
+    assert summaries.require_rows(df) is df
+    with pytest.raises(ValueError):
+        summaries.require_rows(df.where("id > 5"), "posts")
