@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from cyclewright.llm.common import arrow_map, settled
 
-#: Hash buckets: the lower half for words, the upper for word pairs.
-BUCKETS = 1 << 18
+#: Hash buckets: the lower half for words, the upper for word pairs. They bound what a task sends and what is
+#: broadcast (8 MB); fewer make junk words collide with clean ones.
+BUCKETS = 1 << 20
 #: Labelled rows that the target model and the level are fitted on, at most; half of them each.
 SAMPLE = 20_000
 PSEUDO_COUNT = 0.5
