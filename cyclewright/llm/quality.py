@@ -114,10 +114,11 @@ def gram_counts(docs: DataFrame, target_ids: set[int], buckets: int = BUCKETS) -
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
     counted = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "bucket long, raw long, target long")
-    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    # At most one row a bucket, fetched in columns.
+    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[rows["bucket"].to_numpy(np.int64)] = rows["raw"]
-    target[rows["bucket"].to_numpy(np.int64)] = rows["target"]
+    at = rows["bucket"].to_numpy()
+    raw[at], target[at] = rows["raw"].to_numpy(), rows["target"].to_numpy()
     return raw, target
 
 
