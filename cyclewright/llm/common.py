@@ -16,8 +16,8 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Maps bytes of UTF-8: A-Z to a-z.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Rows of one Arrow batch: whole texts travel in them, so they are fewer than Spark's default.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch: whole texts travel in them, so they are fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,12 @@ def stored(df: DataFrame) -> DataFrame:
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows."""
+    """mapInArrow in batches of at most BATCH_ROWS rows, or BATCH_BYTES bytes and a row."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < int(conf.get(name).rstrip("bB")) <= most:
+            conf.set(name, str(most))
     return df.mapInArrow(function, schema)
 
 
