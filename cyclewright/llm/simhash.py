@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cyclewright.llm.common import ASCII_LOWER, arrow_map, byte_texts, settled
 from cyclewright.llm.components import components
+from cyclewright.plans.joins import lookup_join
 
 #: Words of a shingle, seed of its hash and most differing bits of a link.
 SHINGLE, HASH_SEED, RADIUS = 4, 42, 4
@@ -185,8 +186,9 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LI
     points = points.join(roots, F.col("bits") == F.col("node"), "left").select(
         F.col("bits").alias("of"), "least_id", F.coalesce("root", "bits").alias("root")
     )
-    least = points.groupBy("root").agg(F.min("least_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    points = settled(points.join(least, F.col("root") == F.col("r")).select("of", "component_id"))
+    least = points.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # A component of many fingerprints is one root: this join can be split where that is hot.
+    points = settled(lookup_join(points, least, ["root"]).select("of", "component_id"))
     return prints.join(points, F.col("bits") == F.col("of")).select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
