@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows and bytes of one Arrow batch: whole texts travel in them, so they are fewer than Spark's defaults.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Bits of a key to select by, and of its digits that one round of the selection counts.
+KEY_BITS, DIGIT_BITS = 56, 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +81,40 @@ def lowered(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Maximal runs without white space in the whole text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(f"{NOT_SPACE}+")), F.lit(0)).cast("long")
+
+
+def kth_largest(keys: DataFrame, k: int) -> int | None:
+    """The k-th largest of the column key: a digit a round, counted in at most 2^DIGIT_BITS rows."""
+    if k < 1:
+        return None
+    offset, prefix, shift = 1 << (KEY_BITS - 1), 0, KEY_BITS
+    keys = keys.select((F.col("key") + F.lit(offset)).alias("key"))
+    while shift > 0:
+        step = min(DIGIT_BITS, shift)
+        rows = (
+            keys.where(F.shiftright("key", shift) == prefix)
+            .groupBy(F.shiftright("key", shift - step).alias("digit"))
+            .count()
+            .toPandas()
+            .sort_values("digit", ascending=False)
+        )
+        upto = rows["count"].cumsum().to_numpy()
+        if not len(upto) or upto[-1] < k:
+            return None  # fewer rows than k
+        at = int(np.searchsorted(upto, k))
+        k -= int(upto[at - 1]) if at else 0
+        prefix, shift = int(rows["digit"].iloc[at]), shift - step
+    return prefix - offset
+
+
+def seeded_sample(df: DataFrame, order: Column, k: int) -> DataFrame:
+    """At most k rows, those with the largest of a 64-bit hash; rows that tie with the k-th are left out if too many.
+
+    No task or driver gathers more than the digit counts of the selection and the rows that it returns.
+    """
+    keyed = df.withColumn("seeded_key", F.shiftright(order, 64 - KEY_BITS + 2))
+    least = kth_largest(keyed.select(F.col("seeded_key").alias("key")), k)
+    if least is not None:
+        above = keyed.where(F.col("seeded_key") >= least)
+        keyed = above if above.count() <= k else keyed.where(F.col("seeded_key") > least)
+    return keyed.drop("seeded_key")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewright.llm.common import arrow_map, settled
+from cyclewright.llm.common import KEY_BITS, arrow_map, kth_largest, seeded_sample, settled
 
 #: Hash buckets: the lower half for words, the upper for word pairs. They bound what a task sends and what is
 #: broadcast (8 MB); fewer make junk words collide with clean ones.
@@ -45,8 +45,8 @@ SHORT_BY = 3.5
 COST_OF_LOSS = 5
 #: Words a task remembers the hashes of before it starts anew.
 MEMORY = 500_000
-#: Digits of a key that one round of the selection counts, and the keys' fixed point.
-DIGIT_BITS, KEY_BITS, POINT = 14, 56, 1 << 20
+#: Fixed point of the keys.
+POINT = 1 << 20
 
 
 class Grams:
@@ -87,8 +87,9 @@ def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[
         labels.where("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.min("quality") == 1).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-        .limit(sample)
+    )
+    rows = (
+        seeded_sample(rows, F.xxhash64("doc_id", F.lit(SEED)), sample)
         .select("doc_id", (F.col("good") & ~F.col("toxic")).alias("good"), (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(2)) == 0).alias("fits"))
         .toPandas()
     )
@@ -177,30 +178,6 @@ def key_of(weight: Column, doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(F.greatest(F.least(value, bound), -bound) * POINT).cast("long")
 
 
-def kth_largest(keys: DataFrame, k: int) -> int | None:
-    """The k-th largest of the column key: a digit a round, counted in at most 2^DIGIT_BITS rows."""
-    if k < 1:
-        return None
-    offset, prefix, shift = 1 << (KEY_BITS - 1), 0, KEY_BITS
-    keys = keys.select((F.col("key") + F.lit(offset)).alias("key"))
-    while shift > 0:
-        step = min(DIGIT_BITS, shift)
-        rows = (
-            keys.where(F.shiftright("key", shift) == prefix)
-            .groupBy(F.shiftright("key", shift - step).alias("digit"))
-            .count()
-            .toPandas()
-            .sort_values("digit", ascending=False)
-        )
-        upto = rows["count"].cumsum().to_numpy()
-        if not len(upto) or upto[-1] < k:
-            return None  # fewer rows than k
-        at = int(np.searchsorted(upto, k))
-        k -= int(upto[at - 1]) if at else 0
-        prefix, shift = int(rows["digit"].iloc[at]), shift - step
-    return prefix - offset
-
-
 def net_weight(weight: str, size: str, gain: float) -> Column:
     return F.col(weight) - F.lit(gain) * F.col(size)
 

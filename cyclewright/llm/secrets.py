@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewright.llm.common import arrow_map, settled
+from cyclewright.llm.common import arrow_map, kth_largest, seeded_sample, settled
 
 #: Labelled findings of each label, words of the dictionary, and words a task counts before it sends its sums.
 SAMPLE, DICTIONARY, TASK_WORDS = 10_000, 20_000, 300_000
@@ -99,8 +99,11 @@ def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, set[str]]:
     pairs = np.ones((KINDS, KINDS))  # as many rows as pairs of kinds
     for r in counted.where(F.col("word").startswith("\n")).collect():
         pairs.flat[int(r["word"][1:])] += r["n"]
-    words = counted.where(~F.col("word").startswith("\n")).orderBy(F.desc("n"), "word").limit(DICTIONARY)
-    return np.log(pairs / pairs.sum(axis=1, keepdims=True)), {r["word"] for r in words.collect()}
+    words = counted.where(~F.col("word").startswith("\n"))
+    least = kth_largest(words.select(F.col("n").alias("key")), DICTIONARY)
+    if least is not None:
+        words = words.where(F.col("n") > least)  # words that tie with the last place stay out
+    return np.log(pairs / pairs.sum(axis=1, keepdims=True)), set(words.select("word").toArrow()["word"].to_pylist())
 
 
 def coverage(value: str, words: set[str]) -> tuple[float, int]:
@@ -189,7 +192,7 @@ def training_rows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most `sample` findings of each label, distinct, in seeded order in one partition, so that reruns agree."""
     rows = labelled.where("label is not null").select("label", *FEATURES).distinct()
     order = F.xxhash64(F.lit(SEED), *FEATURES)
-    parts = [rows.where(F.col("label") == x).orderBy(order, *FEATURES).limit(sample) for x in (0, 1)]
+    parts = [seeded_sample(rows.where(F.col("label") == x), order, sample) for x in (0, 1)]
     return parts[0].unionByName(parts[1]).coalesce(1).sortWithinPartitions(order, *FEATURES)
 
 

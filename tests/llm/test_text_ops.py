@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cyclewright.llm import chat, decontaminate, licenses, mixing, pages, quality, secrets
+from cyclewright.llm.common import kth_largest, seeded_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -242,8 +243,16 @@ def test_kth_largest(spark, k):
     rng = random.Random(k)
     values = [rng.choice([-5, 0, 3, rng.randrange(-(1 << 54), 1 << 54)]) for _ in range(100)]
     keys = spark.createDataFrame([(v,) for v in values], "key long")
-    assert quality.kth_largest(keys, k) == sorted(values, reverse=True)[k - 1]
-    assert quality.kth_largest(keys, 101) is None and quality.kth_largest(keys, 0) is None
+    assert kth_largest(keys, k) == sorted(values, reverse=True)[k - 1]
+    assert kth_largest(keys, 101) is None and kth_largest(keys, 0) is None
+
+
+def test_seeded_sample(spark):
+    df = spark.range(500).withColumn("x", F.lit(1))
+    got = rows(seeded_sample(df, F.xxhash64("id"), 60), "id", "x")
+    assert len(got) == 60 and got == rows(seeded_sample(df.repartition(5), F.xxhash64("id"), 60), "id", "x")
+    assert seeded_sample(df, F.xxhash64("id"), 900).count() == 500
+    assert seeded_sample(df, F.xxhash64("x"), 60).count() == 0
 
 
 # --- pages ---------------------------------------------------------------------------------------
