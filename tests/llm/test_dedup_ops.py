@@ -231,6 +231,36 @@ def test_every_exact_passage_of_fifty_words_is_found(spark):
     assert got == want
 
 
+def test_exact_passages_around_nested_ones_are_found(spark):
+    rng = random.Random(18)
+    texts = []
+    for n in (50, 52, 55, 60, 70, 100):
+        for _ in range(8):
+            shared, part = words(n, rng, 3000), rng.randrange(25, 50)
+            at = rng.randrange(0, n - part + 1)
+            for inner in (shared[at : at + part], shared, words(5, rng, 3000) + shared):
+                texts.append((len(texts), words(rng.randrange(40, 60), rng, 3000) + inner + words(rng.randrange(40, 60), rng, 3000)))
+    got = passages.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in texts])).collect()
+    exact = {(r["doc_id"], r["source_doc_id"]) for r in got if r["edits"] == 0}
+    want = {(i, j) for i, t in texts for j, u in texts[max(0, i - 2) : i] if plain_shared(t, u, 50)}
+    assert len(want) == 48 and want <= exact
+
+
+def test_exact_part_of_an_unlike_chain_is_found():
+    a = np.arange(200, dtype=np.uint64)
+    b = np.r_[a[:60], a[60:90] + np.uint64(1000), a[90:100], a[100:] + np.uint64(2000)]
+    anchors = np.array([[0, 20, 52, 90], [0, 20, 52, 90]])
+    assert passages.parts_of(a, b, 0, 0, anchors) == [(0, 60, 0, 60, 0), (90, 100, 90, 100, 0)]
+
+
+def test_stretch_hashes_tell_places_alike():
+    rng = np.random.default_rng(3)
+    own = rng.integers(0, 1 << 64, 300, np.uint64)
+    got, moved = passages.stretch_hashes(own), passages.stretch_hashes(np.r_[own[:7], own])
+    assert len(set(got.tolist())) == 251 and np.array_equal(got, moved[7:])
+    assert len(passages.stretch_hashes(own[:49])) == 0
+
+
 def test_chaining_prefers_the_long_chain_and_respects_order():
     x = np.array([0, 10, 20, 30, 30, 40, 50])
     y = np.array([500, 100, 110, 120, 5, 130, 140])
