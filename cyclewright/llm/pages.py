@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths.
 
 Every page scores its containers: the deepest one that holds most of the page's text outside links and outside
-menus, adverts and the like. Its generalised path (tags with their classes, digits taken out) is a vote. Votes are
-counted by host and path in Spark, the path with most votes wins its host, and every page is extracted anew from
-the containers on its host's path, or from its own choice where the path is missing or holds too little.
+menus, adverts and the like, and from there up to the outermost article, main or content class around it. Its
+generalised path (tags with their classes, digits taken out) is a vote. Votes are counted by host and path in Spark,
+the path with most votes wins its host, and every page is extracted anew: all of its own article, and the containers
+on its host's path unless these hold too little. A page without an article, main or content class keeps, besides its
+container, what is marked up as text or ends a sentence and isn't mostly links.
 
 Text of a block is put together over inline marks, character references decoded, white space made one space.
 
@@ -28,7 +30,7 @@ from cyclewright.llm.common import arrow_map, settled
 
 #: Share of a page's text that its container must hold.
 SHARE = 0.7
-#: A host's path is used where it holds at least this share of what the page's own container holds.
+#: A host's path adds its blocks where it holds at least this share of what the page's own container holds.
 ENOUGH = 0.5
 #: Hosts whose winning paths are broadcast (a host name and a number each); more of them are joined by shuffle.
 MOST_BROADCAST_HOSTS = 200_000
@@ -62,13 +64,16 @@ LAYOUT_LAST = {"open", "closed", "enabled", "disabled"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORDS = re.compile(r"[a-z]+")
+#: The end of a sentence.
+ENDS = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
 
 
 class Node:
-    __slots__ = ("block", "container", "depth", "link", "path", "skipped", "tag", "up", "within")
+    __slots__ = ("article", "block", "container", "depth", "link", "path", "skipped", "tag", "up", "within")
 
     def __init__(self, tag: str, up: Node | None, path: str, skipped: bool, within: bool, link: bool):
         self.tag, self.up, self.path, self.skipped, self.within, self.link = tag, up, path, skipped, within, link
+        self.article = tag in ("article", "main")
         self.block, self.container, self.depth = tag in BLOCKS, tag in CONTAINERS, up.depth + 1 if up else 0
 
 
@@ -85,18 +90,22 @@ def _is_not_article(attributes: dict[str, str]) -> bool:
 def _node(tag: str, raw: str, up: Node | None) -> Node:
     attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if "=" in raw else {}
     skipped, within, path = bool(up and up.skipped), bool(up and up.within), up.path if up else ""
+    content = False
     names = attributes.get("class", "")
     if not skipped and tag not in ("html", "body", "main", "article"):
         words = WORDS.findall(f"{names} {attributes.get('id', '')}".lower()) if attributes else ()
         header = tag == "header" or "header" in words
         skipped = tag in NEVER_TEXT or header and not within or " hidden" in raw and HIDDEN.search(raw) is not None
         skipped = skipped or bool(attributes) and _is_not_article(attributes)
-        within = within or not CONTENT.isdisjoint(words)
+        content = not CONTENT.isdisjoint(words)
+        within = within or content
     if tag in CONTAINERS:
         within = within or tag in ("article", "main")
         classes = sorted(c for c in (re.sub(r"\d+", "", x) for x in names.split()) if c) if names else ()
         path = f"{path}>{'.'.join((tag, *classes))}"
-    return Node(tag, up, path, skipped, within, tag == "a" or bool(up and up.link))
+    node = Node(tag, up, path, skipped, within, tag == "a" or bool(up and up.link))
+    node.article = node.article or content
+    return node
 
 
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
@@ -189,13 +198,23 @@ def own_container(blocks: list[tuple[Node, str, int]]) -> tuple[Node | None, int
     return best, held.get(best, 0)
 
 
+def own_article(best: Node) -> Node:
+    """The outermost article, main or content class around a page's container, or the container itself."""
+    return max((c for c in containers(best) if c.article), key=lambda c: -c.depth, default=best)
+
+
+def is_text(node: Node, text: str, free: int) -> bool:
+    """Whether a block beside a page's container, without an article around it, reads as text and not as links."""
+    return 2 * free > len(text) and (not node.container and node.up is not None or ENDS.search(text) is not None)
+
+
 def path_hash(node: Node) -> int:
     x = xxhash.xxh64_intdigest(node.path.encode("utf-8", "surrogatepass"))
     return x - (1 << 64) if x >> 63 else x
 
 
 def main_text(page: str | None, path: int | None) -> str:
-    """The page's blocks on the given path, or in its own container."""
+    """The blocks of the page's own article, and those on the given path."""
     blocks = blocks_of(page or "")
     best, most = own_container(blocks)
     if best is None:
@@ -210,10 +229,12 @@ def main_text(page: str | None, path: int | None) -> str:
                 return True
         return False
 
-    found = [(text, free) for node, text, free in blocks if path is not None and on_path(node)]
-    if sum(free for _, free in found) < ENOUGH * most or not found:
-        found = [(text, free) for node, text, free in blocks if best in containers(node)]
-    return "\n".join(text for text, _ in found)
+    placed = [path is not None and on_path(node) for node, _, _ in blocks]
+    if sum(free for (_, _, free), x in zip(blocks, placed, strict=True) if x) < ENOUGH * most:
+        placed = [False] * len(blocks)
+    top = own_article(best)
+    own = [top in containers(node) or not top.article and is_text(node, text, free) for node, text, free in blocks]
+    return "\n".join(text for (_, text, _), x, y in zip(blocks, placed, own, strict=True) if x or y)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +242,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = []
         for page in batch.column("html").to_pylist():
             best, _ = own_container(blocks_of(page or ""))
-            paths.append(None if best is None else path_hash(best))
+            paths.append(None if best is None else path_hash(own_article(best)))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.int64())], names=["host", "path"])
 
 

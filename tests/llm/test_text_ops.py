@@ -290,6 +290,20 @@ def test_path_of_the_host_wins(spark):
     assert got[9].startswith("word")
 
 
+def test_all_parts_of_an_article_stay(spark):
+    lead, body, tail = "lead words. " * 5, "body words. " * 60, "tail words. " * 20
+    nested = f'<nav>menu</nav><article><h1>Title</h1><p class="lead">{lead}</p><div class="body"><p>{body}</p></div></article>'
+    unlike = f'<div class="x"><p>{body}</p></div><div class="y"><p>{tail}</p></div><ul><li><a href="/">Home</a></li></ul>'
+    other = f'<main><div class="body"><p>{body}</p></div><section><p>{body}</p></section></main>'
+    given = [(i, "http://a.example/x", f"<body>{nested}</body>") for i in range(3)] + [(3, "http://b.example/x", f"<body>{unlike}</body>")]
+    given += [(i, "http://c.example/x", f'<body><main><div class="body"><p>{body}</p></div></main></body>') for i in range(4, 7)]
+    given += [(7, "http://c.example/y", f"<body>{other}</body>")]
+    got = {r["page_id"]: r["text"] for r in pages.extracted(page_frame(spark, given)).collect()}
+    lead, body, tail = lead.strip(), body.strip(), tail.strip()
+    assert got[0] == f"Title\n{lead}\n{body}" and got[3] == f"{body}\n{tail}"
+    assert got[4] == body and got[7] == f"{body}\n{body}"
+
+
 def test_pages_without_text_and_broken_pages(spark):
     given = [(1, None, None), (2, "u", ""), (3, "u", "<html><body>"), (4, "u", "just text & more"), (5, "u", "<p>open <b>mark <p>next &am"), (6, "u", "<div><p>cut <a href=\"x")]
     got = {r["page_id"]: r["text"] for r in pages.extracted(page_frame(spark, given + given[:1])).collect()}
