@@ -1,6 +1,6 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-Candidates are long tokens with a digit and values assigned to a name. Their features are length, kinds of
+Candidates are long tokens with a digit and values assigned to a name, each whole, however long. Their features are length, kinds of
 characters, how often the kind changes, the mean log probability of their character transitions under the
 corpus, the share of characters that dictionary words cover, words in the document's path and neighbouring words.
 A random forest (Spark ML) trained on labelled findings gives each candidate its probability.
@@ -40,8 +40,8 @@ LEVEL = 0.5
 NEIGHBOURHOOD = 48
 
 CANDIDATE = re.compile(
-    r"(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z][A-Za-z0-9_.-]{1,40})[\"']?[ \t]{0,3}(?:=|:=|:)[ \t]{0,3}(?P<quote>[\"']?)(?P<value>[^\s\"'<>,;(){}\[\]]{8,512})"
-    r"|(?<![A-Za-z0-9+/_-])(?P<token>[A-Za-z0-9+/_-]{16,512}={0,2})(?![A-Za-z0-9+/_=-])"
+    r"(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z][A-Za-z0-9_.-]++)[\"']?[ \t]{0,3}(?:=|:=|:)[ \t]{0,3}(?P<quote>[\"']?)(?P<value>[^\s\"'<>,;(){}\[\]]{8,}+)"
+    r"|(?<![A-Za-z0-9+/_-])(?P<token>[A-Za-z0-9+/_-]{16,}+={0,2})(?![A-Za-z0-9+/_=-])"
 )
 DIGIT = re.compile(r"\d")
 # Names of credentials, words that speak against one, places of examples, and provider formats.
