@@ -189,11 +189,14 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
 
 
 def training_rows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most `sample` findings of each label, distinct, in seeded order in one partition, so that reruns agree."""
+    """At most `sample` findings of each label, distinct, in seeded order in one partition, so that reruns agree.
+
+    Only they go to one task: the distinct rows are found and sampled in the tasks before.
+    """
     rows = labelled.where("label is not null").select("label", *FEATURES).distinct()
     order = F.xxhash64(F.lit(SEED), *FEATURES)
     parts = [seeded_sample(rows.where(F.col("label") == x), order, sample) for x in (0, 1)]
-    return parts[0].unionByName(parts[1]).coalesce(1).sortWithinPartitions(order, *FEATURES)
+    return parts[0].unionByName(parts[1]).repartition(1).sortWithinPartitions(order, *FEATURES, "label")
 
 
 def scanned(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source", level: float = LEVEL) -> DataFrame:
