@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclewright.llm import chat, decontaminate, exact_dedup, licenses, mixing, pages, passages, quality, secrets, simhash
+from cyclewright.llm import chat, decontaminate, exact_dedup, licenses, mixing, packing, pages, passages, periods, prefixes
+from cyclewright.llm import quality, secrets, simhash
 from cyclewright.llm.common import table
 from cyclewright.llm.queries import query
 
@@ -167,3 +169,66 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret candidates of every document with the forest's verdict."""
     return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = r"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, digest) as place, digest, n_bytes
+  from (
+    select conv_id, turn, strlen(coalesce(text, '')) as n_bytes,
+      md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as digest
+    from conversations where conv_id is not null
+  )
+), ids as (
+  select conv_id, conv_id - conv_id % 5 as base, xor(list_reduce(
+      list_concat([4294967295], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))
+    ), 4294967295) % 9 as h
+  from (select distinct conv_id from t)
+), taken as (
+  select ids.conv_id, t.place, t.digest, t.n_bytes from ids join t on t.conv_id = ids.base and t.place <= ids.h
+), n_taken as (select conv_id, count(*) as n from taken group by conv_id
+), r as (
+  select * from taken
+  union all
+  select t.conv_id, t.place - ids.h + coalesce(n_taken.n, 0), t.digest, t.n_bytes
+  from t join ids using (conv_id) left join n_taken using (conv_id) where t.place > ids.h
+), pre as (
+  select conv_id, place as depth, string_agg(digest, '') over (partition by conv_id order by place) as key, n_bytes from r
+  union all
+  select conv_id, 0, '', 0 from ids
+), n as (
+  select key, depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(n_bytes) as saved,
+    case when depth > 0 then left(key, 32 * (depth - 1)) end as above
+  from pre group by key, depth
+), c as (select above, count(*) as n_children from n where above is not null group by above
+), s as (
+  select pre.key, sum(n.saved) as saved_tokens, count(*) filter (where c.above is null) as n_leaves
+  from n left join c on c.above = n.key join pre on pre.conv_id = n.conv_id and pre.depth <= n.depth
+  group by pre.key
+), e as (
+  select key, string_agg(conv_id::varchar, ',' order by conv_id) as ends
+  from (select conv_id, arg_max(key, depth) as key from pre group by conv_id) group by key
+)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children,
+  s.n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(e.ends, '')) as ends_sha256
+from n join s using (key) left join n p on p.key = n.above left join c on c.above = n.key left join e on e.key = n.key
+"""
+
+
+@query(TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(None)
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(None)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and its text without their repeats."""
+    return periods.periodic_runs(table(spark, sf_dir, "documents"))
