@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cyclewright.catalog.base import query, r6, table
 from cyclewright.functions import daynumbers, matching
 from cyclewright.functions import textfeatures as tf
+from cyclewright.functions.columns import words
 from cyclewright.operators import anchors, clean, summaries, textmetrics
 from cyclewright.operators import matching as match_ops
 from cyclewright.settings import (
@@ -70,6 +71,11 @@ def _texts(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _spread(spark, sf_dir):
+    """Number and text of every document, dealt out to tasks: the test table is one block of one file."""
+    return _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").repartition("id")
+
+
 def _documents(spark, sf_dir):
     """Whole documents with a carrier sentence and a post time."""
     carrier = F.get(
@@ -499,7 +505,7 @@ BASIC = ["avg_word_length", "avg_words_per_sentence", "unique_word_fraction", "r
 
 @query("with" + WORDS_SQL + "," + BASIC_SQL + " select * from basic")
 def basic_text(spark, sf_dir):
-    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    docs = _spread(spark, sf_dir)
     return textmetrics.basic_features(docs).select("id", "word_count", *r6(*BASIC))
 
 
@@ -518,8 +524,8 @@ MATTR_SQL = r"""
 
 @query("with" + MATTR_SQL + " select * from ratios")
 def mattr(spark, sf_dir):
-    return _texts(spark, sf_dir).select(
-        F.col("doc_id").alias("id"),
+    return _spread(spark, sf_dir).select(
+        "id",
         F.round(tf.moving_type_token_ratio(F.col("text")), 6).alias("mattr"),
     )
 
@@ -529,8 +535,6 @@ vocabulary as (select distinct unnest({NONBLANK.format("lower(text)")}) as word
 
 
 def _vocabulary(spark, sf_dir):
-    from cyclewright.functions.columns import words
-
     return (
         table(spark, sf_dir, "benchmark")
         .select(F.explode(words(F.lower("text"))).alias("word"))
@@ -547,7 +551,7 @@ UNKNOWN_SQL = """
 
 @query("with" + WORDS_SQL + "," + BENCH_WORDS_SQL + "," + UNKNOWN_SQL + " select * from unknown")
 def unknown_word_share(spark, sf_dir):
-    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    docs = _spread(spark, sf_dir)
     return textmetrics.unknown_word_share(docs, _vocabulary(spark, sf_dir), "id").select(
         "id", *r6("unknown_word_share")
     )
@@ -582,7 +586,7 @@ SCORES_SQL = """
 
 @query("with" + WORDS_SQL + "," + BENCH_WORDS_SQL + "," + LEXICON_SQL + "," + SCORES_SQL + " select * from scores")
 def lexicon_scores(spark, sf_dir):
-    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    docs = _spread(spark, sf_dir)
     out = textmetrics.lexicon_scores(docs, _lexicon(spark, sf_dir), "id")
     return out.select("id", *r6(*[c for c in out.columns if c != "id"]))
 
@@ -600,7 +604,7 @@ def _connectives(spark):
 
 @query("with" + WORDS_SQL + "," + LINKS_SQL + " select * from links")
 def connectives_per_sentence(spark, sf_dir):
-    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    docs = _spread(spark, sf_dir)
     return textmetrics.connectives_per_sentence(docs, _connectives(spark), "id").select(
         "id", *r6("connectives_per_sentence")
     )
@@ -617,8 +621,8 @@ OVERLAP_SQL = f"""
 
 @query("with" + WORDS_SQL + "," + OVERLAP_SQL + " select * from cohesion")
 def sentence_overlap(spark, sf_dir):
-    return _texts(spark, sf_dir).select(
-        F.col("doc_id").alias("id"),
+    return _spread(spark, sf_dir).select(
+        "id",
         F.round(tf.neighbour_overlap(F.col("text")), 6).alias("cohesion"),
     )
 
@@ -633,7 +637,7 @@ def sentence_overlap(spark, sf_dir):
 )
 def text_bundle(spark, sf_dir):
     """Every text feature at once."""
-    docs = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    docs = _spread(spark, sf_dir)
     out = textmetrics.all_features(
         docs, _lexicon(spark, sf_dir), _vocabulary(spark, sf_dir), _connectives(spark), "id"
     )

@@ -1,4 +1,8 @@
-"""Row-local text measures. Whole texts, linear or n log n in their length."""
+"""Row-local text measures. Whole texts, linear or n log n in their length.
+
+Measures of one token at a time are plain expressions; those that compare tokens with
+each other are made in Arrow batches (``textkernel``), several at once by its struct.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cyclewright.functions.columns import SPACE, let, words
+from cyclewright.functions.textkernel import text_measures
 from cyclewright.settings import MATTR_WINDOW
 
 
@@ -48,73 +53,24 @@ def words_per_sentence(text: Column) -> Column:
 
 def unique_word_fraction(text: Column) -> Column:
     """Distinct lower-cased tokens over all tokens, 0 without tokens."""
-    return let(
-        words(F.lower(text)),
-        lambda w: F.coalesce(F.try_divide(F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0)),
-    )
+    return text_measures(text, "unique_word_fraction")["unique_word_fraction"]
 
 
 def reading_grade(text: Column) -> Column:
     """Published Flesch-Kincaid formula with vowel groups as syllables, at least one a word.
 
-    A vowel group never spans two words, so syllables are the groups of the
-    whole text and one for each word without a vowel.
+    0 without words or sentences.
     """
-    low = F.lower(text)
-    n_sentences = sentence_count(text)
-
-    def grade(w: Column) -> Column:
-        vowelless = F.size(F.filter(w, lambda x: ~x.rlike("[aeiouy]")))
-        syllables = _count(low, "[aeiouy]+") + vowelless
-        return (
-            F.try_divide(F.size(w), n_sentences) * 0.39
-            + F.try_divide(syllables, F.size(w)) * 11.8
-            - 15.59
-        )
-
-    return F.coalesce(let(words(low), grade), F.lit(0.0))
+    return text_measures(text, "reading_grade")["reading_grade"]
 
 
 def moving_type_token_ratio(text: Column, window: int = MATTR_WINDOW) -> Column:
     """Mean share of distinct tokens over all windows; shorter texts are one window.
 
-    A token at position i adds one distinct word to each window that covers i
-    and not the previous place p of the same word, so the sum over windows is a
-    sum over tokens. Sorting (word, position) pairs gives p: n log n, not
-    n times the window. Letters and digits make a token, in lower case.
+    Letters and digits make a token, in lower case; null without tokens. Linear in
+    the tokens after one sort, whatever the window.
     """
-    tokens = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-
-    def score(w: Column) -> Column:
-        n = F.size(w)
-        span = F.least(n, F.lit(window))
-        last_start = n - span
-        placed = F.sort_array(
-            F.transform(w, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-        )
-
-        def total(p: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                same = acc["t"].eqNullSafe(x["t"])
-                after_previous = F.when(same, acc["i"] + 1).otherwise(0)
-                first = F.greatest(x["i"] - span + 1, after_previous, F.lit(0))
-                last = F.least(x["i"], last_start)
-                return F.struct(
-                    (acc["s"] + F.greatest(last - first + 1, F.lit(0))).alias("s"),
-                    x["t"].alias("t"),
-                    x["i"].alias("i"),
-                )
-
-            start = F.struct(
-                F.lit(0).cast("long").alias("s"),
-                F.lit(None).cast("string").alias("t"),
-                F.lit(0).alias("i"),
-            )
-            return F.aggregate(p, start, step, lambda acc: acc["s"])
-
-        return F.when(n > 0, let(placed, total) / ((last_start + 1) * span))
-
-    return let(tokens, score)
+    return text_measures(text, "mattr", window=window)["mattr"]
 
 
 def neighbour_overlap(text: Column) -> Column:
@@ -122,17 +78,4 @@ def neighbour_overlap(text: Column) -> Column:
 
     Null with fewer than two sentences.
     """
-    bags = F.transform(sentences(F.lower(text)), lambda s: F.array_distinct(words(s)))
-
-    def mean(b: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(b, 1, F.size(b) - 1),
-            F.slice(b, 2, F.size(b) - 1),
-            lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)),
-        )
-        return let(
-            pairs,
-            lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v),
-        )
-
-    return let(bags, lambda b: F.when(F.size(b) >= 2, mean(b)))
+    return text_measures(text, "cohesion")["cohesion"]

@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewright.functions import textfeatures as tf
-from cyclewright.functions.columns import words
+from cyclewright.functions.textkernel import text_measures
 from cyclewright.plans.joins import lookup_join
 
 
@@ -47,23 +46,26 @@ def word_table(
 
 
 def _word_sums(
-    df: DataFrame, table: DataFrame, key: str, text: str, local: dict[str, Column] | None = None
+    df: DataFrame, table: DataFrame, key: str, text: str, local: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Sums over the words of each text, beside the row-local measures in ``local``.
+    """Sums over the words of each text, beside the measures named in ``local``.
 
-    Every text sends one row without a word, which carries its local measures, so
-    they need no join back and texts without words stay.
+    A text's distinct words and their numbers come with its measures from one reading.
+    Every text sends one row without a word, which carries its measures, so they need
+    no join back and texts without words stay. ``key`` is of one text.
     """
-    local = local or {}
-    tokens = F.concat(F.array(F.lit(None).cast("string")), words(F.lower(F.col(text))))
-    rows = df.select(
-        key, *[c.alias(n) for n, c in local.items()], tokens.alias("__tokens")
-    ).select(key, *local, F.posexplode("__tokens").alias("__place", "word"))
-    counted = rows.groupBy(key, "word").agg(
-        F.count("word").alias("n"),
-        *[F.max(F.when(F.col("__place") == 0, F.col(n))).alias(n) for n in local],
+    read = df.select(key, text_measures(F.col(text), *local, "words", "counts").alias("__m"))
+    word = F.struct(F.lit(None).cast("string").alias("words"), F.lit(0).alias("counts"))
+    pairs = F.concat(F.array(word), F.arrays_zip(F.col("__m")["words"], F.col("__m")["counts"]))
+    rows = read.select(
+        key, *[F.col("__m")[n].alias(n) for n in local], F.posexplode(pairs).alias("__place", "__pair")
+    ).select(
+        key,
+        F.col("__pair")["words"].alias("word"),
+        F.col("__pair")["counts"].alias("n"),
+        *[F.when(F.col("__place") == 0, F.col(n)).alias(n) for n in local],
     )
-    joined = lookup_join(counted, table, ["word"], "left")
+    joined = lookup_join(rows, table, ["word"], "left")
     n, v, s = F.col("n"), F.col("valence"), F.col("subjectivity")
 
     def total(c: Column, value: Column = n) -> Column:
@@ -123,32 +125,32 @@ def connectives_per_sentence(
     df: DataFrame, connectives: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """Connective words over sentences, 0 without a sentence."""
-    local = {"sentences": tf.sentence_count(F.col(text))}
-    sums = _word_sums(df, word_table(connectives=connectives), key, text, local)
+    sums = _word_sums(df, word_table(connectives=connectives), key, text, ("sentences",))
     return sums.select(key, _share("linking", "sentences").alias("connectives_per_sentence"))
 
 
-def _basic(t: Column) -> dict[str, Column]:
-    return {
-        "word_count": tf.word_count(t),
-        "avg_word_length": tf.average_word_length(t),
-        "avg_words_per_sentence": tf.words_per_sentence(t),
-        "unique_word_fraction": tf.unique_word_fraction(t),
-        "reading_grade": tf.reading_grade(t),
-    }
+#: Measures of the basic bundle.
+BASIC = (
+    "word_count",
+    "avg_word_length",
+    "avg_words_per_sentence",
+    "unique_word_fraction",
+    "reading_grade",
+)
 
 
 def basic_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Counts, lengths, diversity and reading grade in one projection."""
-    return df.withColumns(_basic(F.col(text)))
+    """Counts, lengths, diversity and reading grade from one reading of the text."""
+    read = df.withColumn("__m", text_measures(F.col(text), *BASIC))
+    kept = [c for c in df.columns if c not in BASIC]
+    return read.select(*kept, *[F.col("__m")[n].alias(n) for n in BASIC])
 
 
 def advanced_features(
     df: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """Key, moving type-token ratio and share of unknown words."""
-    local = {"mattr": tf.moving_type_token_ratio(F.col(text))}
-    sums = _word_sums(df, word_table(dictionary=dictionary), key, text, local)
+    sums = _word_sums(df, word_table(dictionary=dictionary), key, text, ("mattr",))
     return sums.select(key, "mattr", _share("unknown", "n_words").alias("unknown_word_share"))
 
 
@@ -161,16 +163,11 @@ def all_features(
     text: str = "text",
 ) -> DataFrame:
     """Key and every text feature, one row per text, from one reading of the texts."""
-    t = F.col(text)
-    local = _basic(t) | {
-        "cohesion": tf.neighbour_overlap(t),
-        "mattr": tf.moving_type_token_ratio(t),
-        "sentences": tf.sentence_count(t),
-    }
+    local = (*BASIC, "cohesion", "mattr", "sentences")
     sums = _word_sums(df, word_table(dictionary, lexicon, connectives), key, text, local)
     return sums.select(
         key,
-        *_basic(t),
+        *BASIC,
         "cohesion",
         "mattr",
         _share("unknown", "n_words").alias("unknown_word_share"),
