@@ -85,7 +85,7 @@ def _documents(spark, sf_dir):
     text = F.when(before, F.concat_ws(" ", carrier, F.col("text"))).otherwise(
         F.concat_ws(" ", F.col("text"), carrier)
     )
-    return _texts(spark, sf_dir).select(
+    return _texts(spark, sf_dir).select("doc_id", "source", "lang", "text").repartition("doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("author"),
         "lang",

@@ -6,7 +6,9 @@ case. Everything stays a native expression.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,9 +35,9 @@ def _sentence_of_match(text: Column, regex: str) -> Column:
     It starts after the last ``.``, ``!``, ``?`` or newline before the match
     and ends with the first one at or after the start of the match.
     """
-    # The text before the match is taken by group and not by position, because
+    # The text before the match is taken by splitting and not by position, because
     # Spark's match positions count UTF-16 units and substrings code points.
-    before = F.regexp_extract(text, IGNORE_CASE + r"^([\s\S]*?)(?:" + regex + ")", 1)
+    before = F.get(F.split(text, IGNORE_CASE + regex, 2), F.lit(0))
 
     def cut(prefix: Column) -> Column:
         head = F.substring_index(F.translate(prefix, "!?\n", "..."), ".", -1)
@@ -45,11 +47,66 @@ def _sentence_of_match(text: Column, regex: str) -> Column:
     return let(before, cut)
 
 
-def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Struct (name, phrase, sentence) of the first catalogue entry that matches anywhere."""
+def folded(text: Column) -> Column:
+    """Lower case in which every letter that a caseless regex takes for an ASCII one is that letter."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def required_literals(regex: str) -> list[str]:
+    """Lower-case ASCII strings of which every match holds one at least; empty where none are sure.
+
+    Of the parts of a sequence the one with the longest strings is taken; an alternative
+    needs a string in each branch, and only what stands at least once counts.
+    """
+
+    def best(found: list[list[str]]) -> list[str]:
+        return max(found, key=lambda strings: min(map(len, strings)), default=[])
+
+    def of(parts) -> list[str]:
+        found, run = [], ""
+        for kind, value in [*parts, (None, None)]:
+            if kind is parser.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            inner = []
+            if kind is parser.SUBPATTERN and not value[2]:
+                inner = of(value[3])
+            elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+                inner = of(value[2])
+            elif kind is parser.BRANCH:
+                branches = [of(b) for b in value[1]]
+                inner = sorted({s for b in branches for s in b}) if all(branches) else []
+            if inner:
+                found.append(inner)
+        return best(found)
+
+    if "&&" in regex or "[[" in regex:  # nested classes of Java, which Python would read as literals
+        return []
+    try:
+        return of(parser.parse(regex))
+    except re.error:  # Java syntax that Python lacks
+        return []
+
+
+def first_match(text: Column, patterns: list[tuple[str, str]], low: Column | None = None) -> Column:
+    """Struct (name, phrase, sentence) of the first catalogue entry that matches anywhere.
+
+    A regex only runs on texts that hold one of its required literals; ``low`` is the
+    ``folded`` text, from a column of its own where it shall be made once.
+    """
+    low = folded(text) if low is None else low
+
+    def matches(regex: str) -> Column:
+        literals = [low.contains(s) for s in required_literals(regex)]
+        found = text.rlike(IGNORE_CASE + regex)
+        return reduce(lambda x, y: x | y, literals) & found if literals else found
+
     branches = [
         F.when(
-            text.rlike(IGNORE_CASE + regex),
+            matches(regex),
             F.struct(
                 F.lit(name).alias("name"),
                 matched_phrase(text, regex).alias("phrase"),

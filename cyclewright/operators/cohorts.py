@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from cyclewright.functions.phases import adaptive_bounds, adaptive_phase
 from cyclewright.operators.clean import keep_categories, offset_range
 from cyclewright.plans.joins import lookup_join
-from cyclewright.plans.quantiles import exact_median
+from cyclewright.plans.quantiles import exact_medians
 from cyclewright.settings import COHORT_WINDOW_DAYS, EPSILON, FALLBACK_PERIOD
 
 CategorySets = dict[str, list[str]]
@@ -214,22 +215,34 @@ def before_after_counts(df: DataFrame, user: str, offset: str) -> DataFrame:
 
 
 def before_after_summary(counts: DataFrame) -> DataFrame:
-    """Mean and median ratio of users with posts on both sides, and the one-sided users."""
+    """Mean and median ratio of users with posts on both sides, and the one-sided users, in one row.
+
+    Runs when called: equal ratios are counted once, with their number of users, and
+    kept on the executors' disks; all figures come from that table.
+    """
     before, after = F.col("posts_before") > 0, F.col("posts_after") > 0
-    # Equal ratios once, with their number of users: all figures come from this one aggregate.
     ratios = counts.groupBy(
         F.when(before & after, F.col("ratio")).alias("ratio"),
         before.alias("before"),
         after.alias("after"),
     ).agg(F.count(F.lit(1)).alias("n"))
+    ratios = ratios.persist(StorageLevel.DISK_ONLY)
     both = F.col("before") & F.col("after")
 
     def users(c: Column) -> Column:
         return F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0).cast("long"))
 
-    return ratios.agg(
-        F.try_divide(F.sum(F.col("ratio") * F.col("n")), users(both)).alias("mean_ratio"),
-        users(both).alias("n_users"),
-        users(~F.col("after")).alias("n_users_before_only"),
-        users(~F.col("before")).alias("n_users_after_only"),
-    ).withColumn("median_ratio", exact_median(ratios, "ratio", "n").scalar())
+    try:
+        row = ratios.agg(
+            F.try_divide(F.sum(F.col("ratio") * F.col("n")), users(both)).alias("mean_ratio"),
+            users(both).alias("n_users"),
+            users(~F.col("after")).alias("n_users_before_only"),
+            users(~F.col("before")).alias("n_users_after_only"),
+        ).first()
+        median = exact_medians(ratios, ["ratio"], "n")["ratio"]
+    finally:
+        ratios.unpersist()
+    return counts.sparkSession.createDataFrame(
+        [(*row, median)],
+        "mean_ratio double, n_users long, n_users_before_only long, n_users_after_only long, median_ratio double",
+    )

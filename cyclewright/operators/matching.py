@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclewright.functions.daynumbers import dpo_number, offset_by_rule
-from cyclewright.functions.matching import first_match, hedged, normalised_phrase
+from cyclewright.functions.matching import first_match, folded, hedged, normalised_phrase
 from cyclewright.settings import ANCHOR_PATTERNS, DPO_PATTERNS, OVULATION_DAY, PATTERN_RULES
 
 
@@ -19,8 +19,9 @@ def match_patterns(
     from them, then stays above it instead of running the regexes once more for
     each mention.
     """
-    match = F.explode_outer(F.array(first_match(F.col(text), patterns))).alias("__m")
-    return df.select(*df.columns, match).select(
+    read = df.withColumn("__low", folded(F.col(text)))
+    found = first_match(F.col(text), patterns, F.col("__low"))
+    return read.select(*df.columns, F.explode_outer(F.array(found)).alias("__m")).select(
         *df.columns,
         F.col("__m.name").alias("regex_type"),
         F.col("__m.phrase").alias("matched_phrase"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cyclewright.functions.columns import nan_to_null
 from cyclewright.operators.clean import seeded_order
-from cyclewright.plans.quantiles import exact_median
+from cyclewright.plans.quantiles import exact_medians
 from cyclewright.settings import SAMPLE_SIZE, SEED
 
 
@@ -139,25 +140,30 @@ def users_of_pattern(
 
 
 def overall_period_stats(results: DataFrame) -> DataFrame:
-    """Mean and median of the period and of the signal-to-noise ratio over all results.
+    """Mean and median of the period and of the signal-to-noise ratio over all results, one row.
 
-    Periods are whole days in a short range; ratios are not bounded in number.
+    Periods are whole days in a short range; ratios are not bounded in number. Runs
+    when called: equal results are counted once and kept on the executors' disks, and
+    all figures come from that table.
     """
     snr = nan_to_null(F.col("peak_to_background")).alias("snr")
-    # Equal results once, with their number: all figures come from this one aggregate.
     counts = results.groupBy("period", snr).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = counts.persist(StorageLevel.DISK_ONLY)
     period, ratio, n = F.col("period"), F.col("snr"), F.col("n_rows")
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(F.when(c.isNotNull(), n)), F.lit(0).cast("long"))
 
-    return counts.agg(
-        total(period).alias("n"),
-        F.try_divide(F.sum(period * n), total(period)).alias("mean_period"),
-        F.try_divide(F.sum(ratio * n), total(ratio)).alias("mean_snr"),
-    ).withColumns(
-        {
-            "median_period": exact_median(counts, "period", "n_rows").scalar(),
-            "median_snr": exact_median(counts, "snr", "n_rows").scalar(),
-        }
+    try:
+        row = counts.agg(
+            total(period).alias("n"),
+            F.try_divide(F.sum(period * n), total(period)).cast("double").alias("mean_period"),
+            F.try_divide(F.sum(ratio * n), total(ratio)).alias("mean_snr"),
+        ).first()
+        medians = exact_medians(counts, ["period", "snr"], "n_rows")
+    finally:
+        counts.unpersist()
+    return results.sparkSession.createDataFrame(
+        [(*row, medians["period"], medians["snr"])],
+        "n long, mean_period double, mean_snr double, median_period double, median_snr double",
     )

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cyclewright.functions.columns import nan_to_null
 from cyclewright.operators.anchors import placed_window, with_anchor, calendar_days
 from cyclewright.plans.joins import lookup_join
+from cyclewright.plans.quantiles import grouped_median
 from cyclewright.settings import CALENDAR_WINDOW_DAYS
 
 TIMELINE_COLUMNS = ["author", "ts_utc", "text", "source", "offset_from_cd1"]
@@ -57,7 +58,6 @@ def drop_incomplete_users(
 
 DAILY_FUNCTIONS = {
     "mean": F.avg,
-    "median": F.median,
     "min": F.min,
     "max": F.max,
     "sum": F.sum,
@@ -69,9 +69,16 @@ def daily_value(
     df: DataFrame, keys: list[str], day: str, value: str, function: str = "mean"
 ) -> DataFrame:
     """Value and entry count per key and day; days without a value are left out."""
+    v = nan_to_null(F.col(value).cast("double"))
+    if function == "median":
+        known = df.where(F.col(day).isNotNull()).select(*keys, day, v.alias("__value"))
+        return (
+            grouped_median(known, [*keys, day], "__value")
+            .where(F.col("n") > 0)
+            .select(*keys, day, F.col("median").alias("feature_mean"), F.col("n").alias("n_entries"))
+        )
     if function not in DAILY_FUNCTIONS:
         raise ValueError(f"unknown daily function: {function}")
-    v = nan_to_null(F.col(value).cast("double"))
     return (
         df.where(F.col(day).isNotNull())
         .groupBy(*keys, day)

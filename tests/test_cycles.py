@@ -1,13 +1,17 @@
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cyclewright.operators import clean, consensus, lomb, scaling, sinefit, spectral, timeline
 from cyclewright.plans import jobs
 from cyclewright.plans.jobs import all_methods, normalisation_grid, periodicity
-from cyclewright.plans.quantiles import exact_median
+from cyclewright.plans.quantiles import exact_median, exact_medians
 
 EPS = 1e-10
 
@@ -399,5 +403,45 @@ def test_row_series_takes_text_length_and_the_second_day(spark):
 
 def test_median_of_counted_values_and_of_nothing(spark):
     df = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 4), (None, 7), (float("nan"), 2)], "v double, n int")
-    assert exact_median(df, "v", "n", partitions=3).first()["median"] == 5.5
+    assert exact_median(df, "v", "n").first()["median"] == 5.5
     assert exact_median(df.where("v is null"), "v").first()["median"] is None
+
+
+def test_median_needs_no_shared_exchange(spark):
+    rng = np.random.default_rng(7)
+    for values in (rng.random(200_001), rng.normal(0, 1e-300, 2_000), np.r_[rng.normal(28, 1e-9, 999), -np.inf, np.inf]):
+        df = spark.createDataFrame(pd.DataFrame({"v": values, "w": -values}))
+        spark.conf.set("spark.sql.exchange.reuse", "false")
+        try:
+            got = exact_medians(df, ["v", "w"])
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        assert got == {"v": np.median(values), "w": -np.median(values)}
+
+
+def test_daily_median_counts_equal_values_and_leaves_out_missing_ones(spark):
+    rows = [("u", 1, 1.0), ("u", 1, 1.0), ("u", 1, 5.0), ("u", 1, 9.0), ("u", 1, None), ("u", 1, float("nan"))]
+    rows += [("u", 2, None), ("v", 1, -0.0), ("v", 1, 4.0), ("v", None, 4.0)]
+    df = spark.createDataFrame(rows, "author string, day int, x double")
+    got = {tuple(r) for r in timeline.daily_value(df, ["author"], "day", "x", "median").collect()}
+    assert got == {("u", 1, 3.0, 4), ("v", 1, 2.0, 2)}
+
+
+DAILY_MEDIAN_OF_A_HOT_DAY = """
+from pyspark.sql import functions as F
+from cyclewright.operators.timeline import daily_value
+from cyclewright.session import local_session
+
+spark = local_session(2, memory="1g")
+rows = spark.range(5_000_000).select(F.lit("u").alias("author"), F.lit(1).alias("day"), (F.col("id") * 3).cast("double").alias("x"))
+print("found", daily_value(rows, ["author"], "day", "x", "median").first())
+"""
+
+
+def test_daily_median_of_a_hot_day_fits_a_small_memory():
+    """Five million distinct values of one user and day, with 1 GB for everything."""
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run(
+        [sys.executable, "-c", DAILY_MEDIAN_OF_A_HOT_DAY], cwd=root, capture_output=True, text=True, timeout=600, check=True
+    )
+    assert "feature_mean=7499998.5, n_entries=5000000" in done.stdout

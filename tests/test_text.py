@@ -1,14 +1,16 @@
 import datetime as dt
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from cyclewright.functions import daynumbers, matching
+from cyclewright.functions import daynumbers, matching, textkernel
 from cyclewright.functions import textfeatures as tf
 from cyclewright.operators import clean, textmetrics
 from cyclewright.operators import matching as ops
 from cyclewright.plans.jobs import anchor_users
+from cyclewright.settings import ANCHOR_PATTERNS
 
 UTC = dt.timezone.utc
 
@@ -294,3 +296,52 @@ def test_word_table_measures(spark, no_broadcast):
     assert rates == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0}
     bundle = textmetrics.all_features(docs, lexicon, known, links, "id")
     assert bundle.count() == 4
+
+
+def test_required_literals_stand_in_every_match():
+    want = {
+        r"(started|got) my period (today|last night)": [" my period "],
+        r"(?:DPO\s*:?(\d{1,2})|(\d{1,2})\s*DPO)": ["dpo"],
+        r"cat|catalogue": ["cat"],
+        r"cat|dog": ["cat", "dog"],
+        r"a?b*": [],
+        r"a|x*": [],
+        r"\p{L}abc": [],
+        r"[a-z&&[^b]]x": [],
+        r"(?:ab){0,2}c": ["c"],
+    }
+    assert {r: matching.required_literals(r) for r in want} == want
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["JUST GOT MY PERIOD", "ju\u017ft got my per\u0131od. x", "\u0130'M ON CD 4", "I am on day 3 of my period", "nothing", "", None],
+)
+def test_literals_never_hide_a_match(spark, text):
+    found = one(spark, text, matching.first_match(F.col("text"), ANCHOR_PATTERNS)["name"])
+    plain = F.coalesce(*[F.when(F.col("text").rlike("(?iu)" + r), F.lit(n)) for n, r in ANCHOR_PATTERNS])
+    assert found == one(spark, text, plain)
+
+
+def test_kernel_equals_plain_python(spark):
+    rng = random.Random(3)
+    letters = list("abcdeyAEI\u00c9\u00df\u03a3\u03c3\u0130123_-'.!?,;  \t\n\x1c\x1f\x85\xa0\u3000\u00bd")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(300))) for _ in range(300)]
+    texts += ["", "...", "a", "!a", " . ", None, "word " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    names = [n for n in textkernel.MEASURES]
+    got = {r["id"]: r["m"] for r in df.select("id", textkernel.text_measures(F.col("text"), *names).alias("m")).collect()}
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        w, parts = low.split(), [set(p.split()) for p in re.split("[.!?]", low) if p.strip()]
+        overlaps = [len(x & y) / len(x | y) for x, y in zip(parts, parts[1:], strict=False)]
+        assert got[i]["word_count"] == len(w) and got[i]["sentences"] == len(parts)
+        assert dict(zip(got[i]["words"], got[i]["counts"], strict=True)) == {x: w.count(x) for x in set(w)}
+        assert got[i]["unique_word_fraction"] == pytest.approx(len(set(w)) / len(w) if w else 0)
+        if overlaps:
+            assert got[i]["cohesion"] == pytest.approx(sum(overlaps) / len(overlaps))
+        else:
+            assert got[i]["cohesion"] is None
+        if len(low) < 1000:
+            want = python_mattr(low)
+            assert got[i]["mattr"] is None if want is None else got[i]["mattr"] == pytest.approx(want)
