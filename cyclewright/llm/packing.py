@@ -8,8 +8,8 @@ so that it is made on the driver and broadcast. The documents then take the plan
 within their length: ranks are counted in the task that tokenises, and a running sum over the tasks' counts makes
 them global, so that no length, however frequent, is gathered anywhere.
 
-Words (runs without white space) are tokenised once a task and batch of distinct words; the tokenizer drops white
-space and no rule of it reaches over white space, so the ids of a text are the ids of its words in a row.
+Words (runs without white space) are tokenised once a task: the tokenizer must fold ASCII letters to lower case, drop
+white space and have no rule that reaches over white space, so the ids of a text are the ids of its words in a row.
 
 Defined results: a null text counts as empty, and an empty text is the end id alone; repeated rows are packed as
 often as they stand; a null doc_id is a document like any other; ties in length are ranked by task and row; an empty
@@ -36,31 +36,57 @@ from cyclewright.llm.common import arrow_map, settled, stored
 
 #: Ids of a sequence, and the id that ends a document.
 SEQUENCE, END_ID = 4096, 1
-#: Ids of remembered words after which a task forgets them all.
-KEPT_IDS = 8_000_000
+#: Ids of remembered words after which a task forgets them all, and words that are cut together.
+KEPT_IDS, WORDS_TOGETHER = 4_000_000, 1_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
 class WordIds:
-    """Ids of texts, from remembered ids of their words."""
+    """Ids of texts, from remembered ids of their words and of the pieces that the tokenizer makes of words."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.row_of: dict[str, int] = {}
-        self.ids, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.row_of: dict[str, int] = {"": 0}
+        self.ids_of: dict[str, list[int]] = {}
+        self.ids, self.first = np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of some words, by the tokenizer's own steps: normalised and cut together, merged once a piece."""
+        normalizer, cutter, model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        text = " ".join(words)
+        if any(token in text for token in self.special):
+            return self._whole(words)
+        text = normalizer.normalize_str(text) if normalizer else text
+        parts = text.split(" ")
+        if len(parts) != len(words) or cutter is None:  # a word with white space beyond ASCII
+            return self._whole(words)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        pieces = cutter.pre_tokenize_str(text)
+        owners = np.searchsorted(ends, np.fromiter((at[0] for _, at in pieces), np.int64, len(pieces)), "right").tolist()
+        out: list[list[int]] = [[] for _ in words]
+        for (piece, _), owner in zip(pieces, owners, strict=True):
+            if (ids := self.ids_of.get(piece)) is None:
+                ids = self.ids_of[piece] = [t.id for t in model.tokenize(piece)]
+            out[owner] += ids
+        return out
 
     def _rows(self, words: list[str]) -> np.ndarray:
         # ASCII words are compared in lower case, as the tokenizer reads them, unless they may hold a special token.
         words = [w.lower() if w.isascii() and "<|" not in w else w for w in words]
         if new := [w for w in dict.fromkeys(words) if w not in self.row_of]:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            found = [ids for at in range(0, len(new), WORDS_TOGETHER) for ids in self._encoded(new[at : at + WORDS_TOGETHER])]
             self.row_of.update(zip(new, range(len(self.row_of), len(self.row_of) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, *[np.array(f, np.uint32) for f in found]])
             lengths = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+            self.ids = np.concatenate([self.ids, flat])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
         return np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))
 
