@@ -8,8 +8,9 @@ so that it is made on the driver and broadcast. The documents then take the plan
 within their length: ranks are counted in the task that tokenises, and a running sum over the tasks' counts makes
 them global, so that no length, however frequent, is gathered anywhere.
 
-Words (runs without white space) are tokenised once a task: the tokenizer must fold ASCII letters to lower case, drop
-white space and have no rule that reaches over white space, so the ids of a text are the ids of its words in a row.
+Words (runs without white space) are tokenised once a task: the tokenizer must fold ASCII letters to lower case, keep
+them together and apart from end marks, drop white space and have no rule that reaches over white space, so that the
+ids of a text are the ids of its words in a row.
 
 Defined results: a null text counts as empty, and an empty text is the end id alone; repeated rows are packed as
 often as they stand; a null doc_id is a document like any other; ties in length are ranked by task and row; an empty
@@ -19,6 +20,7 @@ table gives no rows. A text of any length is read whole, a piece at a time in th
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ from cyclewright.llm.common import arrow_map, settled, stored
 
 #: Ids of a sequence, and the id that ends a document.
 SEQUENCE, END_ID = 4096, 1
+#: Marks that the tokenizer parts from letters before them, and keeps together.
+END_MARKS = ".,;:!?"
 #: Ids of remembered words after which a task forgets them all, and words that are cut together.
 KEPT_IDS, WORDS_TOGETHER = 4_000_000, 1_000
 
@@ -60,7 +64,7 @@ class WordIds:
 
     def _encoded(self, words: list[str]) -> list[list[int]]:
         """Ids of some words, by the tokenizer's own steps: normalised and cut together, merged once a piece."""
-        normalizer, cutter, model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         text = " ".join(words)
         if any(token in text for token in self.special):
             return self._whole(words)
@@ -73,19 +77,38 @@ class WordIds:
         owners = np.searchsorted(ends, np.fromiter((at[0] for _, at in pieces), np.int64, len(pieces)), "right").tolist()
         out: list[list[int]] = [[] for _ in words]
         for (piece, _), owner in zip(pieces, owners, strict=True):
-            if (ids := self.ids_of.get(piece)) is None:
-                ids = self.ids_of[piece] = [t.id for t in model.tokenize(piece)]
-            out[owner] += ids
+            out[owner] += self._merged(piece)
+        return out
+
+    def _merged(self, piece: str) -> list[int]:
+        if (ids := self.ids_of.get(piece)) is None:
+            ids = self.ids_of[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return ids
+
+    def _found(self, words: list[str]) -> list[list[int]]:
+        """Ids of some words; ASCII letters, and end marks behind them, are a piece each."""
+        out: list[list[int] | None] = []
+        for word in words:
+            stem = word.rstrip(END_MARKS)
+            if stem.isascii() and stem.isalpha():
+                out.append(self._merged(stem) + self._merged(word[len(stem) :]) if len(stem) < len(word) else self._merged(stem))
+            else:
+                out.append(None)
+        others = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(others), WORDS_TOGETHER):
+            some = others[at : at + WORDS_TOGETHER]
+            for i, ids in zip(some, self._encoded([words[i] for i in some]), strict=True):
+                out[i] = ids
         return out
 
     def _rows(self, words: list[str]) -> np.ndarray:
         # ASCII words are compared in lower case, as the tokenizer reads them, unless they may hold a special token.
         words = [w.lower() if w.isascii() and "<|" not in w else w for w in words]
         if new := [w for w in dict.fromkeys(words) if w not in self.row_of]:
-            found = [ids for at in range(0, len(new), WORDS_TOGETHER) for ids in self._encoded(new[at : at + WORDS_TOGETHER])]
+            found = self._found(new)
             self.row_of.update(zip(new, range(len(self.row_of), len(self.row_of) + len(new)), strict=True))
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))
             self.ids = np.concatenate([self.ids, flat])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
         return np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))
@@ -96,16 +119,14 @@ class WordIds:
             self._forget()
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        # An empty text, or white space at an end, splits off empty words, which have no ids.
-        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         lengths = self.first[rows + 1] - self.first[rows]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        edges = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        for a, b in zip(range(len(texts)), range(1, len(texts) + 1), strict=True):
-            lo, hi = words.offsets[a].as_py() - words.offsets[0].as_py(), words.offsets[b].as_py() - words.offsets[0].as_py()
-            own = lengths[lo:hi]
-            places = np.repeat(self.first[rows[lo:hi]] - (upto[lo:hi] - edges[a]), own) + np.arange(edges[b] - edges[a])
-            yield self.ids[places]
+        ids = self.ids[np.repeat(self.first[rows] - upto[:-1], lengths) + np.arange(upto[-1])]
+        edges = words.offsets.to_numpy()
+        edges = upto[edges - edges[0]].tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield ids[a:b]
 
 
 def _pieces(model, sequence: int, end_id: int):
