@@ -6,12 +6,14 @@ embeddings are within a small Hamming distance. A repetition samples some steps
 are a key. Windows of the documents start at every word, and the windows of an item at every word of it, so an
 intact stretch anywhere in a leaked passage can meet the item's key and names the start of the item-sized
 window. Candidate windows pass a bag-of-words bound that loses nothing and then an exact word edit distance
-(bit-parallel, free start and end).
+(bit-parallel, free start and end). Items too short for walks of several words are cut into one part more than the
+edits that they may have: one part of a leak is intact, and an index of the parts finds all of them.
 
-A passage leaks if at most a fifth of the item's words must be edited, none of an item of fewer than ten. Words are `\\w+` of the lower-case text.
+A passage leaks if at most a fifth of the item's words must be edited, so none of fewer than five. Words are `\\w+` of
+the lower-case text.
 
-Defined results: null and empty texts have no words and no matches; items of fewer than five words can't be told
-from chance and are not searched; of several windows of one item in a row the nearest and then first is
+Defined results: null and empty texts have no words and no matches, as items or as documents; items of one word leak
+wherever that word stands; of several windows of one item in a row the nearest and then first is
 reported; repeated rows report as often as they stand, repeated items under each of their ids; empty tables give
 no rows. Only doc_id, item_id and the texts are read.
 """
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 
 from cyclewright.llm.common import arrow_map
 
-#: Least similarity (1 - edits / words of the item) and least words of an item.
-SIMILARITY, LEAST_WORDS = 0.8, 5
-#: Shorter items leak only word for word: an edited phrase so short can't be told from chance.
-LEAST_EDITED = 10
+#: Least similarity: 1 - edits / words of the item.
+SIMILARITY = 0.8
+#: Items of at most this many words are found by their parts, which have three words or more where edits are allowed
+#: to items of ten.
+PARTED_WORDS = 14
 #: Steps of each repetition's walk. Items too short for all of them draw walks of SHORT_WALK steps, MORE_WALKS at most.
 WALKS, SHORT_WALK, MORE_WALKS = (8, 9, 10, 12, 14), 7, 64
 #: Sampled steps of a repetition, and the different words that they must stand on.
@@ -44,6 +47,8 @@ BLOCK_WORDS = 2_000_000
 
 #: End marks between texts, so that no walk reaches the next text.
 PAD = max(*WALKS, SHORT_WALK) + 1
+#: Of keys of phrases.
+PHRASE_FACTOR = np.int64(0x5851F42D4C957F2D)
 WORD = re.compile(r"\w+")
 MATCHES = "doc_id long, item_id long, start_word long, item_words long, edits long, similarity double"
 
@@ -53,7 +58,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def allowed_edits(n_words: int, similarity: float = SIMILARITY) -> int:
-    return int(n_words * (1 - similarity) + 1e-9) if n_words >= LEAST_EDITED else 0
+    return int(n_words * (1 - similarity) + 1e-9)
 
 
 class Items:
@@ -63,7 +68,7 @@ class Items:
         self.ids, words = [], []
         for item, text in rows:
             own = words_of(text)
-            if len(own) >= LEAST_WORDS:
+            if own:
                 self.ids.append(item)
                 words.append(own)
         self.code = {w: i + 1 for i, w in enumerate(sorted({w for own in words for w in own}))}
@@ -78,6 +83,9 @@ class Items:
         owner = np.repeat(np.arange(len(lengths)), lengths)
         offset = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lengths)])
         at = begin[owner] + offset
+        long = np.array(lengths, np.int64)[owner] > PARTED_WORDS
+        owner, offset, at = owner[long], offset[long], at[long]
+        self.parts = self.parted(joined, begin)
         for steps in WALKS + (SHORT_WALK,) * MORE_WALKS:
             if len(self.walks) >= len(WALKS):
                 # Only items without a key so far take part in further walks.
@@ -100,6 +108,39 @@ class Items:
                 bits[w] |= 1 << i
             self.patterns.append(dict(bits))
 
+    @classmethod
+    def of(cls, arrays: dict) -> Items:
+        """The block that has these attributes."""
+        block = cls.__new__(cls)
+        vars(block).update(arrays)
+        return block
+
+    def parted(self, joined: np.ndarray, begin: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Parts of the short items by their length: keys in order, and the item and place of each."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for item, own in enumerate(self.words):
+            if len(own) <= PARTED_WORDS:
+                n_parts = min(self.edits[item] + 1, len(own))
+                edges = [len(own) * i // n_parts for i in range(n_parts + 1)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    found[b - a].append((item, a))
+        out = {}
+        for width, parts in found.items():
+            owner, offset = np.array(parts, np.int64).T
+            _, keys = self.phrases(joined, begin[owner] + offset, width)
+            order = np.argsort(keys, kind="stable")
+            out[width] = keys[order], owner[order], offset[order]
+        return out
+
+    def phrases(self, joined: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the starts at which `width` words of items stand in a row, and keys of those words."""
+        live, keys = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+        for k in range(width):
+            now = joined[starts[live] + k]
+            kept = (now > 0) & (now < self.end)
+            live, keys = live[kept], keys[kept] * PHRASE_FACTOR + now[kept]
+        return live, keys
+
     def joined(self, texts: list[np.ndarray]) -> np.ndarray:
         """All texts in a row, each followed by end marks."""
         gap = np.full(PAD, self.end, np.int32)
@@ -128,17 +169,23 @@ class Items:
     def candidates(self, joined: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, start of the item-sized window in `joined`), without repeats."""
         items, windows = [], []
-        for r, (keys, owner, offset, seen) in enumerate(self.keys):
-            live, got = self.embedded(joined, starts, r)
-            likely = np.flatnonzero(seen[got & ((1 << 22) - 1)])
-            got, live = got[likely], live[likely]
+
+        def meet(keys, owner, offset, live, got):
             low = np.searchsorted(keys, got, "left")
             n = np.searchsorted(keys, got, "right") - low
-            if not (total := int(n.sum())):
-                continue
-            which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
+            which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
             items.append(owner[which])
             windows.append(starts[np.repeat(live, n)] - offset[which])
+
+        for width, (keys, owner, offset) in self.parts.items():
+            live, got = self.phrases(joined, starts, width)
+            if len(got):
+                meet(keys, owner, offset, live, got)
+        for r, (keys, owner, offset, seen) in enumerate(self.keys):
+            live, got = self.embedded(joined, starts, r)
+            likely = np.flatnonzero(seen[got & ((1 << 22) - 1)])
+            if len(likely):
+                meet(keys, owner, offset, live[likely], got[likely])
         if not items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         longest = max(map(len, self.words))
@@ -216,14 +263,19 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, blo
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for rows in item_blocks(items, block_words):
-        part = arrow_map(texts, _leak_rows(docs.sparkSession.sparkContext.broadcast(rows), similarity), MATCHES)
+        part = arrow_map(texts, _leak_rows(_index(docs, rows, similarity)), MATCHES)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _leak_rows(rows, similarity):
+def _index(docs: DataFrame, rows: list[tuple[int, str | None]], similarity: float):
+    """A block of items, indexed once and sent to all tasks as plain arrays."""
+    return docs.sparkSession.sparkContext.broadcast(vars(Items(rows, similarity)))
+
+
+def _leak_rows(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(rows.value, similarity)
+        block = Items.of(index.value)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             got = block.matches([words_of(t) for t in batch.column("text").to_pylist()])
@@ -239,13 +291,13 @@ def _leak_rows(rows, similarity):
 def without_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs in which no item leaks, with all their columns and without a shuffle."""
     for rows in item_blocks(items, block_words):
-        docs = arrow_map(docs, _clean_rows(docs.sparkSession.sparkContext.broadcast(rows), similarity), docs.schema)
+        docs = arrow_map(docs, _clean_rows(_index(docs, rows, similarity)), docs.schema)
     return docs
 
 
-def _clean_rows(rows, similarity):
+def _clean_rows(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(rows.value, similarity)
+        block = Items.of(index.value)
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             clean[[m[0] for m in block.matches([words_of(t) for t in batch.column("text").to_pylist()])]] = False
