@@ -130,12 +130,17 @@ with d as (
   select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, list(distinct label) as labels from base group by r
 ), blocks as (
   select r, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n[\x20\x09\x0B-\x0D]*\n'))) as block from d
-), own as (select r, regexp_extract_all(block, '{word}') as w from blocks
+), block_words as (select r, regexp_extract_all(block, '{word}') as w from blocks
+), own as (
+  select r, w[start + 1 : start + {licenses.WINDOW}] as w from (
+    select r, w, unnest(range(0, greatest(len(w) - {licenses.STEP}, 1), {licenses.STEP})) as start from block_words where len(w) > {licenses.WINDOW}
+  )
+  union all select r, w from block_words where len(w) <= {licenses.WINDOW}
 ), tpl(label, own, least) as (values {templates}
 ), m as (
   select r, list(distinct label) as labels, max(len(list_intersect(tpl.own, own.w)) / len(tpl.own)) as containment
   from own, tpl
-  where len(own.w) >= tpl.least and len(own.w) <= len(tpl.own) * {licenses.BLOCK_FACTOR}
+  where len(own.w) >= tpl.least
     and len(list_intersect(tpl.own, own.w)) >= tpl.least
   group by r
 )

@@ -252,10 +252,13 @@ def deduplicated(docs: DataFrame, moduli=MODULI) -> DataFrame:
     groups = settled(exact_groups(docs, moduli))
     stays = groups.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D\x20]+", " ")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id"))
-    rows = docs.join(stays, same & (F.sha2(text.cast("binary"), 256) == F.col("stay_sha")))
-    if groups.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
-        return rows.select(*docs.columns)
-    # Repeated rows of one doc_id and text: one of them stays.
-    first = Window.partitionBy("stay_id", "stay_sha").orderBy(F.lit(0))
-    return rows.withColumn("stay_place", F.row_number().over(first)).where("stay_place = 1").select(*docs.columns)
+    # The rows travel as one column, so that their names can't clash.
+    own = docs.select(
+        F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("own_id"), F.sha2(text.cast("binary"), 256).alias("own_sha")
+    )
+    rows = own.join(stays, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_sha") == F.col("stay_sha")))
+    if not groups.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        # Repeated rows of one doc_id and text: one of them stays.
+        first = Window.partitionBy("stay_id", "stay_sha").orderBy(F.to_json("own"))
+        rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return rows.select("own.*")

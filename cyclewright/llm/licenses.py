@@ -4,10 +4,12 @@ Base labels are places where a phrase's words stand one after the other. The joi
 holds at least CONTAINMENT of a template's distinct words. Words of all templates are ordered by the number of
 documents they occur in, rarest first. Then three filters lose nothing: a matching block holds one of the
 template's |T| - a + 1 rarest words, where a is the least overlap (prefix); it holds at least a words of any
-template and isn't longer than BLOCK_FACTOR templates, which is part of the definition (length); and from the
-first word that both have, enough words are left on both sides (positional). What is left is counted exactly.
+template (length); and from the first word that both have, enough words are left on both sides (positional). What is
+left is counted exactly.
 
-Blocks are the lines of a text, and its paragraphs (lines between empty ones) where these differ.
+Blocks are the lines of a text, and its paragraphs (lines between empty ones) where these differ. A block of more than
+WINDOW words is its windows of that size, which overlap by half, so that a notice in a long line is found and the
+words of a whole book are no notice.
 
 Defined results: a null text counts as empty and has no words; a text without phrases has n_base 0, null places and
 empty labels; score is 1 with a phrase, else the greatest containment of a matching block, else 0; repeated rows
@@ -47,8 +49,10 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0, Creative Commons Attribution-NonCommercial"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
-#: Share of a template's distinct words that a block must hold, and words a block may have for each of them.
-CONTAINMENT, BLOCK_FACTOR = 0.8, 8
+#: Share of a template's distinct words that a block must hold.
+CONTAINMENT = 0.8
+#: Words of a window of a long block, and words from one window's start to the next.
+WINDOW, STEP = 256, 128
 
 
 def template_words(text: str) -> list[str]:
@@ -81,6 +85,12 @@ def places(words: Column, text: Column, phrase: str) -> Column:
     return F.when(possible & (F.size(words) > 0), found).otherwise(F.array().cast("array<int>"))
 
 
+def windows(words: Column) -> Column:
+    """The words as one block, or where they are more than WINDOW as windows; STEP words in a row are in one of them."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - STEP - 1, F.lit(0)), F.lit(STEP))
+    return F.when(F.size(words) <= WINDOW, F.array(words)).otherwise(F.transform(starts, lambda i: F.slice(words, i + 1, WINDOW)))
+
+
 def literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -133,18 +143,15 @@ def scanned(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINME
     )
     head = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "marks"]
     blocks = rows.select(*head, F.posexplode_outer("blocks").alias("block", "line"))
-    blocks = blocks.withColumn("line_words", words_of(F.col("line")))
-    blocks = blocks.select(
-        *head, "block", F.size("line_words").alias("n_line"), F.array_intersect(literal(order), F.col("line_words")).alias("held")
-    )
+    blocks = blocks.withColumn("line_words", F.explode_outer(windows(words_of(F.col("line")))))
+    blocks = blocks.select(*head, "block", F.array_intersect(literal(order), F.col("line_words")).alias("held"))
     few = min(need.values())
     blocks = blocks.withColumn("probes", F.when(F.size("held") >= few, F.array_intersect("held", rare)))
-    probes = blocks.select(*head, "block", "n_line", "held", F.explode_outer("probes").alias("probe"))
+    probes = blocks.select(*head, "block", "held", F.explode_outer("probes").alias("probe"))
     left = F.least(F.col("n_own") - F.col("place"), F.size("held") - F.array_position("held", F.col("probe")) + 1)
     passes = (
         (F.col("probe") == F.col("word"))
         & (F.size("held") >= F.col("least"))
-        & (F.col("n_line") <= F.col("n_own") * BLOCK_FACTOR)
         & (left >= F.col("least"))
     )
     overlap = F.size(F.array_intersect("own", "held"))

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclewright.llm.common import ASCII_LOWER, arrow_map, byte_texts, settled
+from cyclewright.llm.common import ASCII_LOWER, arrow_map, byte_texts, settled, stored
 from cyclewright.llm.components import components
 from cyclewright.plans.joins import lookup_join
 
@@ -69,14 +69,21 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, bits (the fingerprint as a signed long) of each row."""
+    """doc_id, text_sha256, bits (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [_signed(text_fingerprint(t, shingle)) for t in byte_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.int64())], names=["doc_id", "bits"])
+            columns = [batch.column("doc_id"), batch.column("text_sha256"), pa.array(bits, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_sha256", "bits"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, bits long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_sha256().alias("text_sha256"), "text")
+    return arrow_map(rows, run, "doc_id long, text_sha256 string, bits long")
+
+
+def text_sha256() -> Column:
+    """SHA-256 of a row's text, which tells unequal texts of one doc_id apart."""
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
 
 def segments(radius: int) -> list[int]:
@@ -178,9 +185,9 @@ def near_links(points: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_L
     return arrow_map(dealt, _shard_links(radius), "a long, b long")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable) of every row."""
-    prints = settled(fingerprints(docs))
+def _grouped(docs: DataFrame, radius: int, cell_limit: int) -> DataFrame:
+    """doc_id, text_sha256, bits of every row with its group: root (a fingerprint) and component_id."""
+    prints = stored(fingerprints(docs))
     points = settled(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id")))
     roots = components(near_links(points.select("bits"), radius, cell_limit))
     points = points.join(roots, F.col("bits") == F.col("node"), "left").select(
@@ -188,13 +195,30 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LI
     )
     least = points.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # A component of many fingerprints is one root: this join can be split where that is hot.
-    points = settled(lookup_join(points, least, ["root"]).select("of", "component_id"))
-    return prints.join(points, F.col("bits") == F.col("of")).select(
+    points = settled(lookup_join(points, least, ["root"]).select("of", "root", "component_id"))
+    return prints.join(points, F.col("bits") == F.col("of")).drop("of")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable) of every row."""
+    return _grouped(docs, radius, cell_limit).select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the component_id, with all their columns: one document a group."""
-    gone = near_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("gone_id"), "left_anti")
+def one_of_each(docs: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """One row of docs of each group, with all their columns.
+
+    It is the row with the smallest doc_id, a null one last; of several texts of that doc_id the one with the
+    smallest SHA-256, and of repeated rows of one doc_id and text the first in the order of their other columns.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    stays = _grouped(docs, radius, cell_limit).groupBy("root").agg(F.min(order).alias("stay"))
+    stays = stored(stays.select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.text_sha256").alias("stay_sha")))
+    # The rows travel as one column, so that their names can't clash.
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("own_id"), text_sha256().alias("own_sha"))
+    rows = own.join(stays, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_sha") == F.col("stay_sha")))
+    if stays.count() < rows.count():
+        first = Window.partitionBy("stay_id", "stay_sha").orderBy(F.to_json("own"))
+        rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return rows.select("own.*")

@@ -163,6 +163,17 @@ def test_one_document_of_each_group_stays(spark):
     assert rows(kept, "doc_id") == sorted({(c,) for _, _, c in groups}, key=repr)
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    """Unequal texts of one doc_id are documents of their own; null ids go where their group has another one."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(words(60, rng)) for _ in range(4))
+    texts = [(1, a), (5, a), (5, c), (5, c), (None, a), (None, b), (None, b), (7, d), (7, None), (None, ""), (8, " ")]
+    docs = frame(spark, texts).withColumn("stay_id", F.lit("x")).withColumn("bits", F.lit(1)).repartition(4)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert rows(kept, "doc_id", "text") == sorted([(1, a), (5, c), (None, b), (7, d), (7, None)], key=repr)
+
+
 def test_simhash_of_no_rows(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     assert simhash.one_of_each(frame(spark, [])).count() == 0

@@ -86,6 +86,10 @@ def test_repeated_keeps_columns_and_words(spark):
 # --- licenses ------------------------------------------------------------------------------------
 
 
+#: Words before and after a notice on its line.
+LONG_LINES = [(220, 0), (0, 220), (110, 110), (127, 1), (235, 0), (236, 300), (1000, 1000), (118, 118), (128, 0), (5000, 0)]
+
+
 def test_license_scan(spark):
     mit = licenses.TEMPLATES[0][1]
     texts = [
@@ -95,6 +99,8 @@ def test_license_scan(spark):
         (4, None, "s"), (5, "", "s"), (6, "permitlicense mité license", "s"), (6, "permitlicense mité license", "s"),
         (None, "gnu general public license " * 3, "s"),
         (8, "\n\n".join(["x y"] * 50 + [licenses.TEMPLATES[1][1].replace(" that", "\nthat")]), "s"),
+        *[(20 + k, "fill " * n + licenses.TEMPLATES[1][1] + " more" * m, "s") for k, (n, m) in enumerate(LONG_LINES)],
+        (40, " filler ".join(" ".join([w] * 60) for w in licenses.template_words(licenses.TEMPLATES[1][1])), "s"),
     ]
     docs = frame(spark, texts).withColumn("words", F.lit(1)).withColumn("row", F.lit("x"))
     got = {r["doc_id"]: r.asDict() for r in licenses.scanned(docs).collect()}
@@ -108,6 +114,8 @@ def test_license_scan(spark):
     assert at(6, "n_base", "labels") == (0, "")
     assert at(None, "n_words", *base) == (12, 3, 0, 8, "gpl", "gpl", 1.0)
     assert at(8, *base) == (0, None, None, "", "bsd", 1.0)
+    assert all(at(20 + k, "labels", "score") == ("bsd", 1.0) for k in range(len(LONG_LINES)))
+    assert at(40, "labels") == ("",), "words scattered over a long line are no notice"
     assert licenses.scanned(frame(spark, [])).count() == 0
 
 
