@@ -14,6 +14,7 @@ from cyclewright.functions.columns import strip
 from cyclewright.operators.clean import keep_categories
 from cyclewright.plans.joins import lookup_join
 from cyclewright.settings import MIN_TEXT_CHARS
+from cyclewright.sources.csvsplit import read_split_csv
 
 RAW_SCHEMA = T.StructType(
     [
@@ -35,12 +36,20 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType | None = None,
     encoding: str = "UTF-8",
+    split: bool = True,
 ) -> DataFrame:
-    """CSV with a header, quoted newlines and doubled quotes; a leading BOM is dropped."""
-    reader = spark.read.options(
-        header=True, multiLine=True, escape='"', encoding=encoding, enforceSchema=schema is None
-    )
-    df = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
+    """CSV with a header, quoted newlines and doubled quotes; a leading BOM is dropped.
+
+    A large file is read by many tasks (``csvsplit``). ``split=False`` reads a file in
+    one task, which allows quotes inside fields that are not quoted.
+    """
+    if split and not encoding.upper().startswith(("UTF-16", "UTF-32")):
+        df = read_split_csv(spark, path, schema, encoding)
+    else:
+        reader = spark.read.options(
+            header=True, multiLine=True, escape='"', encoding=encoding, enforceSchema=schema is None
+        )
+        df = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
     return df.toDF(*[c.lstrip(BOM) for c in df.columns])
 
 

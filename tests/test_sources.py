@@ -1,7 +1,10 @@
 import datetime as dt
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cyclewright.operators import summaries
 from cyclewright.sources import readers, snapshots
@@ -172,3 +175,52 @@ def test_empty_input_is_refused(spark):
     assert summaries.require_rows(df) is df
     with pytest.raises(ValueError):
         summaries.require_rows(df.where("id > 5"), "posts")
+
+
+def odd_csv(rng, n):
+    """Rows of awkward fields, and the same as CSV text."""
+    pieces = ["a", "é", '"', '""', "\n", "\r\n", ",", " ", "x" * 50, "\n\n", "'", "\\"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))), rng.choice([None, "z"])) for i in range(n)]
+    rows[n // 2] = (n // 2, "\n".join(['long "line"'] * 3000), "z")
+    lines = ["id,text,last"]
+    for i, t, z in rows:
+        quoted = '"' + t.replace('"', '""') + '"'
+        lines.append(f"{i},{quoted},{z or ''}")
+    return rows, "\n".join(lines) + "\n"
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "ISO-8859-1"])
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, encoding):
+    rng = random.Random(3)
+    rows, text = odd_csv(rng, 3000)
+    more, other = odd_csv(rng, 40)
+    path = str(tmp_path / "many.csv")
+    Path(path).mkdir()
+    (tmp_path / "many.csv" / "a.csv").write_bytes(text.encode(encoding))
+    (tmp_path / "many.csv" / "b.csv").write_bytes(other.encode(encoding))
+    schema = T._parse_datatype_string("id int, text string, last string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("997", "20000", "128MB"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "100")
+            df = readers.read_csv(spark, path, schema, encoding)
+            assert sorted(map(tuple, df.collect()), key=repr) == sorted(rows + more, key=repr)
+            if size == "20000":
+                assert df.rdd.getNumPartitions() > 5
+                guessed = readers.read_csv(spark, path, encoding=encoding)
+                assert dict(guessed.dtypes) == {"id": "int", "text": "string", "last": "string"}
+                assert guessed.count() == len(rows) + len(more)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_with_windows_line_ends_and_types(spark, tmp_path):
+    path = write(tmp_path / "w.csv", 'a,b,c,d,e\r\n1,"x\r\ny",2.5,2024-01-02,true\r\n\r\n3000000000,"",,,false\r\n')
+    df = readers.read_csv(spark, path)
+    assert [k for _, k in df.dtypes] == ["bigint", "string", "double", "date", "boolean"]
+    got = sorted(map(tuple, df.collect()))
+    assert got[0][:3] == (1, "x\r\ny", 2.5) and got[1] == (3_000_000_000, None, None, None, False)
+    assert got == sorted(map(tuple, readers.read_csv(spark, path, df.schema, split=False).collect()))
+    assert readers.read_csv(spark, write(tmp_path / "h.csv", "a,b\n")).columns == ["a", "b"]
