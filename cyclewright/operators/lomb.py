@@ -25,6 +25,7 @@ from cyclewright.settings import (
 
 SERIES_BLOCK = 512
 TRIAL_BLOCK = 256
+DAY_BLOCK = 4096
 CONSTANTS = ["n_points", "span_days", "y", "yy", "time_variance"]
 
 
@@ -131,12 +132,41 @@ def false_alarm_probability(
     return 1 - (1 - single) * F.exp(-tau)
 
 
+def _add_block(
+    sums: np.ndarray,
+    rows: np.ndarray,
+    days: np.ndarray,
+    points: np.ndarray,
+    first: int,
+    low: float,
+    step: float,
+) -> None:
+    """Adds one block of days to cos, sin, cos^2, cos sin, y cos and y sin, each (series x trials)."""
+    inside = (days >= first) & (days < first + DAY_BLOCK)
+    own, row = np.unique(rows[inside], return_inverse=True)
+    day = days[inside] - first
+    present = np.zeros((len(own), int(day.max()) + 1))
+    value = np.zeros_like(present)
+    present[row, day] = 1.0
+    value[row, day] = points[inside]
+    for trial in range(0, sums.shape[2], TRIAL_BLOCK):
+        j = np.arange(trial, min(trial + TRIAL_BLOCK, sums.shape[2]))
+        angle = np.outer(np.arange(first, first + present.shape[1]), 2 * np.pi / (low + step * j))
+        cos, sin = np.cos(angle), np.sin(angle)
+        at = np.ix_(own, j)
+        for k, (matrix, wave) in enumerate(
+            [(present, cos), (present, sin), (present, cos * cos), (present, cos * sin), (value, cos), (value, sin)]
+        ):
+            sums[k][at] += matrix @ wave
+
+
 def _best_trials(keys: list[str], low: float, step: float, count: int):
     """Arrow-batch kernel: best trial of each series by matrix products.
 
     Days are whole numbers, so all series share one table of sines and cosines
     and the sums of a batch are products of (series x days) with (days x trials)
-    matrices. Trials and series go in blocks, which bounds the memory.
+    matrices. Days, trials and series go in blocks, so that the memory depends
+    neither on how long a series is nor on how many there are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,24 +178,20 @@ def _best_trials(keys: list[str], low: float, step: float, count: int):
         sizes = part["days"].str.len().to_numpy()
         rows = np.repeat(np.arange(len(part)), sizes)
         days = np.concatenate(part["days"].to_numpy())
-        present = np.zeros((len(part), int(days.max()) + 1))
-        value = np.zeros_like(present)
-        present[rows, days] = 1.0
-        value[rows, days] = np.concatenate(part["points"].to_numpy())
+        points = np.concatenate(part["points"].to_numpy())
         n = sizes[:, None].astype(float)
-        mean = value.sum(1, keepdims=True) / n
-        yy = (value * value).sum(1, keepdims=True) / n - mean * mean
+        mean = np.bincount(rows, points, len(part))[:, None] / n
+        yy = np.bincount(rows, points * points, len(part))[:, None] / n - mean * mean
+        sums = np.zeros((6, len(part), count))
+        for block in np.unique(days // DAY_BLOCK):
+            _add_block(sums, rows, days, points, int(block) * DAY_BLOCK, low, step)
         best_power = np.full(len(part), -np.inf)
         best_j = np.zeros(len(part), dtype=np.int32)
         for first in range(0, count, TRIAL_BLOCK):
-            j = np.arange(first, min(first + TRIAL_BLOCK, count))
-            angle = np.outer(np.arange(present.shape[1]), 2 * np.pi / (low + step * j))
-            cos, sin = np.cos(angle), np.sin(angle)
-            c, s = present @ cos / n, present @ sin / n
-            cos2 = present @ (cos * cos) / n
+            c, s, cos2, cs, yc, ys = sums[:, :, first : first + TRIAL_BLOCK] / n
             cc, ss = cos2 - c * c, 1 - cos2 - s * s
-            cs = present @ (cos * sin) / n - c * s
-            yc, ys = value @ cos / n - mean * c, value @ sin / n - mean * s
+            cs = cs - c * s
+            yc, ys = yc - mean * c, ys - mean * s
             det = yy * (cc * ss - cs * cs)
             top = yc * yc * ss + ys * ys * cc - 2 * yc * ys * cs
             power = np.divide(top, det, out=np.zeros_like(top), where=det != 0)
@@ -173,7 +199,7 @@ def _best_trials(keys: list[str], low: float, step: float, count: int):
             peak = power[np.arange(len(part)), at]
             better = peak > best_power
             best_power[better] = peak[better]
-            best_j[better] = j[at[better]]
+            best_j[better] = first + at[better]
         out = part[[*keys, "n_points", "span_days", "time_variance"]].copy()
         return out.assign(j=best_j, power=best_power)
 

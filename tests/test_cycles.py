@@ -1,6 +1,7 @@
 import math
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -445,3 +446,26 @@ def test_daily_median_of_a_hot_day_fits_a_small_memory():
         [sys.executable, "-c", DAILY_MEDIAN_OF_A_HOT_DAY], cwd=root, capture_output=True, text=True, timeout=600, check=True
     )
     assert "feature_mean=7499998.5, n_entries=5000000" in done.stdout
+
+
+def test_lomb_scargle_memory_does_not_grow_with_the_span():
+    """A series over 200,000 days beside short ones: same peaks as alone, in a few hundred MB."""
+    rng = np.random.default_rng(4)
+    short = [np.sort(rng.choice(200, 60, replace=False)) for _ in range(400)]
+    long = np.r_[np.sort(rng.choice(199_999, 300, replace=False)), 199_999]
+    frames = []
+    for k, days in enumerate([*short, long]):
+        y = np.sin(2 * np.pi * days / 27.3) + 0.1 * rng.standard_normal(len(days))
+        frames.append((f"u{k}", "f", len(days), int(np.ptp(days)), float(np.var(days)), days - days[0], y))
+    names = ["user", "feature", "n_points", "span_days", "time_variance", "days", "points"]
+    together = pd.DataFrame(frames, columns=names)
+    score = lomb._best_trials(["user", "feature"], 10.0, 0.1, 801)
+    tracemalloc.start()
+    got = pd.concat(score(iter([together])), ignore_index=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = pd.concat([r for i in (0, 7, 400) for r in score(iter([together.iloc[[i]]]))], ignore_index=True)
+    assert most < 300e6
+    assert got.iloc[[0, 7, 400]]["j"].tolist() == alone["j"].tolist()
+    assert np.allclose(got.iloc[[0, 7, 400]]["power"], alone["power"])
+    assert abs(10 + 0.1 * got.iloc[400]["j"] - 27.3) < 0.11
