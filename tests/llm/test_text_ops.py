@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -348,6 +349,41 @@ def test_all_parts_of_an_article_stay(spark):
     assert got[4] == body and got[7] == f"{body}\n{body}"
 
 
+LONG = "Words of the article stand here, one after another. " * 8
+#: html and main text of pages that are alone on their host.
+ARTICLES = [
+    (f'<body><form action="/"><div class="content"><h1>T</h1><p>{LONG}</p></div><label>Mail</label><input><button>Go</button></form></body>', f"T\n{LONG.strip()}"),
+    (f'<body><article><p>{LONG}</p></article><form><p>Subscribe to our letter.</p><input></form></body>', LONG.strip()),
+    (f'<body><div class="post search-engine-optimisation"><p>{LONG}</p></div></body>', LONG.strip()),
+    (f'<body><article><div class="share-price">The share price rose.</div><p>{LONG}</p><div class="related-work">Others did this, too.</div></article></body>', f"The share price rose.\n{LONG.strip()}\nOthers did this, too."),
+    (f'<body><article><div class="share-buttons">Share this.</div><p>{LONG}</p><div class="related">Read on.</div><div class="share-it-now"><a href="/">Tell all.</a></div></article></body>', LONG.strip()),
+    (f'<body><article><p title="the hidden cost">{LONG}</p><p hidden>a.</p><p hidden="until-found">b.</p><p aria-hidden="true">c.</p></article></body>', LONG.strip()),
+    (f'<body><div><a href="/">Home</a></div><div class="headline">A headline</div><div class="body"><p>{LONG}</p></div><div>(c) 2020</div></body>', f"A headline\n{LONG.strip()}"),
+    (f'<body><div class="sidebar-layout"><main><p>{LONG}</p></main><div class="sidebar">Other things.</div></div></body>', LONG.strip()),
+    (f'<body><article><p>{LONG}</p></article><div class="comments"><article class="comment"><p>{LONG * 3}</p></article></div></body>', LONG.strip()),
+]
+
+
+@pytest.mark.parametrize("case", range(len(ARTICLES)))
+def test_names_alone_do_not_drop_an_article(case):
+    page, want = ARTICLES[case]
+    assert pages.main_text(page) == want
+
+
+def test_what_stands_beside_many_articles_of_a_host_goes(spark):
+    page = '<body><div class="a">{head}</div><div class="b"><p>{text}</p></div><div class="c">Buy our paper today.</div><p>{own}</p></body>'
+    given = [(i, "http://d.example/x", page.format(head=f"Headline {i}", text=f"{i} {LONG}", own=f"Note {i}.")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.extracted(page_frame(spark, given)).collect()}
+    assert got == {i: f"Headline {i}\n{i} {LONG.strip()}\nNote {i}." for i in range(6)}
+
+
+def test_deep_nesting_is_linear():
+    began = time.process_time()
+    assert pages.main_text("<div>" * 100_000 + "text here.") == "text here."
+    assert pages.main_text('<blockquote class="a">' * 50_000 + "text here." + "</section>" * 50_000) == "text here."
+    assert time.process_time() - began < 20
+
+
 def test_pages_without_text_and_broken_pages(spark):
     given = [(1, None, None), (2, "u", ""), (3, "u", "<html><body>"), (4, "u", "just text & more"), (5, "u", "<p>open <b>mark <p>next &am"), (6, "u", "<div><p>cut <a href=\"x")]
     got = {r["page_id"]: r["text"] for r in pages.extracted(page_frame(spark, given + given[:1])).collect()}
