@@ -48,11 +48,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """The rows, written as Parquet in the shared folder (in folders by some columns) and read again."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(
