@@ -30,10 +30,10 @@ def latest_anchor(spark, sf_dir):
 
 
 @query("""select event_id as id, user_id as author from events
-          where user_id in (select user_id from events where event_type = 'purchase' and value > 250)""")
+          where user_id in (select user_id from events where event_type = 'purchase')""")
 def keep_target_users(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
-    buyers = posts.where((F.col("subreddit") == "purchase") & (F.col("value") > 250)).select("author")
+    buyers = posts.where(F.col("subreddit") == "purchase").select("author")
     return anchors.keep_users(posts, buyers.distinct(), "author").select("id", "author")
 
 
@@ -213,12 +213,10 @@ def timeline_order(spark, sf_dir):
 
 @query("""select event_id as id, user_id as author, event_type as subreddit from events
           where event_type in ('click', 'error') and user_id in (
-            select user_id from events where event_type = 'signup' and value > 150)""")
+            select user_id from events where event_type = 'signup')""")
 def scan_categories(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
-    users = posts.where((F.col("subreddit") == "signup") & (F.col("value") > 150)).select(
-        F.col("author").alias("user")
-    )
+    users = posts.where(F.col("subreddit") == "signup").select(F.col("author").alias("user"))
     early = F.col("ts_utc") < F.lit("2024-01-15").cast("timestamp")
     found = readers.scan_categories(
         [posts.where(early), posts.where(~early)],

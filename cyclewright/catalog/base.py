@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclewright.operators.anchors import latest_per_key, placed_window
+from cyclewright.operators.anchors import add_offsets, latest_per_key, placed_window
 from cyclewright.operators.timeline import as_series, daily_means
 from cyclewright.session import prepare
 
@@ -93,8 +93,6 @@ EVENT_FEATURES = ["value_avg", "value_max", "n_events", "k_avg"]
 
 def event_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four features per user and day relative to the anchor."""
-    from cyclewright.operators.anchors import add_offsets
-
     posts = event_posts(spark, sf_dir)
     placed = add_offsets(posts, event_users(posts))
     return (

@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cyclewright.catalog.base import query, table
+from cyclewright.catalog.base import OFFSETS_SQL, event_posts, event_users, query, table
+from cyclewright.operators import anchors
 from cyclewright.sources import readers, snapshots
 
 
@@ -80,3 +81,16 @@ def snapshot_round_trip(spark, sf_dir):
     snapshots.save_snapshot(rows.where("id % 2 = 1"), root, "balances", "20240102_000000")
     snapshots.save_snapshot(rows, root, "balances", "20240101_000000")
     return snapshots.load_newest(spark, root, "balances").select("id", F.round("balance", 2).alias("balance"))
+
+
+@query("with" + OFFSETS_SQL + """
+  select event_id as id, user_id as author, offset_from_cd1 from placed
+  where abs(floor((epoch_us(ts) - epoch_us(anchor_ts)) / 86400000000.0)) <= 30""")
+def bucketed_offsets(spark, sf_dir):
+    """Posts stored in buckets by user: offsets and the window of a month are joined without shuffling them."""
+    root, posts = _path(spark, ""), event_posts(spark, sf_dir)
+    snapshots.save_bucketed(posts, root, "posts", "20240101_000000", "author", 8)
+    stored = snapshots.load_bucketed(spark, root, "posts", "author")
+    users = event_users(posts)
+    placed = anchors.add_offsets(stored, users, by_layout=True)
+    return anchors.within_months(placed, users, months=1, by_layout=True).select("id", "author", "offset_from_cd1")

@@ -68,12 +68,13 @@ docs as (
 
 
 def _texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    """The documents, dealt out to tasks by number: the test table is one block of one file."""
+    columns = ["doc_id", "text", "lang", "source"]
+    return table(spark, sf_dir, "documents").select(columns).repartition("doc_id")
 
 
 def _spread(spark, sf_dir):
-    """Number and text of every document, dealt out to tasks: the test table is one block of one file."""
-    return _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").repartition("id")
+    return _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
 def _documents(spark, sf_dir):
@@ -85,7 +86,7 @@ def _documents(spark, sf_dir):
     text = F.when(before, F.concat_ws(" ", carrier, F.col("text"))).otherwise(
         F.concat_ws(" ", F.col("text"), carrier)
     )
-    return _texts(spark, sf_dir).select("doc_id", "source", "lang", "text").repartition("doc_id").select(
+    return _texts(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("author"),
         "lang",
@@ -429,7 +430,7 @@ def clean_content(spark, sf_dir):
     return clean.clean_content(rows).select("id", F.md5("text").alias("text_md5"))
 
 
-@query("with" + RAW_SQL + f""", wanted as (select source from documents where lang = 'en' and n_chars > 2000)
+@query("with" + RAW_SQL + f""", wanted as (select source from documents where lang = 'en')
   select doc_id as id, author, 'post' as source,
     md5({STRIP.format("(coalesce(title, '') || ' ' || coalesce(selftext, ''))")}) as text_md5
   from raw where length(coalesce(title, '')) + length(coalesce(selftext, '')) >= 150
@@ -440,9 +441,7 @@ def clean_content(spark, sf_dir):
 def raw_content(spark, sf_dir):
     """Long enough posts and comments of the users of another table, in the unified columns."""
     docs = _texts(spark, sf_dir)
-    users = docs.where((F.col("lang") == "en") & (F.col("n_chars") > 2000)).select(
-        F.col("source").alias("user")
-    )
+    users = docs.where(F.col("lang") == "en").select(F.col("source").alias("user"))
     raw = _raw(spark, sf_dir).withColumns(
         {"body": F.col("selftext"), "subreddit": F.lit(None).cast("string")}
     )

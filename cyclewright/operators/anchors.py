@@ -98,9 +98,9 @@ def users_tables(candidates: list[DataFrame], row_id: str = "id") -> tuple[DataF
     return of("cycle_day"), of("past_ovulation")
 
 
-def keep_users(df: DataFrame, users: DataFrame, key: str) -> DataFrame:
+def keep_users(df: DataFrame, users: DataFrame, key: str, by_layout: bool = False) -> DataFrame:
     """Rows of the users in ``users`` (one column named like ``key``, distinct or not)."""
-    return lookup_join(df, users.select(key), [key], "left_semi")
+    return lookup_join(df, users.select(key), [key], "left_semi", by_layout)
 
 
 def split_anchor_posts(
@@ -123,15 +123,18 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
 
 
 def with_anchor(
-    posts: DataFrame, users: DataFrame, author: str, value: str, how: str
+    posts: DataFrame, users: DataFrame, author: str, value: str, how: str, by_layout: bool = False
 ) -> DataFrame:
-    """Joins anchor time and anchor value to the posts of each user."""
+    """Joins anchor time and anchor value to the posts of each user.
+
+    ``by_layout`` is for posts from ``snapshots.load_bucketed``: they are not shuffled.
+    """
     anchors = users.select(
         F.col("user").alias(author),
         F.col("timestep").alias("anchor_ts"),
         F.col(value).try_cast("int").alias("anchor_value"),
     )
-    return lookup_join(posts, anchors, [author], how)
+    return lookup_join(posts, anchors, [author], how, by_layout)
 
 
 def add_offsets(
@@ -140,12 +143,13 @@ def add_offsets(
     author: str = "author",
     ts: str = "ts_utc",
     anchor_value: str = "offset_from_cd1",
+    by_layout: bool = False,
 ) -> DataFrame:
     """Anchor value plus calendar days since the anchor; null for users without one.
 
     The new column is named like the anchor value: offset_from_cd1 or dpo_days.
     """
-    joined = with_anchor(posts, users, author, anchor_value, "left")
+    joined = with_anchor(posts, users, author, anchor_value, "left", by_layout)
     offset = F.col("anchor_value") + calendar_days(F.col(ts), F.col("anchor_ts"))
     return joined.select(*posts.columns, offset.alias(anchor_value))
 
@@ -157,10 +161,11 @@ def within_months(
     author: str = "author",
     ts: str = "ts_utc",
     anchor_value: str = "offset_from_cd1",
+    by_layout: bool = False,
 ) -> DataFrame:
     """Posts within ``months`` of the anchor by elapsed days; other users fall out."""
     limit = int(months * DAYS_PER_MONTH)
-    joined = with_anchor(posts, users, author, anchor_value, "inner")
+    joined = with_anchor(posts, users, author, anchor_value, "inner", by_layout)
     return joined.where(
         F.abs(elapsed_days(F.col(ts), F.col("anchor_ts"))) <= limit
     ).select(*posts.columns)
@@ -173,9 +178,10 @@ def within_calendar_days(
     author: str = "author",
     ts: str = "ts_utc",
     anchor_value: str = "offset_from_cd1",
+    by_layout: bool = False,
 ) -> DataFrame:
     """Posts within ``days`` midnights of the anchor, both ends included."""
-    joined = with_anchor(posts, users, author, anchor_value, "inner")
+    joined = with_anchor(posts, users, author, anchor_value, "inner", by_layout)
     return joined.where(
         F.abs(calendar_days(F.col(ts), F.col("anchor_ts"))) <= days
     ).select(*posts.columns)
@@ -188,10 +194,11 @@ def placed_window(
     author: str = "author",
     ts: str = "ts_utc",
     anchor_value: str = "offset_from_cd1",
+    by_layout: bool = False,
 ) -> DataFrame:
     """Offsets, named like the anchor value, and the elapsed-day window in one join."""
     limit = int(months * DAYS_PER_MONTH)
-    joined = with_anchor(posts, users, author, anchor_value, "inner")
+    joined = with_anchor(posts, users, author, anchor_value, "inner", by_layout)
     offset = F.col("anchor_value") + calendar_days(F.col(ts), F.col("anchor_ts"))
     return joined.where(
         F.col("anchor_value").isNotNull()

@@ -133,8 +133,6 @@ FOUR_PHASES = ["Menstrual", "Follicular", "Ovulation", "Luteal"]
 SPLIT_PHASES = ["Menstrual", "Follicular", "Ovulation", "Early Luteal", "Late Luteal"]
 FIVE_PHASES = ["Perimenstrual", "Midfollicular", "Periovulatory", "Early Luteal", "Midluteal"]
 
-# Ten features of the consensus vote.
-
 # Columns that never count as features.
 NON_FEATURE_COLUMNS = {
     "author",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +42,16 @@ def newest_run(df: DataFrame, run: str = RUN) -> DataFrame:
     return df.where(F.col(run) == newest)
 
 
-def runs_of(spark: SparkSession, path: str) -> list[str]:
-    """Run stamps of a dataset, from the names of its folders; no file is opened."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders of a folder; none where it doesn't exist."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def runs_of(spark: SparkSession, path: str) -> list[str]:
+    """Run stamps of a dataset, from the names of its folders; no file is opened."""
+    names = names_in(spark, path)
     return [n.removeprefix(f"{RUN}=") for n in names if n.startswith(f"{RUN}=")]
 
 
@@ -58,6 +62,46 @@ def load_newest(spark: SparkSession, root: str, dataset: str) -> DataFrame | Non
     return spark.read.parquet(posixpath.join(path, f"{RUN}={max(runs)}")) if runs else None
 
 
+def save_bucketed(
+    df: DataFrame, root: str, dataset: str, run_ts: str, key: str, buckets: int
+) -> str:
+    """Adds one run of a dataset in a layout for joins: dealt to buckets by ``key`` and sorted by it.
+
+    The layout is part of the folder's name, so that any session can use it.
+    """
+    path = posixpath.join(root, f"{dataset}.by.{key}.{buckets}", f"{RUN}={run_ts}")
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    name = f"written_{uuid.uuid4().hex}"
+    writer.format("parquet").option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"drop table {name}")  # its files stay
+    return path
+
+
+def load_bucketed(spark: SparkSession, root: str, dataset: str, key: str) -> DataFrame | None:
+    """Newest run of a bucketed dataset, or None; joins by ``key`` need no exchange of its rows.
+
+    The joins of ``anchors`` use the layout with ``by_layout=True``. A user is then one
+    task's work, however many rows it has.
+    """
+    found = [
+        (run, name)
+        for name in names_in(spark, root)
+        if name.startswith(f"{dataset}.by.{key}.")
+        for run in runs_of(spark, posixpath.join(root, name))
+    ]
+    if not found:
+        return None
+    run, name = max(found)
+    path = posixpath.join(root, name, f"{RUN}={run}")
+    table = f"read_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(
+        f"create table {table} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`)"
+        f" into {name.rsplit('.', 1)[1]} buckets location '{path}'"
+    )
+    return spark.table(table)
+
+
 def load_first_available(
     spark: SparkSession, root: str, datasets: list[str], exclude: str | None = None
 ) -> DataFrame | None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclewright.operators import summaries
+from cyclewright.operators import anchors, summaries
 from cyclewright.sources import readers, snapshots
 
 
@@ -224,3 +224,35 @@ def test_csv_with_windows_line_ends_and_types(spark, tmp_path):
     assert got[0][:3] == (1, "x\r\ny", 2.5) and got[1] == (3_000_000_000, None, None, None, False)
     assert got == sorted(map(tuple, readers.read_csv(spark, path, df.schema, split=False).collect()))
     assert readers.read_csv(spark, write(tmp_path / "h.csv", "a,b\n")).columns == ["a", "b"]
+
+
+def test_posts_in_buckets_are_joined_where_they_are(spark, tmp_path, no_broadcast):
+    posts = spark.range(5000).select(
+        (F.col("id") % 37).alias("author"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600).alias("ts_utc"),
+        "id",
+    )
+    users = spark.range(0, 30, 2).select(
+        F.col("id").alias("user"),
+        F.timestamp_seconds(F.lit(1_700_500_000)).alias("timestep"),
+        F.lit(3).alias("offset_from_cd1"),
+    )
+    root = str(tmp_path)
+    assert snapshots.load_bucketed(spark, root, "posts", "author") is None
+    snapshots.save_bucketed(posts.where("id < 9"), root, "posts", "20240101_000000", "author", 4)
+    snapshots.save_bucketed(posts, root, "posts", "20240102_000000", "author", 4)
+    stored = snapshots.load_bucketed(spark, root, "posts", "author")
+    assert stored.count() == 5000
+
+    def result(rows, by_layout):
+        kept = anchors.keep_users(rows, users.select(F.col("user").alias("author")), "author", by_layout)
+        placed = anchors.add_offsets(kept, users, by_layout=by_layout)
+        near = anchors.within_months(placed, users, months=2, by_layout=by_layout)
+        return anchors.within_calendar_days(near, users, days=40, by_layout=by_layout)
+
+    plan = result(stored, True)._jdf.queryExecution().executedPlan().toString()
+    facts = [line for line in plan.splitlines() if "Exchange" in line and "id#" in line and "ts_utc" in line]
+    # One exchange for each of the four tables of users; none above the scan of the posts.
+    assert plan.count("Exchange hashpartitioning") == 4 and not facts
+    assert "Bucketed: true" in plan
+    assert sorted(result(stored, True).collect()) == sorted(result(posts, False).collect())
