@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cyclewright.functions.phases import adaptive_bounds, adaptive_phase
 from cyclewright.operators.clean import keep_categories, offset_range
-from cyclewright.plans.joins import lookup_join
 from cyclewright.plans.quantiles import exact_medians
 from cyclewright.settings import COHORT_WINDOW_DAYS, EPSILON, FALLBACK_PERIOD
 
@@ -27,16 +26,15 @@ def label_cohorts(
     names: tuple[str, str] = ("cohort", "control"),
 ) -> DataFrame:
     """(user, group): the cohort has at least one post in the marker categories."""
-    marked = (
-        keep_categories(posts, marker_categories, category)
-        .select(F.col(author).alias("user"))
-        .distinct()
-        .withColumn("__marked", F.lit(True))
+    marked = keep_categories(posts, marker_categories, category).select(
+        F.col(author).alias("user"), F.lit(False).alias("__user"), F.lit(True).alias("__marked")
     )
+    known = users.select("user", F.lit(True).alias("__user"), F.lit(False).alias("__marked"))
+    # One aggregate instead of two and a join.
+    flags = known.unionByName(marked).where(F.col("user").isNotNull()).groupBy("user")
+    flags = flags.agg(F.max("__user").alias("__user"), F.max("__marked").alias("__marked"))
     group = F.when(F.col("__marked"), F.lit(names[0])).otherwise(F.lit(names[1]))
-    return users.select("user").distinct().join(marked, "user", "left").select(
-        "user", group.alias("group")
-    )
+    return flags.where("__user").select("user", group.alias("group"))
 
 
 def ever_posted(
@@ -84,9 +82,8 @@ def phase_volumes(
     sample deviation, are means over users with a post of that set anywhere. Users need
     a phased post and a cycle length.
     """
-    names = list(categories)
     by = [group] if group else []
-    lengths = {name: end - start + 1 for name, start, end in adaptive_bounds(F.col(cycle))}
+    lengths = _phase_lengths(cycle)
 
     def count(phase: str, wanted: list[str] | None) -> Column:
         hit = F.col("phase") == phase
@@ -102,6 +99,17 @@ def phase_volumes(
             *[count(p, c).alias(f"{p}:{n}") for p in lengths for n, c in categories.items()],
         )
     )
+    return _volume_stats(per_user, list(categories), by, lengths)
+
+
+def _phase_lengths(cycle: str) -> dict[str, Column]:
+    return {name: end - start + 1 for name, start, end in adaptive_bounds(F.col(cycle))}
+
+
+def _volume_stats(
+    per_user: DataFrame, names: list[str], by: list[str], lengths: dict[str, Column]
+) -> DataFrame:
+    """Statistics by phase from one row a user with the counts ``phase:posts`` and ``phase:set``."""
 
     def volume(phase: str, n: str) -> Column:
         length = lengths[phase]
@@ -173,22 +181,61 @@ def cohort_report(
     """
     wanted = sorted({x for c in categories.values() for x in c})
     inside = keep_categories(offset_range(posts, window_days, window_days, offset), wanted, category)
-    fallback = users.select("user", F.lit(float(fallback_period)).alias("period"))
+    sets = {f":{n}": F.count_if(F.col(category).isin(c)).alias(f":{n}") for n, c in categories.items()}
+    daily = inside.groupBy(F.col(author).alias("user"), F.col(offset).cast("double").alias("day")).agg(
+        F.count(F.lit(1)).alias(":posts"), *sets.values()
+    )
+    facts = {
+        "days": F.struct("day", ":posts", *sets),
+        "group": F.col("group"),
+        "period": F.col("consensus_period").cast("double"),
+        "member": F.lit(True),
+    }
+
+    def carrying(df: DataFrame, name: str) -> DataFrame:
+        return df.select("user", facts[name].alias(name))
+
+    # The days of a user, which the window bounds, and all that is known of it: one keyed pass.
+    rows = carrying(daily, "days")
+    sources = [(cohorts, "group"), (users, "member")]
+    if consensus is not None:
+        sources.append((consensus.where(F.col("consensus_period").isNotNull()), "period"))
+    for df, name in sources:
+        rows = rows.unionByName(carrying(df, name), allowMissingColumns=True)
     if consensus is None:
-        periods = fallback
-    else:
-        known = consensus.where(F.col("consensus_period").isNotNull()).select(
-            "user", F.col("consensus_period").cast("double").alias("period")
-        )
-        any_known = known.agg(F.count(F.lit(1))).scalar() > 0
-        periods = known.join(users.select("user"), "user", "left_semi").unionByName(
-            fallback.where(~any_known)
-        )
-    # Group and cycle length travel to the posts in one join.
-    members = cohorts.join(periods, "user").withColumnRenamed("user", author)
-    grouped = lookup_join(inside, members, [author])
-    phased = grouped.withColumn("phase", adaptive_phase(F.col(offset), F.col("period")))
-    out = phase_volumes(phased, categories, category, author, "group")
+        rows = rows.withColumn("period", F.lit(None).cast("double"))
+    state = rows.where(F.col("user").isNotNull()).groupBy("user").agg(
+        F.collect_list("days").alias("days"),
+        F.collect_set("group").alias("groups"),
+        F.max("period").alias("period"),
+        F.max("member").alias("member"),
+    )
+    # Users without a period only count where no user has one; both are told apart to the end.
+    known = F.col("period").isNotNull()
+    state = state.withColumns(
+        {"known": known, "period": F.coalesce("period", F.lit(float(fallback_period)))}
+    )
+    lengths = _phase_lengths("period")
+    days = state.select("user", "groups", "period", "known", "member", F.inline_outer("days"))
+    phased = days.withColumn("phase", adaptive_phase(F.col("day"), F.col("period")))
+    per_user = phased.groupBy("user", "groups", "period", "known", "member").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("phase") == p, F.col(f":{n}"))), F.lit(0).cast("long")).alias(f"{p}:{n}")
+            for p in lengths
+            for n in ("posts", *categories)
+        ]
+    )
+    counted = reduce(lambda x, y: x + y, [F.col(f"{p}:posts") for p in lengths]) > 0
+    counted = counted & F.coalesce(F.col("member"), F.lit(False))
+    # A user that isn't counted still says whether a period is known.
+    per_user = per_user.withColumn(
+        "group", F.explode_outer(F.when(counted, F.col("groups")))
+    ).drop("groups", "member")
+    stats = _volume_stats(per_user, list(categories), ["known", "group"], lengths)
+    # A few rows: a group, phase and flag each.
+    whole = W.partitionBy()
+    out = stats.withColumn("__known", F.max("known").over(whole))
+    out = out.where((F.col("known") == F.col("__known")) & F.col("group").isNotNull()).drop("known", "__known")
     if not both:
         return out
     # A few rows: a group and phase each.

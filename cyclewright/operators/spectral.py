@@ -51,13 +51,13 @@ METHODS = {
 def spread_series(series: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """One partitioning by series for everything that follows.
 
-    A series is a few kilobytes and its spectrum is many operations, so the
-    number of partitions is set: coalescing by size would leave few tasks.
-    ``partitions`` is for the caller to raise with the number of series, and
-    defaults to the session's number of shuffle partitions.
+    Partitions are coalesced by the size that AQE measures, so their number follows
+    that of the series; Spark keeps as many as there are cores unless they would be
+    very small. ``partitions`` sets a number instead.
     """
-    parts = partitions or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return series.repartition(parts, *keys)
+    if partitions:
+        return series.repartition(partitions, *keys)
+    return series.hint("rebalance", *keys)
 
 
 def daily_points(

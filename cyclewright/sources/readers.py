@@ -147,12 +147,10 @@ def load_posts(
     ranked = [df.withColumn("__source_rank", F.lit(i)) for i, df in enumerate(sources)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
     if users is not None:
-        wanted = users.select(F.col("user").cast("string").alias(author))
+        # An inner join with distinct users stays above the union; a semi join would be made once a source.
+        wanted = users.select(F.col("user").cast("string").alias(author)).distinct()
         stacked = lookup_join(
-            stacked.withColumn(author, F.col(author).cast("string")),
-            wanted,
-            [author],
-            "left_semi",
+            stacked.withColumn(author, F.col(author).cast("string")), wanted, [author]
         )
     return first_row_per_id(stacked, key, ["__source_rank", row_order]).drop("__source_rank")
 

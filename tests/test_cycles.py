@@ -469,3 +469,29 @@ def test_lomb_scargle_memory_does_not_grow_with_the_span():
     assert got.iloc[[0, 7, 400]]["j"].tolist() == alone["j"].tolist()
     assert np.allclose(got.iloc[[0, 7, 400]]["power"], alone["power"])
     assert abs(10 + 0.1 * got.iloc[400]["j"] - 27.3) < 0.11
+
+
+def test_partitions_follow_the_number_of_series(spark):
+    changed = {
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",
+    }
+    kept = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        counts = []
+        for n in (50, 2000):
+            series = spark.range(n * 60).select(
+                F.format_string("u%d", F.col("id") % n).alias("user"),
+                F.lit("f").alias("feature"),
+                F.floor(F.col("id") / n).cast("int").alias("day"),
+                F.sin(F.col("id") * 0.7).alias("value"),
+            )
+            counts.append(spectral.daily_points(series, ["user", "feature"]).rdd.getNumPartitions())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert counts[0] < 5 < counts[1] <= 40

@@ -191,3 +191,19 @@ def test_constant_series_count_as_zero(spark, per_user):
     assert rows[("flat", "Menstrual")]["n_users"] == 1
     assert rows[("x", "Menstrual")]["n_user_days"] == 4
     assert contrasts.phase_counts(spark.createDataFrame([("a", "M"), ("a", "M"), ("b", None)], "u string, phase string"), "u").first()["n_users"] == 1
+
+
+def test_cohort_report_is_one_keyed_pass(spark, tmp_path):
+    """Facts and days of a user meet in one aggregate: no join, no subquery that plans the periods again."""
+    for name, df in {
+        "posts": spark.createDataFrame([("a", "x", 1)], "author string, category string, offset_from_cd1 int"),
+        "users": spark.createDataFrame([("a",)], "user string"),
+        "periods": spark.createDataFrame([("a", 28.0)], "user string, consensus_period double"),
+    }.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    posts, users, periods = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("posts", "users", "periods"))
+    groups = cohorts.label_cohorts(users, posts, ["mark"], "category")
+    plan = cohorts.cohort_report(posts, users, groups, periods, SETS, "category", both=False)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Subquery" not in text
+    assert text.count("Exchange ") <= 5
