@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of the documents. A null or empty text is a document like any other: the classifier has nothing against
-it, and the deduplication keeps one of them. An empty table gives no rows.
+it, and the deduplication keeps one of them. Texts are read whole, whatever their length. An empty table gives no rows.
 """
 
 from __future__ import annotations

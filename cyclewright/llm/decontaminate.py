@@ -14,7 +14,7 @@ the lower-case text.
 
 Defined results: null and empty texts have no words and no matches, as items or as documents; items of one word leak
 wherever that word stands; of several windows of one item in a row the nearest and then first is
-reported; repeated rows report as often as they stand, repeated items under each of their ids; empty tables give
+reported; repeated rows report as often as they stand, repeated items under each of their ids; texts are read whole, whatever their length; empty tables give
 no rows. Only doc_id, item_id and the texts are read.
 """
 

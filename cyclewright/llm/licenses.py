@@ -13,7 +13,7 @@ words of a whole book are no notice.
 
 Defined results: a null text counts as empty and has no words; a text without phrases has n_base 0, null places and
 empty labels; score is 1 with a phrase, else the greatest containment of a matching block, else 0; repeated rows
-are returned as often as they stand; an empty table gives no rows. Only doc_id and text are read.
+are returned as often as they stand; texts are read whole, whatever their length; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ of every document, and the rest from a seeded order of its documents: whole ones
 of the one that crosses it only its first words.
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; a
-source without words has target 0; repeated rows are taken as often as they stand there; an empty
+source without words has target 0; texts are read whole; repeated rows are taken as often as they stand there; an empty
 table gives no rows. Other columns of the input are not looked at.
 """
 

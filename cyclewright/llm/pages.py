@@ -18,7 +18,7 @@ memory are linear in the page, however deep its tags are nested.
 
 Defined results: null or empty html, and pages without any text, give an empty text; a null url or one without a host
 belongs to the host ''; ties between paths fall to the smaller path hash; html that breaks off is read as far as it
-goes; repeated rows are returned as often as they stand; an empty table gives no rows. Only page_id, url and html
+goes; pages are read whole, whatever their length; repeated rows are returned as often as they stand; an empty table gives no rows. Only page_id, url and html
 are read.
 """
 

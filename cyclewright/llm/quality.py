@@ -15,7 +15,7 @@ The target model and the level are fitted on a bounded sample of labelled rows (
 model and the weights cover every document and whole texts.
 
 Defined results: null and empty texts have no n-grams and log weight 0; several labels of one doc_id count as
-bad if one is; rows that tie with the k-th stay; repeated rows share their fate; a null doc_id draws like any
+bad if one is; rows that tie with the k-th stay; texts are read whole; repeated rows share their fate; a null doc_id draws like any
 other; without labels of both kinds every row stays; an empty table gives no rows.
 """
 

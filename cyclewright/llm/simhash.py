@@ -13,7 +13,7 @@ about 85 % of the pairs a level, so that work grows nearly with the square of th
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a text of fewer
 words than a shingle is one shingle; repeated rows are returned as often as they stand; a null doc_id
-links like any other and is the component's id only where the component has no other; an empty table gives
+links like any other and is the component's id only where the component has no other; texts are read whole, whatever their length; an empty table gives
 no rows. Other columns are not read.
 """
 
