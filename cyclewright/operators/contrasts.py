@@ -127,16 +127,19 @@ def features_by_phase(
             F.col("user").alias(user), F.col("period").cast("double").alias("period")
         )
         rows = rows.join(pairs.distinct(), user)
-    phased = (
-        rows.withColumn("phase", adaptive_phase(F.col(day), F.col("period")))
-        .where(F.col("phase").isNotNull())
-        .unpivot([user, "phase"], features, "feature", "v")
-        .where(F.col("v").isNotNull())
+    rows = rows.withColumn("phase", adaptive_phase(F.col(day), F.col("period"))).where(
+        F.col("phase").isNotNull()
     )
     if average_per_user:
-        per_user = phased.groupBy("feature", "phase", user).agg(
-            F.avg("v").alias("m"), F.count(F.lit(1)).alias("days")
+        # All features of a user and phase in one row, on the partitioning by user; rows multiply after.
+        wide = rows.groupBy(user, "phase").agg(
+            *[x for f in features for x in (F.avg(f).alias(f"m:{f}"), F.count(f).alias(f"n:{f}"))]
         )
+        each = [
+            F.struct(F.lit(f).alias("feature"), F.col(f"m:{f}").alias("m"), F.col(f"n:{f}").alias("days"))
+            for f in features
+        ]
+        per_user = wide.select("phase", F.inline(F.array(*each))).where(F.col("days") > 0)
         out = per_user.groupBy("feature", "phase").agg(
             F.avg("m").alias("mean"),
             F.stddev_samp("m").alias("std"),
@@ -145,7 +148,8 @@ def features_by_phase(
         )
         weight = F.col("n_users")
     else:
-        out = phased.groupBy("feature", "phase").agg(
+        long = rows.unpivot([user, "phase"], features, "feature", "v").where(F.col("v").isNotNull())
+        out = long.groupBy("feature", "phase").agg(
             F.avg("v").alias("mean"),
             F.stddev_samp("v").alias("std"),
             F.count(F.lit(1)).alias("n_user_days"),
