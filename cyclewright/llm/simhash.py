@@ -2,8 +2,9 @@
 
 A pair within r bits of 64 agrees on at least one of r + 1 segments of the bits. A forest of r + 1 trees,
 one a segment, therefore meets every linked pair: tree t first parts the fingerprints by their bits in
-segment t. A crowded cell is parted again by the Hamming distance to vantage points: a shell of r + 1
-distances makes a shard, and by the triangle bound a pair within r lies in one shell or in two that
+segment t. A crowded cell is parted again by segments of its other bits, on one of which a linked pair
+agrees as well, so that cells of random fingerprints hold one in 2^22 or fewer; what is still crowded is
+parted by the Hamming distance to vantage points: a shell of r + 1 distances makes a shard, and by the triangle bound a pair within r lies in one shell or in two that
 touch, so each fingerprint also visits the shard below its own. In a shard a local vantage-point tree
 splits at the median distance, sends the boundary to both sides and compares what the bounds leave.
 Shards emit a spanning forest of their links, never all pairs; the forests' components are the groups.
@@ -20,6 +21,7 @@ no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,23 +94,50 @@ def segments(radius: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def inner_segments(radius: int) -> list[list[int]]:
+    """For each of `segments` the masks, one more than the radius, that part the bits outside it."""
+    out = []
+    for mask in segments(radius):
+        rest = [1 << i for i in range(64) if not mask >> i & 1]
+        edges = [len(rest) * i // (radius + 1) for i in range(radius + 2)]
+        out.append([sum(rest[a:b]) for a, b in zip(edges, edges[1:], strict=False)])
+    return out
+
+
+def _crowded(cells: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    return cells.groupBy(*keys).count().where(F.col("count") > limit).select(*[F.col(k).alias(f"c_{k}") for k in keys])
+
+
+def _marked(cells: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"c_{k}") for k in keys])
+    marked = cells.join(crowded, same, "left").withColumn("crowded", F.col(f"c_{keys[0]}").isNotNull())
+    return marked.drop(*crowded.columns)
+
+
 def shards(points: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """shard, bits: every fingerprint in each shard where a linked one can be."""
     cells = points.select(
         "bits",
         F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(_signed(m))) for m in segments(radius)])).alias("tree", "cell"),
     )
-    crowded = cells.groupBy("tree", "cell").count().where(F.col("count") > cell_limit).select(
-        F.col("tree").alias("c_tree"), F.col("cell").alias("c_cell"), F.lit(True).alias("crowded")
-    )
-    cells = cells.join(crowded, (F.col("tree") == F.col("c_tree")) & (F.col("cell") == F.col("c_cell")), "left")
+    crowded = stored(_crowded(cells, ["tree", "cell"], cell_limit))
+    if crowded.isEmpty():
+        return cells.select(F.xxhash64("tree", "cell").alias("shard"), "bits")
+    # Fingerprints of a cell agree on its segment, linked ones also on one of the segments of the other bits.
+    cells = _marked(cells, crowded, ["tree", "cell"])
+    masks = F.get(F.array(*[F.array(*[F.lit(_signed(m)) for m in row]) for row in inner_segments(radius)]), F.col("tree"))
+    parts = F.transform(masks, lambda m, i: F.struct(i.alias("part"), F.col("bits").bitwiseAND(m).alias("inner")))
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("inner")))
+    cells = cells.select("bits", "tree", "cell", "crowded", F.inline(F.when(F.col("crowded"), parts).otherwise(whole)))
+    keys = ["tree", "cell", "part", "inner"]
+    cells = _marked(cells.drop("crowded"), stored(_crowded(cells.where("crowded"), keys, cell_limit)), keys)
     shells = []
     for v in VANTAGE:
         shell = F.floor(F.bit_count(F.col("bits").bitwiseXOR(F.lit(_signed(v)))) / (radius + 1)).cast("int")
         shells.append(F.when(F.col("crowded"), F.array(shell, shell - 1)).otherwise(F.array(F.lit(0))))
     for i, both in enumerate(shells):
         cells = cells.withColumn(f"shell{i}", F.explode(both))
-    return cells.select(F.xxhash64("tree", "cell", *[f"shell{i}" for i in range(len(VANTAGE))]).alias("shard"), "bits")
+    return cells.select(F.xxhash64(*keys, *[f"shell{i}" for i in range(len(VANTAGE))]).alias("shard"), "bits")
 
 
 def _forest(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:

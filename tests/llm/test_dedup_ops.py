@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,6 +175,25 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert rows(kept, "doc_id", "text") == sorted([(1, a), (5, c), (None, b), (7, d), (7, None)], key=repr)
 
 
+@pytest.mark.parametrize("limit", [10, 60])
+def test_crowded_cells_are_parted_and_lose_no_link(spark, limit):
+    """Random fingerprints with planted pairs at each distance: shards stay small, and all links are there."""
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 1 << 64, 300_000, np.uint64)
+    pairs = []
+    for at in rng.choice(len(points), 300, replace=False).tolist():
+        flip = sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False))
+        pairs.append((int(points[at]), int(points[at]) ^ flip))
+    every = np.unique(np.concatenate([points, np.array([q for _, q in pairs], np.uint64)]))
+    df = spark.createDataFrame(pd.DataFrame({"bits": every.view(np.int64)})).repartition(4)
+    sizes = simhash.shards(df, cell_limit=limit).groupBy("shard").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * limit
+    found = simhash.near_links(df, cell_limit=limit).collect()
+    links = {tuple(sorted((r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1))) for r in found}
+    want = {tuple(sorted(p)) for p in pairs if (p[0] ^ p[1]).bit_count() <= 4}
+    assert want <= links and all((a ^ b).bit_count() <= 4 for a, b in links)
+
+
 def test_simhash_of_no_rows(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     assert simhash.one_of_each(frame(spark, [])).count() == 0
