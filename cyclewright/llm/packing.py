@@ -70,7 +70,7 @@ class WordIds:
             return self._whole(words)
         text = normalizer.normalize_str(text) if normalizer else text
         parts = text.split(" ")
-        if len(parts) != len(words) or cutter is None:  # a word with white space beyond ASCII
+        if len(parts) != len(words) or cutter is None:
             return self._whole(words)
         ends = np.cumsum([len(p) + 1 for p in parts])
         pieces = cutter.pre_tokenize_str(text)
@@ -94,7 +94,12 @@ class WordIds:
                 out.append(self._merged(stem) + self._merged(word[len(stem) :]) if len(stem) < len(word) else self._merged(stem))
             else:
                 out.append(None)
-        others = [i for i, ids in enumerate(out) if ids is None]
+        others = []
+        for i, ids in enumerate(out):
+            if ids is None and words[i].split() == [words[i]]:
+                others.append(i)
+            elif ids is None:  # white space beyond ASCII: joined words could not be told apart
+                out[i] = self._whole([words[i]])[0]
         for at in range(0, len(others), WORDS_TOGETHER):
             some = others[at : at + WORDS_TOGETHER]
             for i, ids in zip(some, self._encoded([words[i] for i in some]), strict=True):

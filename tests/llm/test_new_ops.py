@@ -118,7 +118,8 @@ def test_words_have_the_tokenizers_ids():
     letters = list("abcXYZéİΣ́'.,!<|>19 \t\n ")
     texts = ODD_TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
     words = packing.WordIds(model)
-    for part in (texts, texts[:500]):
+    for part in (texts, texts[:500], *[[t] for t in texts[:200]]):
+        words = packing.WordIds(model) if len(part) == 1 else words
         got = [ids.tolist() for ids in words.of(pa.array(part, pa.string()).fill_null(""))]
         assert got == [model.encode(t or "", add_special_tokens=False).ids for t in part]
 
