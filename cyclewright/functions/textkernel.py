@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cyclewright.session import small_batches
 from cyclewright.settings import MATTR_WINDOW
 
 #: Measures and their types. All are of the whole text; a null text counts as empty.
@@ -31,7 +33,7 @@ MEASURES = {
     "counts": "array<int>",
 }
 #: Characters of the texts that are measured together; one text may have more.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 ONE_MARK = str.maketrans("!?", "..")
 VOWELS = "[aeiouy]+"
@@ -159,9 +161,10 @@ def measured(texts: list[str], names: tuple[str, ...], window: int = MATTR_WINDO
     }
 
 
-def _slices(texts: list[str], most: int) -> Iterator[list[str]]:
+def _slices(texts: pa.Array, most: int) -> Iterator[list[str]]:
     own, n_chars = [], 0
-    for text in texts:
+    for value in texts:
+        text = value.as_py() or ""
         own.append(text)
         n_chars += len(text)
         if n_chars >= most:
@@ -179,9 +182,32 @@ def text_measures(text: Column, *names: str, window: int = MATTR_WINDOW) -> Colu
 
     @F.arrow_udf(f"struct<{kinds}>")
     def measures(batch: pa.Array) -> pa.Array:
-        parts = [measured(s, names, window) for s in _slices(batch.fill_null("").to_pylist(), SLICE_CHARS)]
+        parts = [measured(s, names, window) for s in _slices(batch, SLICE_CHARS)]
         parts = parts or [measured([], names, window)]
         columns = [pa.concat_arrays([p[n] for p in parts]) for n in names]
         return pa.StructArray.from_arrays(columns, names=list(names))
 
     return measures(text)
+
+
+def with_measures(df: DataFrame, text: str, *names: str, window: int = MATTR_WINDOW) -> DataFrame:
+    """The rows with the named measures as columns instead of the text.
+
+    A slice of the texts leaves as a batch of its own, so that a task holds one slice's words and not those of all
+    texts of a batch; batches are small, so that it doesn't hold many texts either.
+    """
+    small_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != text and c not in names]
+    measures = T.StructType.fromDDL(", ".join(f"{n} {MEASURES[n]}" for n in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at = batch.select(kept), 0
+            for part in _slices(batch.column("__text"), SLICE_CHARS):
+                found = measured(part, names, window)
+                columns = [*own.slice(at, len(part)).columns, *[found[n] for n in names]]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
+                at += len(part)
+
+    rows = df.select(*kept, F.col(text).alias("__text"))
+    return rows.mapInArrow(run, T.StructType([*df.select(kept).schema.fields, *measures.fields]))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewright.functions.textkernel import text_measures
+from cyclewright.functions.textkernel import with_measures
 from cyclewright.plans.joins import lookup_join
 
 
@@ -54,12 +54,11 @@ def _word_sums(
     Every text sends one row without a word, which carries its measures, so they need
     no join back and texts without words stay. ``key`` is of one text.
     """
-    read = df.select(key, text_measures(F.col(text), *local, "words", "counts").alias("__m"))
+    texts = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    read = with_measures(texts, "__text", *local, "words", "counts").withColumnRenamed("__key", key)
     word = F.struct(F.lit(None).cast("string").alias("words"), F.lit(0).alias("counts"))
-    pairs = F.concat(F.array(word), F.arrays_zip(F.col("__m")["words"], F.col("__m")["counts"]))
-    rows = read.select(
-        key, *[F.col("__m")[n].alias(n) for n in local], F.posexplode(pairs).alias("__place", "__pair")
-    ).select(
+    pairs = F.concat(F.array(word), F.arrays_zip("words", "counts"))
+    rows = read.select(key, *local, F.posexplode(pairs).alias("__place", "__pair")).select(
         key,
         F.col("__pair")["words"].alias("word"),
         F.col("__pair")["counts"].alias("n"),

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,3 +346,24 @@ def test_kernel_equals_plain_python(spark):
         if len(low) < 1000:
             want = python_mattr(low)
             assert got[i]["mattr"] is None if want is None else got[i]["mattr"] == pytest.approx(want)
+
+
+def test_word_sums_hold_few_texts_at_a_time(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    try:
+        docs = spark.range(2500).select("id", F.concat(F.lit("and w"), F.col("id"), F.lit(" and. B")).alias("text"))
+        links = spark.createDataFrame([("and",)], "word string")
+        sizes = textmetrics.connectives_per_sentence(docs, links, "id")
+        assert int(spark.conf.get(setting)) <= 1000
+        assert sizes.groupBy("connectives_per_sentence").count().collect() == [(0.5, 2500)]
+    finally:
+        spark.conf.set(setting, old)
+
+
+def test_slices_read_no_further_than_they_hold():
+    texts = pa.array(["ab", None, "cde", "f"])
+    assert list(textkernel._slices(texts, 4)) == [["ab", "", "cde"], ["f"]]
+    endless = (pa.scalar("x" * 10) for _ in iter(int, 1))
+    assert next(textkernel._slices(endless, 20)) == ["x" * 10] * 2
