@@ -495,3 +495,20 @@ def test_partitions_follow_the_number_of_series(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert counts[0] < 5 < counts[1] <= 40
+
+
+def test_partitions_of_series_follow_their_size(spark):
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "64MB")
+    try:
+        i = F.col("id")
+        series = spark.range(2_000_000).select(
+            (i % 30_000).alias("user"), F.concat(F.lit("f"), i % 2).alias("feature"), F.floor(i / 30_000).alias("day"), F.rand(1).alias("value")
+        )
+        points = spectral.daily_points(series, ["user", "feature"])
+        tasks = points.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert sum(r["n"] for r in tasks) == 2_000_000
+        assert len(tasks) > 6 and max(r["n"] for r in tasks) < 400_000
+    finally:
+        spark.conf.set(setting, old)
