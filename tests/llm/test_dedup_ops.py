@@ -277,6 +277,29 @@ def test_exact_passages_around_nested_ones_are_found(spark):
     assert len(want) == 48 and want <= exact
 
 
+def test_edited_passages_whose_parts_stand_in_smaller_documents_are_found(spark):
+    rng = random.Random(28)
+    texts, want = [], set()
+    for at in (36, 40, 44):
+        shared = words(80, rng, 30000)
+        edited = [*shared[:at], "edited", *shared[at + 1 :]]
+        other = [*shared[: at + 3], "other", *shared[at + 4 :]]
+        for part in (shared[:at], shared[at + 1 :], shared, edited, other):
+            texts.append((len(texts), words(60, rng, 30000) + part + words(60, rng, 30000)))
+        n = len(texts)
+        want |= {(n - 2, n - 3), (n - 1, n - 3), (n - 1, n - 2)}
+    got = rows(passages.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in texts])), "doc_id", "source_doc_id", "n_words")
+    assert want <= {(i, j) for i, j, n in got if n >= 80}
+
+
+def test_places_of_pairs_in_periodic_words_are_few():
+    n = 5000
+    hub_pos = np.zeros(n, np.int64)
+    key, context, first, second = passages.junctions(np.full(n, 7, np.uint64), np.arange(n), hub_pos, hub_pos)
+    assert len(key) <= 4 and len(set(key.tolist())) == 1 and len(context) == len(first) == len(second)
+    assert first.min() == 0 and first.max() == n - 2
+
+
 def test_exact_part_of_an_unlike_chain_is_found():
     a = np.arange(200, dtype=np.uint64)
     b = np.r_[a[:60], a[60:90] + np.uint64(1000), a[90:100], a[100:] + np.uint64(2000)]
