@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewright.functions.textkernel import with_measures
+from cyclewright.functions.textkernel import text_measures, with_measures
 from cyclewright.plans.joins import lookup_join
 
 
