@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -292,6 +293,40 @@ def test_edited_passages_whose_parts_stand_in_smaller_documents_are_found(spark)
     assert want <= {(i, j) for i, j, n in got if n >= 80}
 
 
+def test_links_of_many_edited_copies_grow_with_the_copies(spark):
+    rng = random.Random(38)
+    shared = words(80, rng, 30000)
+    texts = [(0, words(60, rng, 30000) + shared[:40]), (1, words(60, rng, 30000) + shared[41:])]
+    for i in range(2, 62):  # each with an edit of its own; no document holds all of it
+        edited = [*shared[:40], f"x{i}", *shared[41:]]
+        texts.append((i, words(60, rng, 30000) + edited + words(60, rng, 30000)))
+    got = [r for r in passages.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in texts])).collect() if r["n_words"] >= 78]
+    assert {r["doc_id"] for r in got} == set(range(3, 62))  # all but the first, each with a source before it
+    assert all(2 <= r["source_doc_id"] < r["doc_id"] and r["edits"] == 1 for r in got)
+    assert len(got) <= 15 * 60  # of 1770 pairs; some keys with BEFORE + 1 links a document
+
+
+def test_periodic_passages_are_found(spark):
+    rng = random.Random(48)
+    texts = [(0, ["de"] * 58 + words(60, rng, 30000)), (1, words(90, rng, 30000) + ["de"] * 58 + words(20, rng, 30000) + ["de"] * 120), (2, words(30, rng, 30000) + ["de"] * 50)]
+    got = passages.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in texts])).collect()
+    told = {i: {w for r in got if r["doc_id"] == i for w in range(r["start_word"], r["start_word"] + r["n_words"])} for i in (1, 2)}
+    assert told == {1: {*range(90, 148), *range(168, 288)}, 2: set(range(30, 80))}
+
+
+def test_predecessors_are_the_same_however_batches_fall():
+    keys = np.repeat([3, 5, 9], [1, 7, 12])
+    docs = np.r_[4, np.arange(7), np.arange(12)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, docs, docs * 10, docs * 10 + 5)], names=["seed", "doc", "pos", "upto"])
+    want = set()
+    for n in (7, 12):
+        for i in range(1, n):
+            want |= {(i, 10 * i + e, j, 10 * j + e) for j in {0, *range(max(0, i - passages.BEFORE), i)} for e in (0, 5)}
+    for size in (1, 3, 20):
+        parts = [whole.slice(i, size) for i in range(0, 20, size)]
+        assert {tuple(r.values()) for b in passages._partners(iter(parts)) for r in b.to_pylist()} == want
+
+
 def test_places_of_pairs_in_periodic_words_are_few():
     n = 5000
     hub_pos = np.zeros(n, np.int64)
