@@ -306,6 +306,37 @@ def test_links_of_many_edited_copies_grow_with_the_copies(spark):
     assert len(got) <= 15 * 60  # of 1770 pairs; some keys with BEFORE + 1 links a document
 
 
+def test_a_passage_is_found_however_many_unlike_documents_hold_its_seeds(spark):
+    rng = random.Random(52)
+    middle, left, right = words(40, rng, 30000), words(36, rng, 30000), words(36, rng, 30000)
+    texts = [(0, middle[:22] + words(40, rng, 30000)), (1, words(40, rng, 30000) + middle[18:])]
+    for i in range(2, 62):
+        texts.append((i, words(60, rng, 30000) + middle + words(60, rng, 30000)))
+    for i in (9, 40):  # alike around the middle, too, with edits so near that no seed stands between
+        edited = [[f"x{i}" if k % 6 == 5 else w for k, w in enumerate(side)] for side in (left, right)]
+        texts[i] = (i, words(60, rng, 30000) + edited[0] + middle + edited[1] + words(60, rng, 30000))
+    got = rows(passages.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in texts])), "doc_id", "source_doc_id", "n_words", "edits")
+    assert [(i, j) for i, j, *_ in got] == [(40, 9)]
+    assert got[0][2] >= 100 and got[0][3] >= 10
+
+
+def test_words_beside_seeds_tell_how_far_a_passage_goes_on():
+    rng = np.random.default_rng(53)
+    pairs = [rng.integers(1, 3, (2, rng.integers(0, 40))).astype(np.uint64) << np.uint64(33) for _ in range(500)]
+    for a, b in pairs:
+        b = b[: rng.integers(0, len(b) + 1)]
+        if rng.random() < 0.7:
+            n = min(len(a), len(b))
+            b[:n] = np.where(rng.random(n) < 0.9, a[:n], b[:n])
+        seed = np.arange(8, dtype=np.uint64)
+        for left, right in ((a, b), (a[::-1], b[::-1])):
+            sides = [passages.outwards(np.r_[s, seed, s], np.array([len(s)]), np.array([len(s)])) for s in (left, right)]
+            want = [max(passages.extended(x.tolist(), y.tolist())[:2]) for x, y in ((left[::-1], right[::-1]), (left, right))]
+            for k in (0, 1):
+                told = int(passages.goes_on(sides[0][k], sides[1][k])[0])
+                assert told == want[k] or told == passages.LEAST_WORDS and want[k] > 15
+
+
 def test_periodic_passages_are_found(spark):
     rng = random.Random(48)
     texts = [(0, ["de"] * 58 + words(60, rng, 30000)), (1, words(90, rng, 30000) + ["de"] * 58 + words(20, rng, 30000) + ["de"] * 120), (2, words(30, rng, 30000) + ["de"] * 50)]
